@@ -66,7 +66,9 @@ def status_tokens(text: Column | str) -> Column:
     ``us``); an ampersand does not cut between two letters that are not lower case (``AT&T``).
     """
     words = F.filter(F.split(as_col(text), r"\s+"), lambda w: w != "")
-    return F.flatten(F.transform(words, _word_tokens))
+    # Most words are plain; only the others go through the rules.
+    plain = r"^[\p{L}\p{Nd}]+$"
+    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(plain), F.array(F.lower(w))).otherwise(_word_tokens(w))))
 
 
 def _word_tokens(word: Column) -> Column:

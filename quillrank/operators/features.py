@@ -14,7 +14,7 @@ from ..functions.text import count_substr, tokens
 from ..sizing import fits, lookup_join
 from .joins import all_pairs, cooccurrence, judged_pairs
 from .postings import Analyzer, TermIndex
-from .ranking import analyze_topics, bm25_score, query_term_counts
+from .ranking import analyze_topics, query_term_counts
 
 # The default feature sets, in output order.
 WEB_FEATURES = (
@@ -98,12 +98,19 @@ _match(
     lambda index: F.sum(F.col("qtf") * F.sqrt("tf") * _tfidf_idf(index) * _tfidf_idf(index)),
     lambda c: c * F.col("n_match") / F.col("qlen"),
 )
-register_feature(
-    "BM25Feature",
-    lambda params: Feature(
-        "BM25Feature", "match", lambda index: F.sum(bm25_score(index, params.get("k1", 1.2), params.get("b", 0.75)))
-    ),
-)
+
+
+def _bm25(params: dict) -> Feature:
+    k1, b = float(params.get("k1", 1.2)), float(params.get("b", 0.75))
+
+    def value(index: TermIndex) -> Column:
+        norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / index.stat("avgdl"))
+        return F.sum(_idf(index) * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm))
+
+    return Feature("BM25Feature", "match", value)
+
+
+register_feature("BM25Feature", _bm25)
 for _name, _kind in PAIR_KINDS.items():
     register_feature(
         _name, lambda params, n=_name, k=_kind: Feature(f"{n}{int(params['gapSize'])}", "pair", kind=k, gap=int(params["gapSize"]))
@@ -169,7 +176,7 @@ def pmi(query_terms: DataFrame, index: TermIndex) -> DataFrame:
     )
     flat = pairs.select("qid", F.col("x.term").alias("t1"), F.col("y.term").alias("t2"), (F.col("x.df") * F.col("y.df").cast("double")).alias("dd"))
     counts = cooccurrence(index.postings, flat)
-    scored = lookup_join(flat, counts, ["t1", "t2"], "left", spread_on="qid")
+    scored = lookup_join(flat, counts, ["t1", "t2"], "left", spread_on="qid", bound=flat)
     return scored.groupBy("qid").agg(F.avg(F.coalesce(F.log(F.col("n") / F.col("dd")), F.lit(0.0))).alias("pmi"))
 
 
@@ -232,7 +239,7 @@ def pair_matches(pairs: DataFrame, query_tokens: DataFrame, index: TermIndex) ->
     hits = lookup_join(index.postings.drop("term_bucket"), wanted, ["doc_id", "term"])
     vocab = counts.select("term").distinct()
     stats = index.terms.select("term", "df", "ctf").join(F.broadcast(vocab) if fits(vocab) else vocab, "term", "left_semi")
-    return lookup_join(hits, stats, "term", spread_on="doc_id")
+    return lookup_join(hits, stats, "term", spread_on="doc_id", bound=vocab)
 
 
 def token_sequence() -> Column:
@@ -329,7 +336,7 @@ def extract_features(
 
     out = pairs.join(summed, ["qid", "doc_id"], "left").fillna(0, ["n_match", "sum_tf"])
     wants_pmi = any(f.name == "PMIFeature" for f in features)
-    out = lookup_join(out, query_features(query_tokens, index, wants_pmi), "qid", spread_on="doc_id")
+    out = lookup_join(out, query_features(query_tokens, index, wants_pmi), "qid", spread_on="doc_id", bound=topics)
     if "dl" not in pairs.columns:
         out = out.join(index.lengths.select("doc_id", "dl"), "doc_id")
 
@@ -342,7 +349,7 @@ def extract_features(
         out = out.join(count_pairs(matches, weights, distinct), ["qid", "doc_id"], "left").fillna(0, [f.name for f in distinct])
     if sdm:
         adjacent = weights.where(F.col("ordered_next") > 0).groupBy("qid").agg(F.count(F.lit(1)).alias("n_adjacent"))
-        out = lookup_join(out, adjacent, "qid", "left", spread_on="doc_id")
+        out = lookup_join(out, adjacent, "qid", "left", spread_on="doc_id", bound=topics)
         out = out.join(sequential_dependence(matches, weights), ["qid", "doc_id"], "left")
 
     values = []

@@ -31,7 +31,7 @@ def all_pairs(docs: DataFrame, topics: DataFrame) -> DataFrame:
     """
     names = [c for c in topics.columns]
     shards = max(1, -(-topics.count() // TOPICS_PER_SHARD))
-    packed = (
+    packed = (  # one row per shard, of at most about TOPICS_PER_SHARD topics
         topics.withColumn("_shard", F.pmod(F.xxhash64("qid"), F.lit(shards)))
         .groupBy("_shard")
         .agg(F.collect_list(F.struct(*names)).alias("_topics"))
@@ -53,7 +53,7 @@ def cooccurrence(postings: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = kept.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     each = sets.select("doc_id", F.explode("terms").alias("t1"), "terms")
     partners = wanted.groupBy("t1").agg(F.collect_set("t2").alias("partners"))
-    met = lookup_join(each, partners, "t1", spread_on="doc_id")
+    met = lookup_join(each, partners, "t1", spread_on="doc_id", bound=wanted)
     shared = met.select("t1", F.explode(F.array_intersect("partners", "terms")).alias("t2"))
     return shared.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"))
 

@@ -24,18 +24,19 @@ def analyze(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", analyze
     )
 
 
-def build_postings(
+def posting_rows(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     positions: bool = True,
     analyzer: Analyzer = tokens,
 ) -> DataFrame:
-    """``postings(doc_id, term, tf, [positions], dl)`` without any shuffle.
+    """``(doc_id, term, tf, [positions], dl, head)`` without any shuffle.
 
     A document is one row, so its postings can be formed inside that row: sort the
     (term, position) pairs, find where each term starts, cut the runs, explode. Grouping the
     exploded tokens instead would move every token of the collection over the network.
+    ``head`` marks one row per document; a document without tokens is a single row without term.
     """
     analysed = analyze(spread(docs), doc_id, text, analyzer)
     ordered = analysed.select(
@@ -44,28 +45,37 @@ def build_postings(
         F.sort_array(
             F.transform("tokens", lambda term, i: F.struct(term.alias("term"), i.alias("pos")))
         ).alias("hits"),
-    ).where(F.col("dl") > 0)
+    )
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1))
     starts = ordered.withColumn(
         "starts",
-        F.filter(
-            F.sequence(F.lit(0), F.col("dl") - 1),
-            lambda i: (i == 0) | (F.col("hits")[i]["term"] != F.col("hits")[i - 1]["term"]),
-        ),
+        F.filter(places, lambda i: (i == 0) | (F.col("hits")[i]["term"] != F.col("hits")[i - 1]["term"])),
     )
     runs = starts.select(
         "doc_id",
         "dl",
-        F.explode(
+        F.posexplode_outer(
             F.transform(
                 "starts",
                 lambda s, k: F.slice("hits", s + 1, F.coalesce(F.get("starts", k + 1), F.col("dl")) - s),
             )
-        ).alias("run"),
+        ).alias("nth", "run"),
     )
-    columns = [F.col("doc_id"), F.col("run")[0]["term"].alias("term"), F.size("run").alias("tf")]
+    columns = [F.col("doc_id"), F.get("run", F.lit(0))["term"].alias("term"), F.size("run").alias("tf")]
     if positions:
         columns.append(F.col("run")["pos"].alias("positions"))
-    return runs.select(*columns, "dl")
+    return runs.select(*columns, "dl", (F.coalesce("nth", F.lit(0)) == 0).alias("head"))
+
+
+def build_postings(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    positions: bool = True,
+    analyzer: Analyzer = tokens,
+) -> DataFrame:
+    """``postings(doc_id, term, tf, [positions], dl)``."""
+    return posting_rows(docs, doc_id, text, positions, analyzer).where(F.col("dl") > 0).drop("head")
 
 
 def doc_lengths(postings: DataFrame) -> DataFrame:
@@ -117,60 +127,74 @@ def stem_postings(postings: DataFrame) -> DataFrame:
     """Postings with stemmed terms; terms of a document that share a stem are merged."""
     from ..functions.stemming import stem_column
 
+    merged = {"tf": F.sum("tf").cast("int"), "dl": F.first("dl")}
+    if "positions" in postings.columns:
+        merged["positions"] = F.sort_array(F.flatten(F.collect_list("positions")))
+    if "head" in postings.columns:
+        merged["head"] = F.max("head")
     stemmed = stem_column(postings, spread_on="doc_id")
-    return stemmed.groupBy("doc_id", "term").agg(
-        F.sum("tf").cast("int").alias("tf"),
-        F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"),
-        F.first("dl").alias("dl"),
-    )
+    out = stemmed.groupBy("doc_id", "term").agg(*(value.alias(name) for name, value in merged.items()))
+    return out.select(*(c for c in postings.columns if c != "term_bucket"))
 
 
 def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    """Directory of a term; documents without terms are kept apart."""
+    return F.when(term.isNotNull(), F.pmod(F.xxhash64(term), F.lit(buckets))).otherwise(-1).cast("int")
 
 
-def write_index(index: TermIndex, path: str, mode: str = "overwrite", buckets: int = TERM_BUCKETS) -> None:
-    """Store the index. ``mode='append'`` adds documents; statistics are rewritten from all of them.
-
-    Postings are range-partitioned on (bucket, term, doc_id): a bucket directory holds few
-    files, terms are sorted inside them so row groups can be skipped, and a term that fills a
-    third of the collection still spreads over many tasks and files.
+def write_index(
+    docs: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    doc_id: str = "doc_id",
+    text: str = "text",
+    positions: bool = True,
+    analyzer: Analyzer = tokens,
+    stem: bool = False,
+    buckets: int = TERM_BUCKETS,
+) -> None:
+    """Index documents into stored tables. ``mode='append'`` adds documents to an index.
+
+    The text is read and analysed once. Postings go to a directory per term bucket, sorted by
+    term so that row groups can be skipped; rebalancing splits the bucket of a term that fills
+    much of the collection over many tasks and files, and needs no sampling pass over the text.
+    Lengths and statistics are then taken from the stored postings.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
-    spark = index.postings.sparkSession
-    layout = index.postings.withColumn("term_bucket", _bucket(F.col("term"), buckets))
-    (
-        layout.repartitionByRange("term_bucket", "term", "doc_id")
-        .sortWithinPartitions("term_bucket", "term", "doc_id")
-        .write.mode(mode)
-        .partitionBy("term_bucket")
-        .parquet(f"{path}/postings")
-    )
-    index.lengths.write.mode(mode).parquet(f"{path}/lengths")
-    postings = spark.read.parquet(f"{path}/postings")
-    terms = term_stats(postings).withColumn("term_bucket", _bucket(F.col("term"), buckets))
-    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    spark = docs.sparkSession
+    rows = posting_rows(docs, doc_id, text, positions, analyzer)
+    if stem:
+        empty = rows.where(F.col("term").isNull())
+        rows = stem_postings(rows.where(F.col("term").isNotNull())).unionByName(empty)
+    layout = rows.withColumn("term_bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "term_bucket")
+    ordered = layout.sortWithinPartitions("term_bucket", "term", "doc_id")
+    ordered.write.mode(mode).partitionBy("term_bucket").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.where("head").select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
+    terms = term_stats(stored.where(F.col("term_bucket") >= 0)).withColumn("term_bucket", _bucket(F.col("term"), buckets))
+    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     coll_stats(spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> TermIndex:
     """Open a stored index. The tables are read lazily, with column and bucket pruning."""
-    return TermIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("lengths", "postings", "terms", "stats")))
+    lengths, postings, terms, stats = (spark.read.parquet(f"{path}/{n}") for n in ("lengths", "postings", "terms", "stats"))
+    return TermIndex(lengths, postings.where(F.col("term_bucket") >= 0).drop("head"), terms, stats)
 
 
 def compact(spark: SparkSession, path: str, target: str, pieces: int) -> None:
     """Rewrite the postings of a stored index into ``pieces`` sorted ranges below ``target``."""
-    index = read_index(spark, path)
+    postings = spark.read.parquet(f"{path}/postings")
     (
-        index.postings.repartitionByRange(pieces, "term_bucket", "term", "doc_id")
+        postings.repartitionByRange(pieces, "term_bucket", "term", "doc_id")
         .sortWithinPartitions("term_bucket", "term", "doc_id")
         .write.mode("overwrite")
         .partitionBy("term_bucket")
         .parquet(f"{target}/postings")
     )
-    for name, table in (("lengths", index.lengths), ("terms", index.terms), ("stats", index.stats)):
-        table.write.mode("overwrite").parquet(f"{target}/{name}")
+    for name in ("lengths", "terms", "stats"):
+        spark.read.parquet(f"{path}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +12,6 @@ from ..sizing import SMALL_ROWS, fits, lookup_join, split_hot_join
 from .filters import as_of
 from .postings import Analyzer, TermIndex
 
-Scorer = Callable[[TermIndex], Column]
-
 #: Scores are ranked at the precision of the run file, so that the order in which a cluster adds
 #: floating-point numbers cannot change a rank when a task is run again.
 SCORE_DIGITS = 6
@@ -62,29 +60,44 @@ def match_terms(postings: DataFrame, query_terms: DataFrame) -> DataFrame:
     return split_hot_join(postings, query_terms, keys, "inner", "doc_id")
 
 
-def bm25_score(index: TermIndex, k1: float, b: float) -> Column:
+@dataclass(frozen=True)
+class Model:
+    """A term score in two parts.
+
+    ``constant`` depends on the term only (df, ctf, collection statistics) and is computed once
+    per query term, as column ``_c``, before the postings are met. ``score`` is computed per
+    posting from ``_c``, tf and dl.
+    """
+
+    constant: Column
+    score: Column
+
+
+def bm25_model(index: TermIndex, k1: float = 0.9, b: float = 0.4) -> Model:
     idf = F.log(1 + (index.stat("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / index.stat("avgdl"))
-    return idf * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
+    return Model(idf, F.col("_c") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm))
 
 
-def dirichlet_score(index: TermIndex, mu: float, floor: bool = False) -> Column:
-    p = F.col("ctf") / index.stat("sum_dl")
-    score = F.log(1 + F.col("tf") / (F.lit(mu) * p)) + F.log(F.lit(mu) / (F.col("dl") + F.lit(mu)))
-    return F.greatest(score, F.lit(0.0)) if floor else score
+def dirichlet_model(index: TermIndex, mu: float = 1000.0, floor: bool = False) -> Model:
+    """``floor`` keeps each term score at 0 or above."""
+    weight = F.lit(mu) * (F.col("ctf") / index.stat("sum_dl"))
+    score = F.log(1 + F.col("tf") / F.col("_c")) + F.log(F.lit(mu) / (F.col("dl") + F.lit(mu)))
+    return Model(weight, F.greatest(score, F.lit(0.0)) if floor else score)
 
 
-def tfidf_score(index: TermIndex) -> Column:
+def tfidf_model(index: TermIndex) -> Model:
     idf = 1 + F.log(index.stat("n_docs") / (F.col("df") + 1))
-    return F.sqrt("tf") * idf * idf
+    return Model(idf * idf, F.sqrt("tf") * F.col("_c"))
 
 
-def score_weighted(index: TermIndex, weighted_terms: DataFrame, score: Column) -> DataFrame:
+def score_weighted(index: TermIndex, weighted_terms: DataFrame, model: Model) -> DataFrame:
     """``(qid, doc_id, score, n_terms)``: weighted sum of term scores over matching documents."""
-    matches = match_terms(index.postings.drop("positions"), with_term_stats(weighted_terms, index))
+    terms = with_term_stats(weighted_terms, index).withColumn("_c", model.constant)
+    matches = match_terms(index.postings.drop("positions"), terms)
     visible = matches.where(as_of(F.col("doc_id"), F.col("max_id")))
     return visible.groupBy("qid", "doc_id").agg(
-        F.sum(F.col("weight") * score).alias("score"), F.count(F.lit(1)).alias("n_terms")
+        F.sum(F.col("weight") * model.score).alias("score"), F.count(F.lit(1)).alias("n_terms")
     )
 
 
@@ -105,22 +118,22 @@ def _run(scored: DataFrame, hits: int) -> DataFrame:
 
 
 def bm25(index: TermIndex, topics: DataFrame, k1: float = 0.9, b: float = 0.4, hits: int = 1000, analyzer: Analyzer = tokens) -> DataFrame:
-    return _run(score_weighted(index, topic_terms(topics, analyzer), bm25_score(index, k1, b)), hits)
+    return _run(score_weighted(index, topic_terms(topics, analyzer), bm25_model(index, k1, b)), hits)
 
 
 def query_likelihood(
     index: TermIndex, topics: DataFrame, mu: float = 1000.0, hits: int = 1000, analyzer: Analyzer = tokens, floor: bool = False
 ) -> DataFrame:
     """Dirichlet-smoothed query likelihood; ``floor`` keeps each term score at 0 or above."""
-    return _run(score_weighted(index, topic_terms(topics, analyzer), dirichlet_score(index, mu, floor)), hits)
+    return _run(score_weighted(index, topic_terms(topics, analyzer), dirichlet_model(index, mu, floor)), hits)
 
 
 def tfidf(index: TermIndex, topics: DataFrame, hits: int = 1000, analyzer: Analyzer = tokens) -> DataFrame:
     """TF-IDF with the share of matched query terms as a factor."""
     terms = topic_terms(topics, analyzer)
     length = terms.groupBy("qid").agg(F.sum("weight").alias("qlen"))
-    scored = score_weighted(index, terms, tfidf_score(index))
-    scored = lookup_join(scored, length, "qid", spread_on="doc_id")
+    scored = score_weighted(index, terms, tfidf_model(index))
+    scored = lookup_join(scored, length, "qid", spread_on="doc_id", bound=topics)
     return _run(scored.withColumn("score", F.col("score") * F.col("n_terms") / F.col("qlen")), hits)
 
 

@@ -177,7 +177,7 @@ def coll_stats(spark, sf):
 def stored_index(spark, sf):
     """Index written, compacted, opened again and summed up."""
     path = fresh_path(spark, "index")
-    po.write_index(fx.index(spark, sf), path, buckets=8)
+    po.write_index(fx.corpus(spark, sf), path, buckets=8)
     po.compact(spark, path, f"{path}-compact", 4)
     index = po.read_index(spark, f"{path}-compact")
     return po.term_stats(index.postings).withColumn("sum_dl", index.stat("sum_dl"))
@@ -188,8 +188,8 @@ def appended_index(spark, sf):
     """One index built in two appends: documents with and without labels."""
     docs, labelled = fx.corpus(spark, sf), fx.table(spark, sf, "labels").select("doc_id").distinct()
     path = fresh_path(spark, "index")
-    po.write_index(po.build_index(docs.join(labelled, "doc_id", "left_semi"), positions=False), path, buckets=8)
-    po.write_index(po.build_index(docs.join(labelled, "doc_id", "left_anti"), positions=False), path, "append", 8)
+    po.write_index(docs.join(labelled, "doc_id", "left_semi"), path, positions=False, buckets=8)
+    po.write_index(docs.join(labelled, "doc_id", "left_anti"), path, "append", positions=False, buckets=8)
     return po.read_index(spark, path).terms.select("term", "df", "ctf")
 
 

@@ -97,7 +97,7 @@ def weighted_terms(spark, sf):
 
     index = fx.index(spark, sf)
     weighted = normalize(rk.topic_terms(fx.topics(spark, sf)), "qid", "l1")
-    return rk.top_k(rk.score_weighted(index, weighted, rk.bm25_score(index, 0.9, 0.4)).drop("n_terms"))
+    return rk.top_k(rk.score_weighted(index, weighted, rk.bm25_model(index, 0.9, 0.4)).drop("n_terms"))
 
 
 @query(
@@ -141,14 +141,14 @@ def _rm3_sql(model: str) -> str:
 def rm3_bm25(spark, sf):
     index, topics = fx.index(spark, sf), fx.topics(spark, sf)
     stop = rk.top_df_terms(index.terms)
-    return fb.rm3(index, topics, rk.bm25(index, topics), rk.bm25_score(index, 0.9, 0.4), stop)
+    return fb.rm3(index, topics, rk.bm25(index, topics), rk.bm25_model(index, 0.9, 0.4), stop)
 
 
 @query("rm3_query_likelihood", _rm3_sql(_QL))
 def rm3_query_likelihood(spark, sf):
     index, topics = fx.index(spark, sf), fx.topics(spark, sf)
     stop = rk.top_df_terms(index.terms)
-    return fb.rm3(index, topics, rk.query_likelihood(index, topics), rk.dirichlet_score(index, 1000.0), stop)
+    return fb.rm3(index, topics, rk.query_likelihood(index, topics), rk.dirichlet_model(index, 1000.0), stop)
 
 
 _TIES = fx.sql(

@@ -27,15 +27,17 @@ def lookup_join(
     how: str = "inner",
     spread_on: str | None = None,
     max_rows: int = SMALL_ROWS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` with a side whose size is not known beforehand.
 
     The other side is broadcast when a check proves it small. Beyond that the join shuffles;
     ``spread_on`` names a column of ``big`` that differs within a key and is used to split hot
-    keys, for sides where one key can hold a large share of the rows.
+    keys, for sides where one key can hold a large share of the rows. ``bound`` is a cheaper
+    frame that cannot have fewer rows than ``other``; it is counted instead.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if fits(other, max_rows):
+    if fits(other if bound is None else bound, max_rows):
         return big.join(F.broadcast(other), keys, how)
     if spread_on is None:
         return big.join(other, keys, how)
@@ -54,7 +56,12 @@ def split_hot_join(
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t")).select("_t").scalar()
     hot = F.broadcast(counts.where(F.col("_n") > total * F.lit(HOT_SHARE)).select(*keys, F.lit(True).alias("_hot")))
-    piece = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_on), F.lit(HOT_PIECES)).cast("int")).otherwise(0)
+    # A NULL key meets no partner, so its rows may go anywhere; they must not all meet in one task.
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    split = F.coalesce("_hot", F.lit(False)) | missing
+    piece = F.when(split, F.pmod(F.xxhash64(spread_on), F.lit(HOT_PIECES)).cast("int")).otherwise(0)
     pieces = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PIECES - 1))).otherwise(F.array(F.lit(0)))
     left = big.join(hot, keys, "left").withColumn("_piece", piece).drop("_hot")
     right = other.join(hot, keys, "left").withColumn("_piece", F.explode(pieces)).drop("_hot")
