@@ -167,7 +167,7 @@ def column_names(features: Sequence[Feature]) -> list[str]:
     return out
 
 
-def pmi(query_terms: DataFrame, index: TermIndex) -> DataFrame:
+def pmi(query_terms: DataFrame, index: TermIndex, bound: DataFrame | None = None) -> DataFrame:
     """``(qid, pmi)``: mean over term pairs of ``ln(n12 / (df1 df2))``; 0 for a single term."""
     terms = query_terms.select("qid", "term", "df")
     listed = terms.groupBy("qid").agg(F.sort_array(F.collect_set(F.struct("term", "df"))).alias("terms"))
@@ -175,8 +175,8 @@ def pmi(query_terms: DataFrame, index: TermIndex) -> DataFrame:
         "qid", "x", F.explode(F.slice("terms", F.col("i") + 2, F.size("terms"))).alias("y")
     )
     flat = pairs.select("qid", F.col("x.term").alias("t1"), F.col("y.term").alias("t2"), (F.col("x.df") * F.col("y.df").cast("double")).alias("dd"))
-    counts = cooccurrence(index.postings, flat)
-    scored = lookup_join(flat, counts, ["t1", "t2"], "left", spread_on="qid", bound=flat)
+    counts = cooccurrence(index.postings, flat, bound)
+    scored = flat.join(counts, ["t1", "t2"], "left")
     return scored.groupBy("qid").agg(F.avg(F.coalesce(F.log(F.col("n") / F.col("dd")), F.lit(0.0))).alias("pmi"))
 
 
@@ -184,7 +184,7 @@ def query_features(query_tokens: DataFrame, index: TermIndex, with_pmi: bool = T
     """``(qid, qlen, n_unique, avg_idf, avg_scq, clarity, pmi)``: computed once per query."""
     counts = query_term_counts(query_tokens)
     vocab = counts.select("term").distinct()
-    known = index.terms.select("term", "df", "ctf").join(F.broadcast(vocab) if fits(vocab) else vocab, "term", "left_semi")
+    known = index.terms.select("term", "df", "ctf").join(F.broadcast(vocab) if fits(query_tokens) else vocab, "term", "left_semi")
     terms = counts.join(known, "term", "left").fillna(0, ["df", "ctf"])
     sized = terms.withColumn("qlen", F.sum("qtf").over(Window.partitionBy("qid")))
     p = F.col("qtf") / F.col("qlen")
@@ -198,7 +198,7 @@ def query_features(query_tokens: DataFrame, index: TermIndex, with_pmi: bool = T
     )
     if not with_pmi:
         return out.withColumn("pmi", F.lit(None).cast("double"))
-    return out.join(pmi(terms, index), "qid", "left").withColumn("pmi", F.coalesce("pmi", F.lit(0.0)))
+    return out.join(pmi(terms, index, query_tokens), "qid", "left").withColumn("pmi", F.coalesce("pmi", F.lit(0.0)))
 
 
 def query_pairs(query_tokens: DataFrame, merge_repeats: bool = False) -> DataFrame:
@@ -235,11 +235,11 @@ def query_pairs(query_tokens: DataFrame, merge_repeats: bool = False) -> DataFra
 def pair_matches(pairs: DataFrame, query_tokens: DataFrame, index: TermIndex) -> DataFrame:
     """Matched query terms of the pairs: ``(qid, doc_id, term, qtf, tf, positions, dl, df, ctf)``."""
     counts = query_term_counts(query_tokens)
-    wanted = lookup_join(pairs.select("qid", "doc_id"), counts, "qid", spread_on="doc_id")
+    wanted = lookup_join(pairs.select("qid", "doc_id"), counts, "qid", spread_on="doc_id", bound=query_tokens)
     hits = lookup_join(index.postings.drop("term_bucket"), wanted, ["doc_id", "term"])
     vocab = counts.select("term").distinct()
-    stats = index.terms.select("term", "df", "ctf").join(F.broadcast(vocab) if fits(vocab) else vocab, "term", "left_semi")
-    return lookup_join(hits, stats, "term", spread_on="doc_id", bound=vocab)
+    stats = index.terms.select("term", "df", "ctf").join(F.broadcast(vocab) if fits(query_tokens) else vocab, "term", "left_semi")
+    return lookup_join(hits, stats, "term", spread_on="doc_id", bound=query_tokens)
 
 
 def token_sequence() -> Column:

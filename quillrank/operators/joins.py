@@ -19,8 +19,8 @@ def in_cohort(df: DataFrame, cohort: DataFrame, key: str = "user_id") -> DataFra
 
 def judged_pairs(qrels: DataFrame, lengths: DataFrame, topics: DataFrame) -> DataFrame:
     """Judged ``(qid, doc_id, grade, dl)`` of known topics; documents without terms are skipped."""
-    known = lookup_join(qrels, topics.select("qid"), "qid", "left_semi", spread_on="doc_id")
-    return lookup_join(lengths.where(F.col("dl") > 0), known, "doc_id")
+    known = lookup_join(qrels, topics.select("qid"), "qid", "left_semi", spread_on="doc_id", bound=topics)
+    return lookup_join(lengths.where(F.col("dl") > 0), known, "doc_id", bound=qrels)
 
 
 def all_pairs(docs: DataFrame, topics: DataFrame) -> DataFrame:
@@ -41,19 +41,20 @@ def all_pairs(docs: DataFrame, topics: DataFrame) -> DataFrame:
     return paired.drop("_shard").withColumn("_topic", F.explode("_topics")).select(*docs.columns, "_topic.*")
 
 
-def cooccurrence(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+def cooccurrence(postings: DataFrame, pairs: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """``(t1, t2, n)``: documents that contain both terms, for the given pairs only.
 
     Each document keeps the set of its terms that occur in any pair, and counts its partners
     inside the row; only counts per pair leave the task. Nothing is emitted for other pairs.
+    ``bound`` is a frame with at least as many rows as the pairs have different terms.
     """
     wanted = pairs.select("t1", "t2").distinct()
     vocab = wanted.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
-    kept = lookup_join(postings.select("doc_id", "term"), vocab, "term", "left_semi", spread_on="doc_id")
+    kept = lookup_join(postings.select("doc_id", "term"), vocab, "term", "left_semi", spread_on="doc_id", bound=bound)
     sets = kept.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     each = sets.select("doc_id", F.explode("terms").alias("t1"), "terms")
     partners = wanted.groupBy("t1").agg(F.collect_set("t2").alias("partners"))
-    met = lookup_join(each, partners, "t1", spread_on="doc_id", bound=wanted)
+    met = lookup_join(each, partners, "t1", spread_on="doc_id", bound=wanted if bound is None else bound)
     shared = met.select("t1", F.explode(F.array_intersect("partners", "terms")).alias("t2"))
     return shared.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"))
 

@@ -39,14 +39,14 @@ def topic_terms(topics: DataFrame, analyzer: Analyzer = tokens) -> DataFrame:
 def with_term_stats(query_terms: DataFrame, index: TermIndex) -> DataFrame:
     """Query terms that occur in the collection, with df and ctf (and the bucket of a stored index)."""
     vocab = query_terms.select("term").distinct()
-    if fits(vocab):
+    if fits(query_terms):
         vocab = F.broadcast(vocab)
     found = index.terms.join(vocab, "term", "left_semi")
     # One row per distinct query term, so it is no larger than the query side itself.
     return query_terms.join(found, "term")
 
 
-def match_terms(postings: DataFrame, query_terms: DataFrame) -> DataFrame:
+def match_terms(postings: DataFrame, query_terms: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Postings of the query terms; documents match if they contain any of them.
 
     A query side of proven size is broadcast: postings are then not shuffled at all, so a term
@@ -55,9 +55,9 @@ def match_terms(postings: DataFrame, query_terms: DataFrame) -> DataFrame:
     side beyond the bound is joined by shuffle with hot terms split over many tasks.
     """
     keys = ["term_bucket", "term"] if "term_bucket" in postings.columns and "term_bucket" in query_terms.columns else ["term"]
-    if fits(query_terms, SMALL_ROWS):
+    if fits(query_terms if bound is None else bound, SMALL_ROWS):
         return postings.join(F.broadcast(query_terms.where(F.length("term") > 0)), keys)
-    return split_hot_join(postings, query_terms, keys, "inner", "doc_id")
+    return split_hot_join(postings, query_terms, keys, "inner", "doc_id", stored="term_bucket" in keys)
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def tfidf_model(index: TermIndex) -> Model:
 def score_weighted(index: TermIndex, weighted_terms: DataFrame, model: Model) -> DataFrame:
     """``(qid, doc_id, score, n_terms)``: weighted sum of term scores over matching documents."""
     terms = with_term_stats(weighted_terms, index).withColumn("_c", model.constant)
-    matches = match_terms(index.postings.drop("positions"), terms)
+    matches = match_terms(index.postings.drop("positions"), terms, bound=weighted_terms)
     visible = matches.where(as_of(F.col("doc_id"), F.col("max_id")))
     return visible.groupBy("qid", "doc_id").agg(
         F.sum(F.col("weight") * model.score).alias("score"), F.count(F.lit(1)).alias("n_terms")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import materialize
+
 #: A side is broadcast only if it has at most this many (narrow) rows.
 SMALL_ROWS = 200_000
 #: A key is hot when it holds more than this share of the rows, so at most 1 / HOT_SHARE keys are.
@@ -15,9 +18,18 @@ HOT_SHARE = 0.001
 HOT_PIECES = 64
 
 
+_checked: WeakKeyDictionary[DataFrame, dict[int, bool]] = WeakKeyDictionary()
+
+
 def fits(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows. Stops reading once the bound is passed."""
-    return df.select(F.lit(1)).offset(max_rows).isEmpty()
+    """True if ``df`` has at most ``max_rows`` rows. Stops reading once the bound is passed.
+
+    The answer is kept as long as the frame is, so a plan that uses it often checks it once.
+    """
+    known = _checked.setdefault(df, {})
+    if max_rows not in known:
+        known[max_rows] = df.select(F.lit(1)).offset(max_rows).isEmpty()
+    return known[max_rows]
 
 
 def lookup_join(
@@ -45,14 +57,19 @@ def lookup_join(
 
 
 def split_hot_join(
-    big: DataFrame, other: DataFrame, keys: Sequence[str], how: str, spread_on: str
+    big: DataFrame, other: DataFrame, keys: Sequence[str], how: str, spread_on: str, stored: bool = False
 ) -> DataFrame:
     """Shuffle join in which hot keys of ``big`` go to HOT_PIECES partitions instead of one.
 
+    ``big`` is read once to count its keys and once to join, so it is written to the shared
+    folder first unless it is a ``stored`` table; its plan would otherwise run for both.
+
     Only the rows of hot keys are repeated on the other side. Works for inner, left, left_semi
     and left_anti joins, because each row of ``big`` still meets all of its partners.
     """
     keys = list(keys)
+    if not stored:
+        big = materialize(big, "split")
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t")).select("_t").scalar()
     hot = F.broadcast(counts.where(F.col("_n") > total * F.lit(HOT_SHARE)).select(*keys, F.lit(True).alias("_hot")))

@@ -7,13 +7,16 @@ import pytest
 import oracle
 from quillrank.plans.catalog import QUERIES, SQL
 
-SLOW = {
-    "features_run", "features_all_pairs", "features_statuses", "rerank_by_trees", "rm3_query_likelihood", "judged_pairs",
-    "score_features", "read_ltr", "binary_vectors", "data_set_files", "labelled_embeddings", "result_ids", "reranker_cascade",
-    "query_likelihood", "read_run", "position_pairs", "average_precision", "is_judged", "bm25_top10", "cohort_dictionary",
-    "read_statuses_by_pattern", "stop_list_file", "weighted_terms", "match_terms", "rerank_by_model", "appended_index", "live_search",
+QUICK = {
+    "analyze_english", "analyze_statuses", "html_to_text", "url_domain", "build_postings", "term_stats", "coll_stats", "term_dictionary",
+    "prune_vectors", "normalize_l2", "interpolate_vectors", "top_df_terms", "bm25", "tfidf", "rm3_bm25", "tiebreak_recent", "with_grade",
+    "mean_average_precision", "precision_at_30", "run_file", "features_pairs", "sequential_dependence", "all_pairs", "ltr_file",
+    "read_warc", "read_warc_018", "web_documents", "read_trec_web", "read_statuses", "read_topics_microblog", "read_qrels",
+    "index_statuses", "city_related", "upsert", "assign_city", "city_counts", "first_per_user", "user_timelines", "class_term_freq",
+    "labelled_vectors", "expand_from_timeline", "doc_embeddings", "reply_roots", "reply_chain", "ingest_with_deletes",
+    "compacted_live_table", "stream_counters",
 }
-NAMES = [n for n in QUERIES if os.environ.get("QUILLRANK_ALL") or n not in SLOW]
+NAMES = [n for n in QUERIES if os.environ.get("QUILLRANK_ALL") or n in QUICK]
 
 
 @pytest.fixture(scope="module")
