@@ -9,7 +9,8 @@ from ..operators import feedback as fb
 from ..operators import filters as fl
 from ..operators import ranking as rk
 from ..operators import rerank as rr
-from ..session import fresh_path, materialize
+from ..operators import runs
+from ..session import fresh_path
 from ..sinks import files as out
 from ..sources import judgments as jd
 from . import fixtures as fx
@@ -261,3 +262,25 @@ def stop_list_file(spark, sf):
     path = fresh_path(spark, "stop")
     out.write_stoplist(rk.top_df_terms(fx.index(spark, sf).terms), path)
     return jd.read_stoplist(spark, path)
+
+
+_STATUS_RUN = fx.sql("", "statuses", "deletes", "qterms", "topics").rstrip() + f"""
+, kept AS MATERIALIZED (SELECT * FROM statuses WHERE id NOT IN (SELECT id FROM deletes)),
+kt AS (SELECT id, unnest({fx.TOKENS.format('text')}) AS term FROM kept),
+kp AS MATERIALIZED (SELECT id AS doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY id)::BIGINT AS dl FROM kt GROUP BY id, term),
+ks AS MATERIALIZED (SELECT term, sum(tf)::BIGINT AS ctf FROM kp GROUP BY term),
+sc AS (SELECT qid, doc_id, round(sum(qtf * (ln(1 + tf / (1000.0 * ctf / (SELECT sum(tf) FROM kp))) + ln(1000.0 / (dl + 1000.0)))), 6) AS score
+  FROM qterms JOIN kp USING (term) JOIN ks USING (term) JOIN topics USING (qid) WHERE doc_id BETWEEN 0 AND max_id GROUP BY qid, doc_id),
+rn AS (SELECT qid, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc) JOIN kept k ON k.id = doc_id
+  WHERE rank <= 1000 AND k.retweeted_status_id IS NULL),
+mk AS (SELECT *, (abs(score - lag(score, 1, 0.0) OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC)) > 0.001)::INT AS new FROM rn),
+il AS (SELECT *, sum(new) OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC ROWS UNBOUNDED PRECEDING) AS island FROM mk)
+SELECT qid, doc_id, round(score - 0.000001 * (row_number() OVER (PARTITION BY qid, island ORDER BY score DESC, doc_id DESC)
+  - CASE WHEN island > 0 THEN 1 ELSE 0 END), 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC)::INT AS rank FROM il"""
+
+
+@query("status_run", _STATUS_RUN)
+def status_run(spark, sf):
+    """Delete list, as-of query likelihood, retweet removal and tie-break in one job."""
+    run = runs.status_run(fx.statuses(spark, sf), fx.timed_topics(spark, sf), fx.deletes(spark, sf))
+    return run.withColumn("score", F.round("score", 9))
