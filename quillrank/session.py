@@ -66,7 +66,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     One gzip file, or one parquet row group, is one task. Larger inputs are left as they are,
     so no shuffle is added where the scan already splits well. Three pieces per core even out
-    documents of very different lengths.
+    documents of very different lengths. A plan that already exchanges data is left alone:
+    asking it for its partitions would run its stages.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores)
