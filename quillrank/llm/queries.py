@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from . import bpe, mixing
 from .exact_dedup import exact_dedup
 from .registry import QUERIES, SQL, query, table
+from .substring_dedup import substring_dedup
+
+
+@query("op1_substring_dedup")
+def op1(spark, sf_dir):
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op2_mixing_to_target_weights")

@@ -131,4 +131,21 @@ class Words:
         return text, np.arange(len(self.hash)) - self.first[:-1][text]
 
 
+    def join(self, kept: np.ndarray) -> pa.Array:
+        """Each text's words that are kept, joined by one space."""
+        n = len(self.first) - 1
+        word = np.flatnonzero(kept)
+        text = np.searchsorted(self.first, word, "right") - 1
+        last = np.concatenate([text[1:] != text[:-1], [True]]) if len(word) else np.zeros(0, bool)
+        data = self.data.copy()
+        data[self.end[word]] = 32
+        step = np.zeros(len(data) + 2, np.int8)
+        step[self.start[word]] += 1
+        stop = self.end[word] + np.where(last, 0, 1)
+        np.subtract.at(step, stop, 1)
+        used = np.cumsum(step, dtype=np.int8)[: len(data)] > 0
+        offsets = np.concatenate([[0], np.cumsum(used)])[self.text_start].astype(np.int32)
+        return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data[used].tobytes()))
+
+
 _window_powers: dict[int, _Powers] = {}
