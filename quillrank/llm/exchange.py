@@ -29,7 +29,7 @@ PACKET = "bucket int, part int, packet binary"
 REPORT = "part int, packet binary"
 
 _KINDS = {"key": np.uint64, "key2": np.uint32, "doc": np.int64, "tag": np.uint32, "pos": np.uint32, "more": np.uint8}
-RECORD = tuple(_KINDS)
+RECORD = ("key", "key2", "doc", "tag", "pos", "more")
 PLACE = ("doc", "tag", "pos")
 
 

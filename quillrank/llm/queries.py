@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, mixing
 from .exact_dedup import exact_dedup
+from .hyperminhash import near_duplicates
 from .registry import QUERIES, SQL, query, table
 from .substring_dedup import substring_dedup
 
@@ -27,6 +28,11 @@ def op4(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op6_minhash_near_dedup")
+def op6(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
