@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe, mixing
+from .ego_join import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .hyperminhash import near_duplicates
 from .registry import QUERIES, SQL, query, table
@@ -42,4 +43,10 @@ def op6(spark, sf_dir):
 def op9(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
+
+@query("op10_embedding_near_dedup")
+def op10(spark, sf_dir):
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 __all__ = ["QUERIES", "SQL"]
