@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from ..functions.text import html_to_text
+from . import bpe, language_id, licenses, mixing
 from .ego_join import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .hyperminhash import near_duplicates
@@ -24,11 +25,31 @@ def op2(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query("language_id_of_pages")
+def language_id_of_pages(spark, sf_dir):
+    """The same over web pages: text without markup, declared language, top-level domain and host."""
+    pages = table(spark, sf_dir, "pages")
+    host = F.parse_url("url", F.lit("HOST"))
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z-]+)", 1)
+    found = language_id.identify(pages, "page_id", html_to_text(F.col("html")), declared, host, F.regexp_extract(host, r"[^.]+$", 0))
+    return found.drop("key").withColumnRenamed("doc_id", "page_id")
+
+
 @query("op4_byte_level_bpe")
 def op4(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op5_license_scans", licenses.scan_sql("documents"))
+def op5(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op6_minhash_near_dedup")
 def op6(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
