@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text
-from . import bpe, language_id, licenses, mixing
+from . import bpe, language_id, licenses, mixing, pii
 from .ego_join import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .hyperminhash import near_duplicates
@@ -55,6 +55,11 @@ def op6(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_pii")
+def op7(spark, sf_dir):
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
