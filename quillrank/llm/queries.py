@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text
-from . import bpe, language_id, licenses, mixing, pii
+from . import bpe, html_extract, language_id, licenses, mixing, pii
 from .ego_join import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .hyperminhash import near_duplicates
@@ -60,6 +60,12 @@ def op7(spark, sf_dir):
     return pii.span_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op8_html_extraction")
+def op8(spark, sf_dir):
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query(
     "op9_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
