@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sizing import lookup_join, split_hot_join
+from .registry import unused
 
 #: Characters of the second level's key.
 PREFIX = 64
@@ -63,14 +64,15 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and a text look the same in that list, so if there are any they are thinned out by the same key.
     """
     result = materialize(exact_dedup(docs, id_col, text_col), "dedup")
+    name = unused(docs, "_key")
 
     def key(id_column, digest):
-        return F.concat_ws(":", F.coalesce(id_column.cast("string"), F.lit("null")), digest).alias("_key")
+        return F.concat_ws(":", F.coalesce(id_column.cast("string"), F.lit("null")), digest).alias(name)
 
     dropped = result.where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     twins = result.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    marked = docs.withColumn("_key", key(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    left = lookup_join(marked, dropped.select(key(F.col("doc_id"), F.col("text_sha256"))).distinct(), "_key", "left_anti", spread_on="_key")
+    marked = docs.withColumn(name, key(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    left = lookup_join(marked, dropped.select(key(F.col("doc_id"), F.col("text_sha256"))).distinct(), name, "left_anti", spread_on=name)
     if not twins.isEmpty():
-        left = left.dropDuplicates(["_key"])
+        left = left.dropDuplicates([name])
     return left.select(*docs.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sizing import lookup_join
+from .registry import unused
 from .words import Words, slices
 
 #: Rows of the labelled sample that the text models are fitted on, about and at most.
@@ -25,8 +26,8 @@ FIT_ROWS, FIT_MOST = 4_000, 12_000
 LANGUAGES = 64
 #: Trigrams are counted in so many cells.
 CELLS = 1 << 15
-#: Added to each count of a trigram.
-SMOOTH = 0.1
+#: Share of a uniform model in each text model; a trigram that was never seen costs its logarithm.
+UNIFORM = 0.5
 #: Weight of the level above in the prior of a host or domain, in documents.
 PRIOR_WEIGHT = 8.0
 #: Neighbouring trigrams overlap, so each counts as a third of an observation.
@@ -76,10 +77,11 @@ def fit(docs: DataFrame) -> Model:
         language, cell = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"language": pa.array(language, pa.int32()), "cell": pa.array(cell, pa.int32()), "n": pa.array(total[language, cell], pa.int64())})
 
-    counts = np.full((CELLS, len(names)), SMOOTH)
+    counts = np.zeros((CELLS, len(names)))
     found = sample.mapInArrow(count, "language int, cell int, n long").groupBy("language", "cell").agg(F.sum("n").alias("n")).toPandas()
     counts[found["cell"], found["language"]] += found["n"]
-    return Model(names, np.log(counts / counts.sum(axis=0)) if len(names) else counts)
+    share = counts / np.maximum(counts.sum(axis=0), 1)
+    return Model(names, np.log((1 - UNIFORM) * share + UNIFORM / CELLS))
 
 
 def _smoothed(counts: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -187,6 +189,7 @@ def identify(
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **evidence: Column) -> DataFrame:
     """``docs`` without the documents that ``identify`` rejects; all columns stay."""
-    rejected = identify(docs, id_col, F.col(text_col), **evidence).where(~F.col("accepted")).select(F.col("key").alias("_key")).distinct()
-    marked = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
-    return lookup_join(marked, materialize(rejected, "rejected"), "_key", "left_anti", spread_on="_key").select(*docs.columns)
+    name = unused(docs, "_key")
+    rejected = identify(docs, id_col, F.col(text_col), **evidence).where(~F.col("accepted")).select(F.col("key").alias(name)).distinct()
+    marked = docs.withColumn(name, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
+    return lookup_join(marked, materialize(rejected, "rejected"), name, "left_anti", spread_on=name).select(*docs.columns)
