@@ -15,8 +15,11 @@ def only_responses(records: DataFrame) -> DataFrame:
 
 
 def drop_empty(docs: DataFrame, text: str = "text", counted: Observation | None = None) -> DataFrame:
-    """Documents with text. ``counted`` receives ``n_empty`` and ``n_rows`` when the job has run."""
-    empty = F.coalesce(F.length(F.trim(F.col(text))) == 0, F.lit(True))
+    """Documents with text other than blanks and control characters.
+
+    ``counted`` receives ``n_empty`` and ``n_rows`` when the job has run.
+    """
+    empty = F.coalesce(~F.col(text).rlike(r"[^\x00-\x20]"), F.lit(True))
     if counted is not None:
         docs = docs.observe(counted, F.count(F.lit(1)).alias("n_rows"), F.count_if(empty).alias("n_empty"))
     return docs.where(~empty)

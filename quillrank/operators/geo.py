@@ -103,11 +103,13 @@ def user_post_frequency(df: DataFrame, name: str, short_name: str, lon: float, l
 def user_timelines(df: DataFrame, piece_rows: int = 1_000) -> DataFrame:
     """``(user_id, piece, n_texts, text)``: texts of a user joined in id order, line ends folded.
 
-    A timeline comes in pieces of at most ``piece_rows`` texts, to be read in piece order. A user
-    who wrote a large share of all statuses would not fit into one row or one task.
+    A timeline comes in pieces of at most ``piece_rows`` texts, numbered from 0 within the user and to be
+    read in that order. A user who wrote a large share of all statuses would not fit into one row or one task.
     """
     ordered = numbered(df.select("user_id", "id", fold_newlines("text").alias("text")), "user_id", "id")
-    pieces = ordered.groupBy("user_id", F.floor(F.col("n") / F.lit(piece_rows)).alias("piece")).agg(
+    first = ordered.groupBy("user_id").agg(F.min("n").alias("_first"))
+    ordered = lookup_join(ordered, first, "user_id", spread_on="id")
+    pieces = ordered.groupBy("user_id", F.floor((F.col("n") - F.col("_first")) / F.lit(piece_rows)).alias("piece")).agg(
         F.count(F.lit(1)).alias("n_texts"), F.sort_array(F.collect_list(F.struct("id", "text"))).alias("_texts")
     )
     return pieces.select("user_id", "piece", "n_texts", F.array_join(F.col("_texts.text"), " ").alias("text"))

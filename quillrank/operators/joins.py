@@ -86,12 +86,13 @@ def background_terms(hits: DataFrame, timeline_terms: DataFrame) -> DataFrame:
     return lookup_join(timeline_terms, users, "user_id", spread_on="term").select("id", "term", "tf")
 
 
-def reply_roots(df: DataFrame, id_col: str = "id", parent: str = "in_reply_to_status_id", max_rounds: int = 32) -> DataFrame:
+def reply_roots(df: DataFrame, id_col: str = "id", parent: str = "in_reply_to_status_id") -> DataFrame:
     """``(id, root_id, depth)``: topmost known ancestor of every status and the steps to it.
 
     Pointer doubling: after round r a status points 2^r steps up, so the number of joins is the
     logarithm of the longest chain. Statuses that reached their root take no part in further
-    rounds. Statuses on a cycle have no root and are reported with NULL.
+    rounds. No chain is longer than there are replies, so what is open after the logarithm of their number
+    is on a cycle, or leads to one; it has no root and is reported with NULL.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(parent).alias("up"))
     known = own.select(F.col("id").alias("up"), F.lit(True).alias("_known"))
@@ -105,11 +106,14 @@ def reply_roots(df: DataFrame, id_col: str = "id", parent: str = "in_reply_to_st
         ),
         "replies",
     )
-    for _ in range(max_rounds):
-        open_rows = state.where(~F.col("done"))
+    finished, open_rows = [state.where("done")], state.where(~F.col("done"))
+    for _ in range(open_rows.count().bit_length() + 1):
         if open_rows.isEmpty():
-            return state.select("id", "root_id", "depth")
-        step = state.select(
+            break
+        every = open_rows
+        for part in finished:
+            every = every.unionByName(part)
+        step = every.select(
             F.col("id").alias("root_id"), F.col("root_id").alias("_next"), F.col("depth").alias("_more"),
             F.col("done").alias("_top"),
         )
@@ -117,26 +121,32 @@ def reply_roots(df: DataFrame, id_col: str = "id", parent: str = "in_reply_to_st
             moved = open_rows.join(F.broadcast(step), "root_id")
         else:
             moved = split_hot_join(open_rows, step, ["root_id"], "inner", "id")
-        moved = moved.select(
-            "id", F.col("_next").alias("root_id"), (F.col("depth") + F.col("_more")).alias("depth"),
-            F.col("_top").alias("done"),
+        moved = materialize(
+            moved.select(
+                "id", F.col("_next").alias("root_id"), (F.col("depth") + F.col("_more")).alias("depth"), F.col("_top").alias("done")
+            ),
+            "replies",
         )
-        state = materialize(state.where("done").unionByName(moved), "replies")
-    return state.select("id", F.when(F.col("done"), F.col("root_id")).alias("root_id"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+        finished.append(moved.where("done"))
+        open_rows = moved.where(~F.col("done"))
+    out = open_rows.select("id", F.lit(None).cast("bigint").alias("root_id"), F.lit(None).cast("bigint").alias("depth"))
+    for part in finished:
+        out = out.unionByName(part.drop("done"))
+    return out
 
 
-def reply_chain(
-    df: DataFrame, starts: DataFrame, id_col: str = "id", parent: str = "in_reply_to_status_id", max_depth: int = 1_000
-) -> DataFrame:
+def reply_chain(df: DataFrame, starts: DataFrame, id_col: str = "id", parent: str = "in_reply_to_status_id") -> DataFrame:
     """``(start_id, id, steps)``: each start and all its ancestors; the root has the most steps.
 
-    One equi join per level; a popular status that many chains pass is split over tasks.
+    One equi join per level; a popular status that many chains pass is split over tasks. A chain that runs
+    into a cycle ends there, with each status once: at steps 1, 2, 4, ... it remembers the status it is at, and
+    stops when it comes by again.
     """
     links = df.select(F.col(id_col).alias("id"), F.col(parent).alias("up"))
     small = fits(links)
-    frontier = starts.select(F.col(id_col).alias("start_id"), F.col(id_col).alias("id"))
-    levels = []
-    for steps in range(max_depth + 1):
+    frontier = starts.select(F.col(id_col).alias("start_id"), F.col(id_col).alias("id"), F.lit(None).cast("bigint").alias("seen"))
+    levels, steps = [], 0
+    while True:
         if small:
             found = frontier.join(F.broadcast(links), "id")
         else:
@@ -145,10 +155,11 @@ def reply_chain(
         if level.isEmpty():
             break
         levels.append(level.select("start_id", "id", "steps"))
-        frontier = level.where(F.col("up").isNotNull()).select("start_id", F.col("up").alias("id"))
-    else:
-        raise ValueError(f"a chain is longer than {max_depth}")
+        seen = F.col("id") if steps & (steps - 1) == 0 else F.col("seen")
+        further = level.where(F.col("up").isNotNull()).select("start_id", F.col("up").alias("id"), seen.alias("seen"))
+        frontier = further.where(F.col("seen").isNull() | (F.col("id") != F.col("seen")))
+        steps += 1
     out = levels[0] if levels else frontier.select("start_id", "id", F.lit(0).alias("steps"))
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out
+    return out.groupBy("start_id", "id").agg(F.min("steps").alias("steps"))

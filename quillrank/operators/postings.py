@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import materialize, spread
+from ..sizing import lookup_join
 
 Analyzer = Callable[[Column], Column]
 
@@ -197,9 +198,16 @@ def compact(spark: SparkSession, path: str, target: str, pieces: int) -> None:
         spark.read.parquet(f"{path}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """``base`` with the rows of ``updates`` put in by ``key``; the last version wins."""
-    return base.join(updates.select(key), key, "left_anti").unionByName(updates, allowMissingColumns=True)
+def upsert(base: DataFrame, updates: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
+    """``base`` with the rows of ``updates`` put in by ``key``; the last version wins.
+
+    Of updates that share a key the one with the largest ``version`` counts; without such a column the
+    last row does, in the order in which the updates are read. One row per key and task is shuffled.
+    """
+    rest = [c for c in updates.columns if c != key]
+    ordered = updates.withColumn("_order", F.col(version) if version else F.monotonically_increasing_id())
+    last = ordered.groupBy(key).agg(F.max_by(F.struct(*rest), "_order").alias("_last")).select(key, "_last.*")
+    return lookup_join(base, last.select(key), key, "left_anti").unionByName(last.select(*updates.columns), allowMissingColumns=True)
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:

@@ -15,6 +15,10 @@ from .postings import Analyzer, TermIndex
 #: Scores are ranked at the precision of the run file, so that the order in which a cluster adds
 #: floating-point numbers cannot change a rank when a task is run again.
 SCORE_DIGITS = 6
+#: Ranks up to which Spark keeps the best rows of a window per task before the shuffle.
+GROUP_LIMIT = 1_000
+#: Pieces in which the matches of a query are ranked first, beyond that.
+RANK_PIECES = 64
 
 
 def analyze_topics(topics: DataFrame, analyzer: Analyzer = tokens) -> DataFrame:
@@ -55,8 +59,9 @@ def match_terms(postings: DataFrame, query_terms: DataFrame, bound: DataFrame |
     side beyond the bound is joined by shuffle with hot terms split over many tasks.
     """
     keys = ["term_bucket", "term"] if "term_bucket" in postings.columns and "term_bucket" in query_terms.columns else ["term"]
+    query_terms = query_terms.where(F.length("term") > 0)
     if fits(query_terms if bound is None else bound, SMALL_ROWS):
-        return postings.join(F.broadcast(query_terms.where(F.length("term") > 0)), keys)
+        return postings.join(F.broadcast(query_terms), keys)
     return split_hot_join(postings, query_terms, keys, "inner", "doc_id", stored="term_bucket" in keys)
 
 
@@ -104,12 +109,18 @@ def score_weighted(index: TermIndex, weighted_terms: DataFrame, model: Model) ->
 def top_k(scored: DataFrame, k: int = 1000, *, recent_first: bool = False) -> DataFrame:
     """``run(qid, doc_id, score, rank)``: the best k per query, ranks from 1.
 
-    Each task keeps its own best k before the rows of a query meet, so the last step sees at
-    most k rows per task and query however many documents match.
+    The matches of a query are dealt over RANK_PIECES pieces by a hash of the document; each keeps its best
+    k before the pieces meet, so the last step sees at most RANK_PIECES * k rows of a query however many
+    documents match and however large k is.
     """
     tie = F.desc("doc_id") if recent_first else F.asc("doc_id")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), tie)
     rounded = scored.withColumn("score", F.round("score", SCORE_DIGITS))
+    if k > GROUP_LIMIT:  # up to this bound each task keeps its best k by itself
+        piece = F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PIECES))
+        own = Window.partitionBy("qid", "_piece").orderBy(F.desc("score"), tie)
+        dealt = rounded.withColumn("_piece", piece).withColumn("_rank", F.row_number().over(own))
+        rounded = dealt.where(F.col("_rank") <= k).drop("_piece", "_rank")
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), tie)
     return rounded.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

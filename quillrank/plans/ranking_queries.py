@@ -257,10 +257,10 @@ def read_run(spark, sf):
     return jd.read_run(spark, path)
 
 
-@query("stop_list_file", fx.sql("SELECT term FROM terms ORDER BY df DESC, term DESC LIMIT 100", "terms"))
+@query("stop_list_file", fx.sql("SELECT term FROM terms ORDER BY df DESC, term DESC LIMIT 500", "terms"))
 def stop_list_file(spark, sf):
     path = fresh_path(spark, "stop")
-    out.write_stoplist(rk.top_df_terms(fx.index(spark, sf).terms), path)
+    out.write_stoplist(rk.top_df_terms(fx.index(spark, sf).terms, 500), path)
     return jd.read_stoplist(spark, path)
 
 

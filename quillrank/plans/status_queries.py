@@ -28,9 +28,11 @@ def only_responses(spark, sf):
     return fl.only_responses(records).select("doc_id", F.lit("en").alias("type"))
 
 
-@query("drop_empty", "SELECT doc_id FROM documents WHERE length(trim(replace(replace(text, '.', ' '), ',', ' '))) > 0")
+@query("drop_empty", "SELECT doc_id FROM documents WHERE length(text) > 0 AND doc_id % 3 != 0")
 def drop_empty(spark, sf):
-    docs = fx.corpus(spark, sf).withColumn("text", F.translate("text", ".,", "  "))
+    """Every third text is turned into blanks, tabs and line ends."""
+    blank = F.regexp_replace("text", r"[^\n]", "\t ")
+    docs = fx.corpus(spark, sf).withColumn("text", F.when(F.col("doc_id") % 3 == 0, blank).otherwise(F.col("text")))
     return fl.drop_empty(docs).select("doc_id")
 
 
@@ -139,8 +141,9 @@ def minus_ids(spark, sf):
 def upsert(spark, sf):
     base = fx.statuses(spark, sf).select("id", "place", "lang")
     labelled = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
-    changed = base.join(labelled, "id", "left_semi").withColumn("place", F.concat(F.lit("new "), "place"))
-    return po.upsert(base, changed)
+    changed = base.join(labelled, "id", "left_semi").withColumn("place", F.concat(F.lit("new "), "place")).withColumn("version", F.lit(2))
+    older = changed.withColumns({"place": F.lit("old"), "version": F.lit(1)})
+    return po.upsert(base, changed.unionByName(older), version="version").drop("version")
 
 
 @query("in_cohort", fx.sql("SELECT id, user_id FROM statuses WHERE user_id IN (SELECT user_id FROM cohort)", "statuses", "cohort"))
@@ -181,18 +184,18 @@ def user_post_frequency(spark, sf):
     return geo.user_post_frequency(fx.statuses(spark, sf), **CITY)
 
 
-_PIECES = """SELECT user_id, n // 50 AS piece, count(*) AS n_texts, string_agg(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' ' ORDER BY id) AS text
-  FROM (SELECT *, row_number() OVER (ORDER BY user_id, id) - 1 AS n FROM timelines) GROUP BY ALL"""
+_PIECES = """SELECT user_id, n // 5 AS piece, count(*) AS n_texts, string_agg(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' ' ORDER BY id) AS text
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS n FROM timelines) GROUP BY ALL"""
 
 
 @query("user_timelines", fx.sql(_PIECES, "timelines"))
 def user_timelines(spark, sf):
-    return geo.user_timelines(fx.timelines(spark, sf), piece_rows=50)
+    return geo.user_timelines(fx.timelines(spark, sf), piece_rows=5)
 
 
 @query("with_timeline", fx.sql(f"SELECT s.id, user_id, piece, p.text AS timeline FROM statuses s JOIN ({_PIECES}) p USING (user_id)", "statuses", "timelines"))
 def with_timeline(spark, sf):
-    pieces = geo.user_timelines(fx.timelines(spark, sf), piece_rows=50)
+    pieces = geo.user_timelines(fx.timelines(spark, sf), piece_rows=5)
     return jn.with_timeline(fx.statuses(spark, sf).select("id", "user_id"), pieces).select("id", "user_id", "piece", "timeline")
 
 
@@ -201,7 +204,7 @@ def with_timeline(spark, sf):
     fx.sql(f"SELECT user_id, piece, n_texts, text FROM ({_PIECES}) WHERE user_id IN (SELECT user_id FROM city_hits) AND user_id IN (SELECT user_id FROM cohort)", "city_hits", "cohort", "timelines"),
 )
 def cohort_background(spark, sf):
-    pieces = geo.user_timelines(fx.timelines(spark, sf), piece_rows=50)
+    pieces = geo.user_timelines(fx.timelines(spark, sf), piece_rows=5)
     return geo.background(_hits(spark, sf), fx.cohort(spark, sf), pieces)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -69,7 +70,7 @@ def spread(df: DataFrame) -> DataFrame:
     documents of very different lengths. A plan that already exchanges data is left alone:
     asking it for its partitions would run its stages.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if re.search(r"(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores)

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def run_lines(run: DataFrame, tag: str) -> DataFrame:
-    """``qid Q0 doc_id rank score tag`` with six decimals, in topic and rank order."""
-    ordered = run.orderBy("qid", "rank")
+    """``qid Q0 doc_id rank score tag`` with six decimals, in topic and rank order.
+
+    Topics that are numbers come first, by value; others follow by their text.
+    """
+    ordered = run.orderBy(F.col("qid").try_cast("bigint").asc_nulls_last(), "qid", "rank")
     return ordered.select(
         F.format_string("%s Q0 %s %d %.6f %s", F.col("qid"), F.col("doc_id").cast("string"), F.col("rank"), F.col("score"), F.lit(tag)).alias("value")
     )
@@ -57,9 +60,9 @@ def write_ids(ids: DataFrame, path: str) -> None:
     write_lines(ids.select(F.col(ids.columns[0]).cast("string").alias("value")), path)
 
 
-def write_stoplist(terms: DataFrame, path: str, k: int = 100) -> None:
-    """At most ``k`` terms, so one file."""
-    write_lines(terms.select(F.col("term").alias("value")).limit(k).coalesce(1), path)
+def write_stoplist(terms: DataFrame, path: str) -> None:
+    """One term per line; ``top_df_terms`` makes the choice."""
+    write_lines(terms.select(F.col("term").alias("value")), path)
 
 
 def write_dataset(rows: DataFrame, dictionary: DataFrame, path: str, as_text: bool = False) -> None:

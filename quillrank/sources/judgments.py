@@ -66,8 +66,13 @@ def read_cohort(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """``vectors(term, embedding)`` of ``term v1 v2 ...`` lines; a header line of two numbers is skipped."""
-    words = spark.read.text(path).select(_words().alias("w")).where(F.size("w") > 2)
+    """``vectors(term, embedding)`` of ``term v1 v2 ...`` lines.
+
+    A first line of two whole numbers, the size of the table, is skipped.
+    """
+    lines = spark.read.text(path).select(_words().alias("w"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_line"))
+    header = (F.size("w") == 2) & F.col("w")[0].rlike("^[0-9]+$") & F.col("w")[1].rlike("^[0-9]+$") & (F.col("_at") == 0) & (F.col("_line").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    words = lines.where((F.size("w") > 1) & ~header)
     return words.select(
         F.col("w")[0].alias("term"),
         F.transform(F.slice("w", 2, F.size("w")), lambda x: x.cast("float")).alias("embedding"),

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
 
 
-def list_inputs(spark: SparkSession, suffix: str = ".warc.gz", skip: str = "OtherData", skip_corrupt: bool = True):
-    """Reader options for a collection folder: all depths, one file suffix, unreadable files skipped.
+def list_inputs(spark: SparkSession, suffix: str = ".warc.gz", skip: str = "OtherData", skip_corrupt: bool = False):
+    """Reader options for a collection folder: all depths, one file suffix.
+
+    An unreadable file is an error; with ``skip_corrupt`` what follows the damage is left out silently.
 
     Returns a reader and the condition that leaves out the skipped subtree.
     """
@@ -22,38 +27,81 @@ def list_inputs(spark: SparkSession, suffix: str = ".warc.gz", skip: str = "Othe
     return reader, wanted
 
 
+def _warc_records(version: str):
+    """Task function: lines of files, in order, to records that are cut by their stated length."""
+    mark = version.encode()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, head, body, need, held, out = None, None, [], None, 0, []
+
+        def record(complete: bool) -> tuple:
+            payload = b"".join(body)
+            return b"\n".join(head).decode("utf-8", "replace"), payload[: need if complete else None].decode("utf-8", "replace"), not complete
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], ["head", "payload", "rejected"])
+
+        for batch in batches:
+            for line, path in zip(batch.column("line").to_pylist(), batch.column("file").to_pylist()):
+                if path != file:
+                    if head is not None:
+                        out.append(record(False))
+                    file, head, body, need, held = path, None, [], None, 0
+                bare = line.rstrip(b"\r")
+                if head is None:
+                    if bare == mark:
+                        head = []
+                elif need is None:
+                    if bare:
+                        head.append(bare)
+                    else:
+                        sizes = [h.split(b":", 1)[1].strip() for h in head if h.lower().startswith(b"content-length:")]
+                        if sizes and sizes[-1].isdigit():
+                            need = int(sizes[-1])
+                        else:  # a record without a length can't be cut
+                            out.append(record(False))
+                            head = None
+                else:
+                    body.append(line + b"\n")
+                    held += len(line) + 1
+                # The last line of a file may lack its line end, so one byte less is enough.
+                if head is not None and need is not None and held >= need:
+                    out.append(record(True))
+                    head, body, need, held = None, [], None, 0
+            yield batch_of(out)
+            out = []
+        if head is not None:
+            out.append(record(False))
+        yield batch_of(out)
+
+    return read
+
+
 def read_warc(
     spark: SparkSession, path: str, version: str = "WARC/1.0", suffix: str = ".warc.gz", with_rejects: bool = False
 ) -> DataFrame:
     """``(doc_id, url, type, headers, content)`` of a WARC collection.
 
-    The version line separates records. Blocks whose payload length disagrees with their header
-    are dropped, or come out with ``rejected = true``: a payload may itself hold the version
-    line. Files are gzip and not splittable, so one file is one task while reading.
+    A record begins with a version line and has as many bytes of payload as its header says, so a payload may hold
+    any text and any bytes; bytes that are no UTF-8 become replacement characters, one record at a time. Records
+    that their file cuts short, or without a length, are left out or come out with ``rejected = true``. Files
+    must be gzip, which is not splittable: a file is read in order by one task.
     """
+    if not suffix.endswith(".gz"):
+        raise ValueError("WARC files must be gzip")
     reader, wanted = list_inputs(spark, suffix)
-    blocks = reader.option("lineSep", version).text(path).where(wanted)
-    # Header lines end at the first empty line.
-    cut = F.regexp_instr("value", F.lit(r"\r?\n\r?\n"))
-    split = blocks.select(
-        F.when(cut > 0, F.substr("value", F.lit(1), cut)).otherwise(F.col("value")).alias("head"),
-        F.when(cut > 0, F.regexp_replace(F.substr("value", cut), r"^\r?\n\r?\n", "")).otherwise(F.lit("")).alias("body"),
-    ).where(F.length(F.trim("head")) > 0)
-    lines = F.filter(F.split("head", r"\r?\n"), lambda x: F.contains(x, F.lit(":")))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.split(x, ":", 2)[0]), F.trim(F.split(x, ":", 2)[1])))
+    lines = reader.option("lineSep", "\n").text(path).where(wanted)
+    lines = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"))
+    split = lines.mapInArrow(_warc_records(version), "head string, payload string, rejected boolean")
+    fields = F.filter(F.split("head", "\n"), lambda x: F.contains(x, F.lit(":")))
+    pairs = F.transform(fields, lambda x: F.struct(F.trim(F.split(x, ":", 2)[0]), F.trim(F.split(x, ":", 2)[1])))
     latest = F.aggregate(
         pairs,
         F.array().cast("array<struct<k:string,v:string>>"),
         lambda acc, p: F.concat(F.filter(acc, lambda q: q["k"] != p["col1"]), F.array(F.struct(p["col1"].alias("k"), p["col2"].alias("v")))),
     )
-    size = F.col("headers")["Content-Length"].try_cast("bigint")
-    parsed = split.select(F.map_from_entries(latest).alias("headers"), "body").withColumn("size", size)
-    # The record ends with two line ends that are not part of the payload.
-    whole = F.octet_length("body")
-    exact = F.decode(F.substring(F.encode("body", "UTF-8"), F.lit(1), F.col("size").cast("int")), "UTF-8")
-    parsed = parsed.withColumns(
-        {"rejected": F.col("size").isNull() | (whole < F.col("size")) | (whole > F.col("size") + 4), "payload": exact}
-    )
+    parsed = split.select(F.map_from_entries(latest).alias("headers"), "payload", "rejected")
     inner = F.instr("payload", "Content-Length:")
     rest = F.when(inner > 0, F.substr("payload", inner)).otherwise(F.col("payload"))
     rest = F.substr(rest, F.instr(rest, "\n") + 1)

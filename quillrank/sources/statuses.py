@@ -34,7 +34,8 @@ def status_columns(messages: DataFrame) -> DataFrame:
         "user_url": F.col("user.url"),
         "urls": F.col("entities.urls.expanded_url"),
     }
-    return messages.select(*(columns.get(c, F.col(c)).alias(c) for c in STATUS_COLUMNS))
+    kept = [c for c in ("arrival",) if c in messages.columns]
+    return messages.select(*(columns.get(c, F.col(c)).alias(c) for c in STATUS_COLUMNS), *kept)
 
 
 def read_raw(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
@@ -69,7 +70,8 @@ def read_statuses(spark: SparkSession, path: str | Sequence[str], pattern: str |
 
 def parse_messages(lines: DataFrame) -> DataFrame:
     """JSON text in ``value`` as nested message columns; broken lines give NULL columns."""
-    return lines.select(F.from_json("value", STATUS_JSON, {"mode": "PERMISSIVE"}).alias("m")).select("m.*")
+    kept = [c for c in lines.columns if c == "arrival"]
+    return lines.select(F.from_json("value", STATUS_JSON, {"mode": "PERMISSIVE"}).alias("m"), *kept).select("m.*", *kept)
 
 
 def read_statuses_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -85,8 +87,14 @@ def read_statuses_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_messages(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
-    """Streaming ``(value)`` of raw JSON message lines, as a message queue would deliver them."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    """Streaming ``(value, arrival)`` of raw JSON message lines.
+
+    ``arrival`` orders the lines of different files: by the time a file was written, then by its name and the
+    place in it. A batch reads many files, and not in that order.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    file = F.col("_metadata")
+    return lines.select("value", F.struct(file["file_modification_time"].alias("at"), file["file_path"].alias("file"), file["file_block_start"].alias("block")).alias("arrival"))
 
 
 def split_messages(lines: DataFrame) -> DataFrame:

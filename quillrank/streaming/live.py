@@ -29,14 +29,15 @@ def last_per_id(messages: DataFrame, order: Sequence[str]) -> DataFrame:
 def ingest(stream: DataFrame, path: str, checkpoint: str, order: str | None = None, **trigger) -> StreamingQuery:
     """Write a stream with columns ``id`` and ``op`` (``add`` or ``delete``) to the live table.
 
-    Arrival order is ``order`` where the source has such a column, else the order of lines in a
-    batch. A batch that is run again after a failure overwrites its own folder, so every
+    Arrival order is ``order`` where the source has such a column, or else its column ``arrival`` and the
+    order of lines in a file. Without either, batches must hold one file each. A batch that is run again after a failure overwrites its own folder, so every
     message counts once. ``trigger`` sets the commit interval; the default drains what is there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         numbered = batch if order else batch.withColumn("_line", F.monotonically_increasing_id())
-        last = last_per_id(numbered, [order or "_line"]).drop("_line")
+        known = [order] if order else [c for c in ("arrival", "_line") if c in numbered.columns]
+        last = last_per_id(numbered, known).drop("_line", "arrival")
         last.write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
 
     return (

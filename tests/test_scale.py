@@ -147,5 +147,30 @@ def test_tie_islands_by_hand(spark):
 def test_reply_cycle_has_no_root(spark):
     rows_in = [(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5)]
     df = spark.createDataFrame(rows_in, "id BIGINT, in_reply_to_status_id BIGINT")
-    got = {r.id: (r.root_id, r.depth) for r in jn.reply_roots(df, max_rounds=4).collect()}
+    got = {r.id: (r.root_id, r.depth) for r in jn.reply_roots(df).collect()}
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (4, 0), 5: (None, None), 6: (None, None)}
+
+
+def test_reply_chain_ends_in_a_cycle(spark):
+    """0 <- 1 <- 2 is a chain; 5 -> 6 -> 7 -> 5 is a cycle that 9 leads to."""
+    df = spark.createDataFrame([(0, None), (1, 0), (2, 1), (5, 6), (6, 7), (7, 5), (9, 5)], "id BIGINT, in_reply_to_status_id BIGINT")
+    got = {}
+    for r in jn.reply_chain(df, df.select("id")).collect():
+        got.setdefault(r.start_id, {})[r.id] = r.steps
+    assert got[2] == {2: 0, 1: 1, 0: 2} and got[5] == {5: 0, 6: 1, 7: 2} and got[9] == {9: 0, 5: 1, 6: 2, 7: 3}
+
+
+def test_ranks_beyond_the_group_limit(spark):
+    scored = spark.range(5_000).selectExpr("'q' AS qid", "id AS doc_id", "CAST(id % 977 AS DOUBLE) AS score")
+    whole = scored.orderBy("score", ascending=False).count()
+    got = [(r.doc_id, r.rank) for r in rk.top_k(scored, 2_000).orderBy("rank").collect()]
+    want = sorted(range(whole), key=lambda i: (-(i % 977), i))[:2_000]
+    assert got == [(d, n) for n, d in enumerate(want, 1)]
+
+
+def test_timeline_pieces_do_not_depend_on_other_users(spark):
+    rows_in = [("a", i, f"a{i}") for i in range(3)] + [("b", i, f"b{i}") for i in range(2)]
+    df = spark.createDataFrame(rows_in, "user_id string, id long, text string")
+    pieces = {(r.user_id, r.piece): r.text for r in geo.user_timelines(df, 2).collect()}
+    assert pieces == {("a", 0): "a0 a1", ("a", 1): "a2", ("b", 0): "b0 b1"}
+    assert geo.user_timelines(df).count() == 2

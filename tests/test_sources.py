@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import Observation
 
 from quillrank.operators import filters as fl
+from quillrank.operators.postings import upsert
+from quillrank.sinks.files import run_lines, write_stoplist
 from quillrank.sources import judgments as jd
 from quillrank.sources import records as rc
 from quillrank.sources import statuses as st
@@ -38,11 +40,43 @@ def test_warc(spark, tmp_path, version, content):
     assert [r.doc_id for r in fl.only_responses(rc.read_warc(spark, str(tmp_path), version)).collect()] == ["d1"]
 
 
-def test_warc_payload_with_version_line_is_rejected(spark, tmp_path):
-    bad = warc_record("WARC/1.0", "response", "d1", "Content-Length: 1\n<p>WARC/1.0</p>")
-    gz(tmp_path / "a.warc.gz", bad + warc_record("WARC/1.0", "response", "d2", "Content-Length: 1\n<p>fine</p>"))
-    assert [r.doc_id for r in rc.read_warc(spark, str(tmp_path)).collect()] == ["d2"]
-    assert rc.read_warc(spark, str(tmp_path), with_rejects=True).where("rejected").count() == 2
+def test_warc_payload_may_hold_any_text_and_bytes(spark, tmp_path):
+    inner = "Content-Length: 1\n<p>WARC/1.0</p>\nWARC/1.0\r\nWARC-Type: response\r\n\r\n<p>x</p>"
+    latin = b"WARC/1.0\r\nWARC-TREC-ID: d3\r\nWARC-Type: response\r\nContent-Length: 29\r\n\r\nContent-Length: 1\n<p>caf\xe9</p>\n"
+    cut = b"WARC/1.0\r\nWARC-TREC-ID: d4\r\nContent-Length: 99\r\n\r\nshort"
+    data = (warc_record("WARC/1.0", "response", "d1", inner) + warc_record("WARC/1.0", "response", "d2", "Content-Length: 1\n<p>fine</p>")).encode() + latin + cut
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data))
+    gz(tmp_path / "b.warc.gz", warc_record("WARC/1.0", "response", "e1", "Content-Length: 1\n<p>b</p>"))
+    found = {r.doc_id: r.content for r in rc.read_warc(spark, str(tmp_path)).collect()}
+    assert found == {"d1": inner.split("\n", 1)[1], "d2": "<p>fine</p>", "d3": "<p>caf\ufffd</p>", "e1": "<p>b</p>"}
+    assert [r.doc_id for r in rc.read_warc(spark, str(tmp_path), with_rejects=True).where("rejected").collect()] == ["d4"]
+
+
+def test_stop_list_is_written_whole(spark, tmp_path):
+    write_stoplist(spark.range(500).selectExpr("concat('t', id) AS term"), str(tmp_path / "stop"))
+    assert jd.read_stoplist(spark, str(tmp_path / "stop")).count() == 500
+
+
+def test_run_file_is_in_numeric_topic_order(spark):
+    run = spark.createDataFrame([(q, 1, 1.0, 1) for q in ("10", "9", "MB2", "100")], "qid string, doc_id long, score double, rank int")
+    assert [r.value.split()[0] for r in run_lines(run, "t").collect()] == ["9", "10", "100", "MB2"]
+
+
+def test_blank_texts_are_empty(spark):
+    docs = spark.createDataFrame([(1, "\n\t \x01"), (2, " a\t"), (3, None), (4, "")], "doc_id long, text string")
+    assert [r.doc_id for r in fl.drop_empty(docs).collect()] == [2]
+
+
+def test_upsert_takes_the_last_version(spark):
+    base = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id long, v string, version int")
+    new = spark.createDataFrame([(1, "late", 3), (1, "early", 1), (3, "c", 1)], "id long, v string, version int")
+    assert sorted(tuple(r)[:2] for r in upsert(base, new, version="version").collect()) == [(1, "late"), (2, "b"), (3, "c")]
+    assert upsert(base, new).count() == 3
+
+
+def test_vectors_keep_lines_of_one_value(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("2 1\nred 0.5\nblue 0.25\n")
+    assert {r.term: list(r.embedding) for r in jd.read_vectors(spark, str(tmp_path / "v.txt")).collect()} == {"red": [0.5], "blue": [0.25]}
 
 
 def test_trec_web(spark, tmp_path):

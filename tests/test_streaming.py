@@ -1,6 +1,7 @@
 """Streams restarted from their checkpoint, late deletes, commit intervals."""
 
 import json
+import os
 
 from quillrank.plans import fixtures as fx
 from quillrank.sources import statuses as st
@@ -40,6 +41,18 @@ def test_ingest_restart_and_compaction(spark, tmp_path):
     assert [r.doc_id for r in found] == [3, 4]
 
 
+def test_deletes_in_a_later_file_of_the_same_batch(spark, tmp_path):
+    """Files of a batch are split by size, so the larger file is read first; what counts is when they were written."""
+    source, path = tmp_path / "in", str(tmp_path / "live")
+    put(source, "a.json", status(1), status(2))
+    put(source, "b.json", gone(1), *[status(i, "long text " * 50) for i in range(10, 60)])
+    put(source, "c.json", status(3), gone(2), gone(10))
+    for i, name in enumerate(("a.json", "b.json", "c.json")):
+        os.utime(source / name, (1_700_000_000 + i, 1_700_000_000 + i))
+    live.ingest(st.split_messages(st.stream_messages(spark, str(source), 100)), path, str(tmp_path / "cp")).awaitTermination()
+    assert {r.id for r in live.live_table(spark, path).collect()} == {3, *range(11, 60)}
+
+
 def test_counters_after_restart_equal_the_batch(spark, tmp_path, sf_dir):
     source, cp = tmp_path / "in", str(tmp_path / "cp")
     cities = fx.cities(spark, sf_dir)
