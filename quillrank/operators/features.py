@@ -201,19 +201,20 @@ def query_features(query_tokens: DataFrame, index: TermIndex, with_pmi: bool = T
     return out.join(pmi(terms, index, query_tokens), "qid", "left").withColumn("pmi", F.coalesce("pmi", F.lit(0.0)))
 
 
-def query_pairs(query_tokens: DataFrame, merge_repeats: bool = False) -> DataFrame:
+def query_pairs(query_tokens: DataFrame, merge_repeats: bool = False, adjacent: bool = False) -> DataFrame:
     """``(qid, t1, t2, ordered_next, unordered_next, ordered_all, unordered_all)``.
 
     Says how often a document pair "t1 before t2" counts for each kind of feature. A pair that
     matches a query pair in both directions counts twice in the unordered kinds. For
     ``ordered_all`` a repeated query token keeps the partners of its last place that has any;
-    ``merge_repeats`` uses the partners of all its places.
+    ``merge_repeats`` uses the partners of all its places. With ``adjacent`` only pairs of neighbours are
+    formed, as many as the query has tokens, and the two kinds of all pairs are not to be used.
     """
     listed = query_tokens.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).getField("term").alias("q"))
     places = listed.select("qid", "q", F.posexplode("q").alias("i", "a")).where(F.col("i") < F.size("q") - 1)
     last = F.max("i").over(Window.partitionBy("qid", "a"))
     ahead = places.withColumn("last", last).select(
-        "qid", "a", "i", "last", F.posexplode(F.slice("q", F.col("i") + 2, F.size("q"))).alias("j", "b")
+        "qid", "a", "i", "last", F.posexplode(F.slice("q", F.col("i") + 2, F.lit(1) if adjacent else F.size("q"))).alias("j", "b")
     )
     pairs = ahead.groupBy("qid", "a", "b").agg(
         F.max(F.col("j") == 0).cast("int").alias("next"),
@@ -236,10 +237,13 @@ def pair_matches(pairs: DataFrame, query_tokens: DataFrame, index: TermIndex) ->
     """Matched query terms of the pairs: ``(qid, doc_id, term, qtf, tf, positions, dl, df, ctf)``."""
     counts = query_term_counts(query_tokens)
     wanted = lookup_join(pairs.select("qid", "doc_id"), counts, "qid", spread_on="doc_id", bound=query_tokens)
-    hits = lookup_join(index.postings.drop("term_bucket"), wanted, ["doc_id", "term"])
     vocab = counts.select("term").distinct()
-    stats = index.terms.select("term", "df", "ctf").join(F.broadcast(vocab) if fits(query_tokens) else vocab, "term", "left_semi")
-    return lookup_join(hits, stats, "term", spread_on="doc_id", bound=query_tokens)
+    # A stored index also has the directory of each term, so that a scan reads only those of the query.
+    place = [c for c in ("term_bucket",) if c in index.terms.columns and c in index.postings.columns]
+    stats = index.terms.select("term", "df", "ctf", *place).join(F.broadcast(vocab) if fits(query_tokens) else vocab, "term", "left_semi")
+    wanted = lookup_join(wanted, stats, "term", spread_on="doc_id", bound=query_tokens)
+    postings = index.postings if place else index.postings.drop("term_bucket")
+    return lookup_join(postings, wanted, ["doc_id", "term", *place]).drop(*place)
 
 
 def token_sequence() -> Column:
@@ -326,7 +330,7 @@ def extract_features(
     document-level features come from one aggregate over it.
     """
     features = _features(names)
-    query_tokens = analyze_topics(topics, analyzer)
+    query_tokens = analyze_topics(topics, analyzer, index.stemmed)
     matches = pair_matches(pairs, query_tokens, index)
 
     aggregates = [F.count(F.lit(1)).alias("n_match"), F.sum("tf").alias("sum_tf")]
@@ -343,7 +347,7 @@ def extract_features(
     paired = [f for f in features if f.level == "pair"]
     sdm = [f for f in features if f.level == "sdm"]
     if paired or sdm:
-        weights = query_pairs(query_tokens)
+        weights = query_pairs(query_tokens, adjacent=not any(f.kind in ("ordered_all", "unordered_all") for f in paired))
     if paired:
         distinct = list({f.name: f for f in paired}.values())
         out = out.join(count_pairs(matches, weights, distinct), ["qid", "doc_id"], "left").fillna(0, [f.name for f in distinct])

@@ -99,12 +99,16 @@ def coll_stats(lengths: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TermIndex:
-    """The searchable tables. ``lengths`` also lists documents without terms."""
+    """The searchable tables. ``lengths`` also lists documents without terms.
+
+    ``stemmed`` tells that the terms are stems, so that queries have to be stemmed as well.
+    """
 
     lengths: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    stemmed: bool = False
 
     def stat(self, name: str) -> Column:
         """A collection statistic as a scalar subquery; it is computed once per query."""
@@ -117,11 +121,14 @@ def build_index(
     text: str = "text",
     positions: bool = True,
     analyzer: Analyzer = tokens,
+    stem: bool = False,
 ) -> TermIndex:
     """Lazy index over ``docs``; nothing runs until a query does."""
     lengths = analyze(spread(docs), doc_id, text, analyzer).select("doc_id", F.size("tokens").alias("dl"))
     postings = build_postings(docs, doc_id, text, positions, analyzer)
-    return TermIndex(lengths, postings, term_stats(postings), coll_stats(lengths))
+    if stem:
+        postings = stem_postings(postings)
+    return TermIndex(lengths, postings, term_stats(postings), coll_stats(lengths), stem)
 
 
 def stem_postings(postings: DataFrame) -> DataFrame:
@@ -175,13 +182,15 @@ def write_index(
     stored.where("head").select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
     terms = term_stats(stored.where(F.col("term_bucket") >= 0)).withColumn("term_bucket", _bucket(F.col("term"), buckets))
     terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    coll_stats(spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = coll_stats(spark.read.parquet(f"{path}/lengths")).withColumn("stemmed", F.lit(stem))
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> TermIndex:
     """Open a stored index. The tables are read lazily, with column and bucket pruning."""
     lengths, postings, terms, stats = (spark.read.parquet(f"{path}/{n}") for n in ("lengths", "postings", "terms", "stats"))
-    return TermIndex(lengths, postings.where(F.col("term_bucket") >= 0).drop("head"), terms, stats)
+    stemmed = bool(stats.first()["stemmed"])
+    return TermIndex(lengths, postings.where(F.col("term_bucket") >= 0).drop("head"), terms, stats, stemmed)
 
 
 def compact(spark: SparkSession, path: str, target: str, pieces: int) -> None:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem_column
 from ..functions.text import tokens
 from ..sizing import SMALL_ROWS, fits, lookup_join, split_hot_join
 from .filters import as_of
@@ -21,10 +22,14 @@ GROUP_LIMIT = 1_000
 RANK_PIECES = 64
 
 
-def analyze_topics(topics: DataFrame, analyzer: Analyzer = tokens) -> DataFrame:
-    """``(qid, pos, term)``: query tokens in order, with repeats, empty tokens dropped."""
+def analyze_topics(topics: DataFrame, analyzer: Analyzer = tokens, stem: bool = False) -> DataFrame:
+    """``(qid, pos, term)``: query tokens in order, with repeats, empty tokens dropped.
+
+    ``stem`` turns them into the stems that a stemmed index has.
+    """
     words = F.filter(analyzer(F.col("query")), lambda t: t != "")
-    return topics.select("qid", F.posexplode(words).alias("pos", "term"))
+    found = topics.select("qid", F.posexplode(words).alias("pos", "term"))
+    return stem_column(found, spread_on="qid").select("qid", "pos", "term") if stem else found
 
 
 def query_term_counts(query_tokens: DataFrame) -> DataFrame:
@@ -32,9 +37,9 @@ def query_term_counts(query_tokens: DataFrame) -> DataFrame:
     return query_tokens.groupBy("qid", "term").agg(F.count(F.lit(1)).cast("int").alias("qtf"))
 
 
-def topic_terms(topics: DataFrame, analyzer: Analyzer = tokens) -> DataFrame:
+def topic_terms(topics: DataFrame, analyzer: Analyzer = tokens, stem: bool = False) -> DataFrame:
     """``(qid, term, weight, max_id)`` of a bag-of-words query; a repeated term weighs more."""
-    counts = query_term_counts(analyze_topics(topics, analyzer)).withColumnRenamed("qtf", "weight")
+    counts = query_term_counts(analyze_topics(topics, analyzer, stem)).withColumnRenamed("qtf", "weight")
     if "max_id" not in topics.columns:
         return counts.withColumn("max_id", F.lit(None).cast("bigint"))
     return counts.join(topics.select("qid", "max_id"), "qid")
@@ -129,19 +134,19 @@ def _run(scored: DataFrame, hits: int) -> DataFrame:
 
 
 def bm25(index: TermIndex, topics: DataFrame, k1: float = 0.9, b: float = 0.4, hits: int = 1000, analyzer: Analyzer = tokens) -> DataFrame:
-    return _run(score_weighted(index, topic_terms(topics, analyzer), bm25_model(index, k1, b)), hits)
+    return _run(score_weighted(index, topic_terms(topics, analyzer, index.stemmed), bm25_model(index, k1, b)), hits)
 
 
 def query_likelihood(
     index: TermIndex, topics: DataFrame, mu: float = 1000.0, hits: int = 1000, analyzer: Analyzer = tokens, floor: bool = False
 ) -> DataFrame:
     """Dirichlet-smoothed query likelihood; ``floor`` keeps each term score at 0 or above."""
-    return _run(score_weighted(index, topic_terms(topics, analyzer), dirichlet_model(index, mu, floor)), hits)
+    return _run(score_weighted(index, topic_terms(topics, analyzer, index.stemmed), dirichlet_model(index, mu, floor)), hits)
 
 
 def tfidf(index: TermIndex, topics: DataFrame, hits: int = 1000, analyzer: Analyzer = tokens) -> DataFrame:
     """TF-IDF with the share of matched query terms as a factor."""
-    terms = topic_terms(topics, analyzer)
+    terms = topic_terms(topics, analyzer, index.stemmed)
     length = terms.groupBy("qid").agg(F.sum("weight").alias("qlen"))
     scored = score_weighted(index, terms, tfidf_model(index))
     scored = lookup_join(scored, length, "qid", spread_on="doc_id", bound=topics)

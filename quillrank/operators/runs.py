@@ -33,7 +33,7 @@ def rank_topics(
     is expanded from its first run. Rerankers are applied in order.
     """
     scorer = MODELS[model](index) if isinstance(model, str) else model
-    scored = score_weighted(index, topic_terms(topics, analyzer), scorer).select("qid", "doc_id", "score")
+    scored = score_weighted(index, topic_terms(topics, analyzer, index.stemmed), scorer).select("qid", "doc_id", "score")
     run = top_k(scored, hits)
     if feedback:
         run = rm3(index, topics, run, scorer, stop, hits=hits, analyzer=analyzer)

@@ -1,121 +1,152 @@
-"""Golden values of the features over small collections."""
+"""Features of small random collections against the formulas, written out in plain Python."""
 
+import itertools
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import english_tokens
 from quillrank.operators import features as ft
-from quillrank.operators.postings import TermIndex, build_index, build_postings, coll_stats, doc_lengths, stem_postings, term_stats
-
-
-def extract(spark, names, docs, query, doc=0, stem=False):
-    docs = [docs] if isinstance(docs, str) else docs
-    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id BIGINT, text STRING")
-    topics = spark.createDataFrame([("1", query)], "qid STRING, query STRING")
-    index = build_index(frame, analyzer=english_tokens)
-    if stem:
-        postings = stem_postings(build_postings(frame, analyzer=english_tokens))
-        index = TermIndex(index.lengths, postings, term_stats(postings), index.stats)
-    pairs = spark.createDataFrame([("1", doc)], "qid STRING, doc_id BIGINT")
+from quillrank.operators import ranking as rk
+from quillrank.operators.postings import build_index, build_postings, coll_stats, doc_lengths, read_index, write_index
+
+WORDS = "amber birch copper delta ember fern garnet hazel iris jade".split()
+
+
+def collection(seed):
+    """Documents (one of them empty) and queries with repeats and unknown words."""
+    pick = random.Random(seed)
+    docs = [[pick.choice(WORDS[: 4 + seed]) for _ in range(pick.randrange(3, 24))] for _ in range(6)] + [[]]
+    queries = [[pick.choice(WORDS) for _ in range(n)] for n in (1, 2, 3, 5)] + [["amber", "birch", "amber", "copper", "unknown"]]
+    return docs, queries
+
+
+def expected(docs, query, doc, k1=1.2, b=0.75):
+    """All features of one pair by their definitions."""
+    n, size = len(docs), [len(d) for d in docs]
+    df = Counter(t for d in docs for t in set(d))
+    ctf = Counter(t for d in docs for t in d)
+    total, mean = sum(size), sum(size) / n
+    text, tf, qtf = docs[doc], Counter(docs[doc]), Counter(query)
+    met = [t for t in qtf if tf[t]]
+    length, dl = len(query), len(text)
+
+    def idf(t):
+        return math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+
+    def pmi(x, y):
+        both = sum(x in d and y in d for d in docs)
+        return math.log(both / (df[x] * df[y])) if both else 0.0
+
+    known = [t for t in qtf if ctf[t]]
+    pairs = list(itertools.combinations(sorted(qtf), 2))
+    out = {
+        "QueryLength": length, "UniqueQueryTerms": len(qtf), "MatchingTermCount": len(met), "DocSize": dl,
+        "AvgIDF": sum(q * idf(t) for t, q in qtf.items()) / length,
+        "AvgSCQ": sum(qtf[t] * (1 + math.log(ctf[t] * idf(t))) for t in known) / length,
+        "SimplifiedClarityScore": sum(qtf[t] / length * math.log(qtf[t] / length / (ctf[t] / total)) for t in known),
+        "PMIFeature": sum(pmi(x, y) for x, y in pairs) / len(pairs) if pairs else 0.0,
+        "AvgICTF": sum(math.log(dl / tf[t]) for t in met) / length,
+        "TFIDF": sum(qtf[t] * math.sqrt(tf[t]) * (1 + math.log(n / (df[t] + 1))) ** 2 for t in met) * len(met) / length,
+        "BM25Feature": sum(idf(t) * tf[t] * (k1 + 1) / (tf[t] + k1 * (1 - b + b * dl / mean)) for t in met),
+    }
+    for name in ("SumMatchingTf", "SumTermFrequency", "UnigramsFeatureExtractor"):
+        out[name] = sum(tf[t] for t in met)
+    neighbours = set(zip(query, query[1:]))
+    ahead = {(x, y) for i, x in enumerate(query) for y in query[i + 1 :]}
+    last = {x: i for i, x in enumerate(query[:-1])}
+    kept = {(x, y) for x, i in last.items() for y in query[i + 1 :]}
+    for gap in (1, 2, 6, 8, 10):
+        near = [(text[i], text[j]) for i in range(dl) for j in range(i + 1, min(dl, i + gap + 1))]
+        out[f"OrderedSequentialPairs{gap}"] = sum(p in neighbours for p in near)
+        out[f"UnorderedSequentialPairs{gap}"] = sum((p in neighbours) + (p[::-1] in neighbours) for p in near)
+        out[f"OrderedAllPairs{gap}"] = sum(p in kept for p in near)
+        out[f"UnorderedQueryTokenPairs{gap}"] = sum((p in ahead) + (p[::-1] in ahead) for p in near)
+    return out
+
+
+def extract(spark, names, docs, queries, index=None):
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id BIGINT, text STRING")
+    topics = spark.createDataFrame([(str(i), " ".join(q)) for i, q in enumerate(queries)], "qid STRING, query STRING")
+    pairs = spark.createDataFrame([(str(q), d) for q in range(len(queries)) for d in range(len(docs))], "qid STRING, doc_id BIGINT")
     features = [ft.feature(n) if isinstance(n, str) else n for n in names]
-    row = ft.extract_features(pairs, index, topics, features, english_tokens).first()
-    return [row[c] for c in ft.column_names(features)]
-
-
-def seq(kind, *gaps):
-    return [f"{kind}{g}" for g in gaps]
-
-
-OSEQ, USEQ, OALL, UALL = "OrderedSequentialPairs", "UnorderedSequentialPairs", "OrderedAllPairs", "UnorderedQueryTokenPairs"
-MIXED = "bunch words document test simple case document test case simple, test document"
-LONG = "bunch words document test simple case large text length size"
-
-CASES = [
-    (["DocSize"], "document test missing", "nothing", [3]),
-    (["SumTermFrequency"], "document test missing all", "nothing", [0]),
-    (["SumTermFrequency"], "document document document another", "document", [3]),
-    (["SumTermFrequency"], "document with multiple document term document multiple some missing", "document multiple missing", [6]),
-    (["UnigramsFeatureExtractor"], "simple simple document test case document", "document simple case nonexistent query", [5]),
-    (["TFIDF"], "single document test case", "document", [0.094158]),
-    (["TFIDF"], ["single document test case", "new document", "another document"], "document test", [2.4827]),
-    (["AvgIDF"], "document missing token", "document test", [0.836985]),
-    (["AvgICTF"], "document document missing", "document test", [0.20273]),
-    (["AvgSCQ"], "test document", "document", [-0.24590]),
-    (["SimplifiedClarityScore"], ["test document", "test test", "another document", "more test document", "test"], "test document", [0.25541]),
-    (["PMIFeature"], "test document multiple tokens", "test document", [0]),
-    (
-        ["PMIFeature"],
-        ["test document", "document token", "document no match", "test", "no match token", "no match document token", "just another document"],
-        "test document token",
-        [-1.43916],
-    ),
-    (["PMIFeature"], ["document", "test entry", "another document"], "test document", [0]),
-    (seq(OSEQ, 2, 4, 6), "a simple document", "simple document", [1, 1, 1]),
-    (seq(OSEQ, 2, 4, 6), "document more token simple test case", "simple document test case", [1, 2, 2]),
-    (seq(USEQ, 2, 4, 6), "document more token simple test case", "simple document test case", [1, 3, 3]),
-    (seq(OSEQ, 2, 4, 6) + seq(USEQ, 2, 4, 6), MIXED, "document test", [2, 3, 4, 3, 6, 7]),
-    (seq(OALL, 2, 4, 6), LONG, "bunch words test", [2, 3, 3]),
-    (seq(UALL, 2, 4, 6), LONG, "test document text", [1, 2, 3]),
-    (seq(OSEQ, 2, 4, 6) + seq(USEQ, 2, 4, 6), "document test document bunch", "document test document bunch", [3, 4, 4, 5, 6, 6]),
-    (seq(OALL, 2, 4, 6) + seq(UALL, 2, 4, 6), "document case document test bunch", "document case test", [3, 4, 4, 4, 5, 5]),
-    (
-        seq(OSEQ, 2) + seq(USEQ, 2) + seq(OALL, 2) + seq(UALL, 2),
-        "document test word word word test case word document", "document test case", [2, 2, 2, 3],
-    ),
-    (seq(OSEQ, 1), "document test document test", "missing phrase", [0]),
-    (seq(OSEQ, 1), "test document test document multiple tokens multiple phrase", "test document multiple", [3]),
-]
-
-
-@pytest.mark.parametrize("names,docs,query,expected", CASES, ids=range(len(CASES)))
-def test_golden_value(spark, names, docs, query, expected):
-    assert extract(spark, names, docs, query) == pytest.approx(expected, abs=1e-3)
-
-
-BM25_CASES = [
-    ("single document test case", "test", 0.287682, 0.287682),
-    (["single document test case", "another document", "yet another document"], "test", 0.92256, 0.86313),
-    (["single document test case", "another document", "yet another document"], "test document", 1.04816, 0.98064),
-    (["single document test case test", "another document", "more document"], "test document", 1.30555, 1.24061),
-]
-
-
-@pytest.mark.parametrize("docs,query,flat,steep", BM25_CASES)
-def test_bm25(spark, docs, query, flat, steep):
-    made = [ft.feature("BM25Feature", {"k1": 0.9, "b": 0.4}), ft.feature("BM25Feature")]
-    assert extract(spark, made, docs, query) == pytest.approx([flat, steep], abs=1e-3)
-
-
-def test_stemmed_query_and_documents_meet(spark):
-    assert extract(spark, ["OrderedSequentialPairs1"], "documents test document tests", "document test", stem=True) == [2]
+    rows = ft.extract_features(pairs, index or build_index(frame), topics, features).collect()
+    return {(int(r.qid), r.doc_id): [r[c] for c in ft.column_names(features)] for r in rows}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_default_features_equal_their_formulas(spark, seed):
+    docs, queries = collection(seed)
+    found = extract(spark, ft.WEB_FEATURES, docs, queries)
+    assert len(found) == len(docs) * len(queries)
+    for (q, d), values in found.items():
+        want = expected(docs, queries[q], d)
+        assert values == pytest.approx([want[n] for n in ft.WEB_FEATURES], abs=1e-9), (q, d)
+
+
+def test_pair_features_of_all_kinds(spark):
+    names = [f"{kind}{gap}" for kind in ft.PAIR_KINDS for gap in (1, 2, 6)]
+    docs, queries = collection(1)
+    for (q, d), values in extract(spark, names, docs, queries).items():
+        want = expected(docs, queries[q], d)
+        assert values == [want[n] for n in names], (q, d)
+
+
+def test_default_pairs_are_linear_in_the_query(spark):
+    tokens = spark.createDataFrame([("1", i, f"t{i}") for i in range(300)], "qid STRING, pos INT, term STRING")
+    assert ft.query_pairs(tokens, adjacent=True).count() == 2 * 299
+
+
+def test_stored_index_gives_the_same_features_from_its_buckets(spark, tmp_path):
+    docs, queries = collection(2)
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id BIGINT, text STRING")
+    write_index(frame, str(tmp_path / "index"))
+    index = read_index(spark, str(tmp_path / "index"))
+    for (q, d), values in extract(spark, ft.WEB_FEATURES, docs, queries, index).items():
+        assert values == pytest.approx([expected(docs, queries[q], d)[n] for n in ft.WEB_FEATURES], abs=1e-9)
+    tokens = rk.analyze_topics(spark.createDataFrame([("0", "amber birch")], "qid STRING, query STRING"))
+    pairs = spark.createDataFrame([("0", 1)], "qid STRING, doc_id BIGINT")
+    plan = ft.pair_matches(pairs, tokens, index)._jdf.queryExecution().executedPlan().toString()
+    assert "term_bucket" in plan.split("PartitionFilters:", 1)[1].split("]", 1)[0] and "dynamicpruning" in plan
+
+
+def test_stemmed_queries_and_documents_meet(spark, tmp_path):
+    frame = spark.createDataFrame([(0, "walking dogs barked"), (1, "a dog walks"), (2, "cats")], "doc_id BIGINT, text STRING")
+    write_index(frame, str(tmp_path / "stems"), stem=True)
+    for index in (build_index(frame, stem=True), read_index(spark, str(tmp_path / "stems"))):
+        for query, want in (("dog", [0, 1]), ("dogs", [0, 1]), ("walked barking", [0, 1]), ("cat", [2])):
+            topics = spark.createDataFrame([("1", query)], "qid STRING, query STRING")
+            assert sorted(r.doc_id for r in rk.bm25(index, topics).collect()) == want
+    topics = spark.createDataFrame([("1", "walks dogs")], "qid STRING, query STRING")
+    pairs = spark.createDataFrame([("1", 0)], "qid STRING, doc_id BIGINT")
+    assert ft.extract_features(pairs, build_index(frame, stem=True), topics, ["OrderedSequentialPairs1"]).first()["OrderedSequentialPairs1"] == 1
 
 
 def test_feature_set_from_json(spark):
     text = (
         '{extractors: [ {name: "DocSize"}, {name: "QueryLength"}, {name: "OrderedSequentialPairs", params:{gapSize: 2}},'
-        ' {name: "UnorderedSequentialPairs", params:{gapSize : 2}}, {name: Unheard}, {name: "OrderedSequentialPairs", params:{gapSize: 5}} ]}'
+        ' {name: "UnorderedSequentialPairs", params:{gapSize : 2}}, {name: Unheard}, {name: BM25Feature, params: {k1:0.9, b:0.4}} ]}'
     )
-    features = ft.load_feature_set(text)
-    got = extract(spark, features, "document test word word word  test bunch word document", "document test bunch")
-    assert got == [9, 3, 2, 2, 4]
+    docs, queries = collection(1)
+    for (q, d), values in extract(spark, ft.load_feature_set(text), docs, queries).items():
+        want = expected(docs, queries[q], d, 0.9, 0.4)
+        assert values == pytest.approx([want[n] for n in ("DocSize", "QueryLength", "OrderedSequentialPairs2", "UnorderedSequentialPairs2", "BM25Feature")], abs=1e-9)
     assert ft.load_feature_set("{extractors: []}") == []
-    bm25 = ft.load_feature_set('{extractors: [ {name: "BM25Feature", params: {k1:0.9, b:0.4}} ]}')
-    assert extract(spark, bm25, "single document test case", "test") == pytest.approx([0.287682], abs=1e-5)
 
 
 def test_repeated_features_keep_order_and_get_numbers(spark):
     features = ft.load_feature_set("{extractors: [ {name:QueryLength}, {name: MatchingTermCount}, {name : QueryLength} ]}")
     assert ft.column_names(features) == ["QueryLength", "MatchingTermCount", "QueryLength_2"]
-    assert extract(spark, features, "document test", "document missing") == [2, 1, 2]
+    assert extract(spark, features, [["fern", "jade"]], [["fern", "iris"]]) == {(0, 0): [2, 1, 2]}
 
 
 def test_registered_feature(spark):
     ft.register_feature("HalfLength", lambda params: ft.Feature("HalfLength", "row", lambda index: F.col("dl") / 2))
-    assert extract(spark, ["HalfLength"], "one two three", "one") == [1.5]
+    assert extract(spark, ["HalfLength"], [["fern"] * 3], [["fern"]]) == {(0, 0): [1.5]}
     with pytest.raises(ValueError):
-        extract(spark, ["Nothing"], "one", "one")
+        extract(spark, ["Nothing"], [["fern"]], [["fern"]])
 
 
 def test_default_sets_are_complete():
@@ -132,11 +163,11 @@ def test_merged_partners_of_a_repeated_token(spark):
 
 
 def test_sdm_by_hand(spark):
-    got = extract(spark, ["SDM"], "document test word test", "document test")
+    got = extract(spark, ["SDM"], [["fern", "jade", "iris", "jade"]], [["fern", "jade"]])[0, 0]
     size = math.log(5)
     terms = math.log(2) + math.log(3) - 2 * size
     ordered = math.log(2) - size
-    window = math.log(1 + 2) - size  # (document, test) at distances 1 and 3
+    window = math.log(1 + 2) - size  # (fern, jade) at distances 1 and 3
     assert got[0] == pytest.approx(0.5 * terms + 0.2 * ordered + 0.3 * window, abs=1e-9)
 
 
