@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import count_substr, tokens
 from ..sizing import fits, lookup_join
-from .joins import all_pairs, cooccurrence, judged_pairs
+from .joins import cooccurrence, judged_pairs
 from .postings import Analyzer, TermIndex
-from .ranking import analyze_topics, query_term_counts
+from .ranking import analyze_topics, matching_pairs, query_term_counts
 
 # The default feature sets, in output order.
 WEB_FEATURES = (
@@ -382,13 +382,13 @@ def extract_judged(
     return out.select("qid", "doc_id", "grade", *column_names(_features(names)))
 
 
-def extract_all_pairs(
+def extract_matching(
     qrels: DataFrame, index: TermIndex, topics: DataFrame, names: Sequence[str | Feature] = WEB_FEATURES, analyzer: Analyzer = tokens
 ) -> DataFrame:
-    """Features of every document with every query; unjudged and negative grades become 0."""
+    """Features of every document with every query it shares a term with; unjudged and negative grades become 0."""
     from .rerank import with_grade
 
-    pairs = all_pairs(index.lengths.where(F.col("dl") > 0), topics.select("qid"))
+    pairs = matching_pairs(index, topics, analyzer)
     out = extract_features(with_grade(pairs, qrels), index, topics, names, analyzer)
     return out.select("qid", "doc_id", "grade", *column_names(_features(names)))
 

@@ -100,6 +100,14 @@ def user_post_frequency(df: DataFrame, name: str, short_name: str, lon: float, l
     )
 
 
+def entries_by_value(counts: DataFrame, key: str, value: str, *group: str) -> DataFrame:
+    """Entries by falling value, ties by key; with ``group``, a ``rank`` within each group instead of one order."""
+    order = [F.desc(value), F.asc(key)]
+    if not group:
+        return counts.orderBy(*order)
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
 def user_timelines(df: DataFrame, piece_rows: int = 1_000) -> DataFrame:
     """``(user_id, piece, n_texts, text)``: texts of a user joined in id order, line ends folded.
 

@@ -9,7 +9,6 @@ from ..session import materialize
 from ..sizing import fits, lookup_join, split_hot_join
 
 #: Topics that one document row is expanded with at a time when all pairs are formed.
-TOPICS_PER_SHARD = 5_000
 
 
 def in_cohort(df: DataFrame, cohort: DataFrame, key: str = "user_id") -> DataFrame:
@@ -23,24 +22,6 @@ def judged_pairs(qrels: DataFrame, lengths: DataFrame, topics: DataFrame) -> Dat
     return lookup_join(lengths.where(F.col("dl") > 0), known, "doc_id", bound=qrels)
 
 
-def all_pairs(docs: DataFrame, topics: DataFrame) -> DataFrame:
-    """Every document with every topic; the result is that large by definition.
-
-    Topics are packed into shards of bounded size, and each document row is expanded with one
-    shard at a time, so documents are neither shuffled nor nested into a full product join.
-    """
-    names = [c for c in topics.columns]
-    shards = max(1, -(-topics.count() // TOPICS_PER_SHARD))
-    packed = (  # one row per shard, of at most about TOPICS_PER_SHARD topics
-        topics.withColumn("_shard", F.pmod(F.xxhash64("qid"), F.lit(shards)))
-        .groupBy("_shard")
-        .agg(F.collect_list(F.struct(*names)).alias("_topics"))
-    )
-    expanded = docs.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
-    paired = lookup_join(expanded, packed, "_shard", spread_on=docs.columns[0], max_rows=64)
-    return paired.drop("_shard").withColumn("_topic", F.explode("_topics")).select(*docs.columns, "_topic.*")
-
-
 def cooccurrence(postings: DataFrame, pairs: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """``(t1, t2, n)``: documents that contain both terms, for the given pairs only.
 

@@ -166,11 +166,15 @@ def write_index(
     The text is read and analysed once. Postings go to a directory per term bucket, sorted by
     term so that row groups can be skipped; rebalancing splits the bucket of a term that fills
     much of the collection over many tasks and files, and needs no sampling pass over the text.
-    Lengths and statistics are then taken from the stored postings.
+    Lengths and statistics are then taken from the stored postings. Appended documents whose id
+    is in the index already are skipped, so that a repeated append changes nothing.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
     spark = docs.sparkSession
+    if mode == "append":
+        known = spark.read.parquet(f"{path}/lengths").select(F.col("doc_id").alias(doc_id))
+        docs = lookup_join(docs, known, doc_id, "left_anti")
     rows = posting_rows(docs, doc_id, text, positions, analyzer)
     if stem:
         empty = rows.where(F.col("term").isNull())

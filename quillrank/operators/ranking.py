@@ -111,6 +111,16 @@ def score_weighted(index: TermIndex, weighted_terms: DataFrame, model: Model) ->
     )
 
 
+def matching_pairs(index: TermIndex, topics: DataFrame, analyzer: Analyzer = tokens) -> DataFrame:
+    """``(qid, doc_id, dl)``: each topic with the documents that hold any of its terms.
+
+    Pairs without a common term are not formed; most features are constant for them.
+    """
+    terms = with_term_stats(topic_terms(topics, analyzer, index.stemmed), index)
+    matches = match_terms(index.postings.drop("positions"), terms)
+    return matches.groupBy("qid", "doc_id").agg(F.first("dl").alias("dl"))
+
+
 def top_k(scored: DataFrame, k: int = 1000, *, recent_first: bool = False) -> DataFrame:
     """``run(qid, doc_id, score, rank)``: the best k per query, ranks from 1.
 

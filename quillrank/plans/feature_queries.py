@@ -95,9 +95,9 @@ def judged_pairs(spark, sf):
     return jn.judged_pairs(fx.qrels(spark, sf), fx.index(spark, sf).lengths, fx.topics(spark, sf)).select("qid", "doc_id", "grade", "dl")
 
 
-@query("all_pairs", fx.sql("SELECT qid, doc_id, dl::INT AS dl FROM lengths, topics", "lengths", "topics"))
-def all_pairs(spark, sf):
-    return jn.all_pairs(fx.index(spark, sf).lengths, fx.topics(spark, sf).select("qid"))
+@query("matching_pairs", fx.sql("SELECT DISTINCT qid, doc_id, dl::INT AS dl FROM qterms JOIN postings USING (term) JOIN lengths USING (doc_id)", "qterms", "postings", "lengths"))
+def matching_pairs(spark, sf):
+    return rk.matching_pairs(fx.index(spark, sf), fx.topics(spark, sf))
 
 
 @query("features_judged", _wide_sql(_JUDGED, "grade, "))
@@ -114,11 +114,11 @@ def features_run(spark, sf):
 
 
 @query(
-    "features_all_pairs",
-    _wide_sql("SELECT qid, doc_id, greatest(coalesce(grade, 0), 0) AS grade FROM (SELECT qid, doc_id FROM lengths, topics WHERE dl > 0) LEFT JOIN qrels USING (qid, doc_id)", "grade, ", kinds=()),
+    "features_matching",
+    _wide_sql("SELECT qid, doc_id, greatest(coalesce(grade, 0), 0) AS grade FROM (SELECT DISTINCT qid, doc_id FROM qterms JOIN postings USING (term)) LEFT JOIN qrels USING (qid, doc_id)", "grade, ", kinds=()),
 )
-def features_all_pairs(spark, sf):
-    found = ft.extract_all_pairs(fx.qrels(spark, sf), fx.index(spark, sf), fx.topics(spark, sf), TERM_FEATURES)
+def features_matching(spark, sf):
+    found = ft.extract_matching(fx.qrels(spark, sf), fx.index(spark, sf), fx.topics(spark, sf), TERM_FEATURES)
     return _rounded(found, TERM_FEATURES)
 
 

@@ -9,6 +9,7 @@ from ..operators import filters as fl
 from ..operators import geo
 from ..operators import joins as jn
 from ..operators import postings as po
+from ..operators import ranking as rk
 from ..session import fresh_path, materialize
 from ..sinks import files as out
 from . import fixtures as fx
@@ -70,9 +71,10 @@ def city_related(spark, sf):
     return fl.city_related(fx.statuses(spark, sf), **CITY).select("id")
 
 
-@query("as_of", fx.sql("SELECT qid, doc_id FROM lengths, topics WHERE doc_id BETWEEN 0 AND max_id", "lengths", "topics"))
+@query("as_of", fx.sql("SELECT DISTINCT qid, doc_id FROM qterms JOIN postings USING (term) JOIN topics USING (qid) WHERE doc_id BETWEEN 0 AND max_id", "qterms", "postings", "topics"))
 def as_of(spark, sf):
-    pairs = jn.all_pairs(fx.corpus(spark, sf).select("doc_id"), fx.timed_topics(spark, sf).select("qid", "max_id"))
+    topics = fx.timed_topics(spark, sf)
+    pairs = rk.matching_pairs(fx.index(spark, sf), topics).join(F.broadcast(topics.select("qid", "max_id")), "qid")
     return pairs.where(fl.as_of(F.col("doc_id"), F.col("max_id"))).select("qid", "doc_id")
 
 
@@ -184,6 +186,20 @@ def user_post_frequency(spark, sf):
     return geo.user_post_frequency(fx.statuses(spark, sf), **CITY)
 
 
+@query(
+    "entries_by_value",
+    fx.sql(
+        """SELECT lang, user_id, n_posts, row_number() OVER (PARTITION BY lang ORDER BY n_posts DESC, user_id) AS rank
+        FROM (SELECT lang, user_id, count(*) AS n_posts FROM statuses GROUP BY lang, user_id)""",
+        "statuses",
+    ),
+)
+def entries_by_value(spark, sf):
+    """Users of each language by their number of posts."""
+    counts = fx.statuses(spark, sf).groupBy("lang", "user_id").agg(F.count(F.lit(1)).alias("n_posts"))
+    return geo.entries_by_value(counts, "user_id", "n_posts", "lang")
+
+
 _PIECES = """SELECT user_id, n // 5 AS piece, count(*) AS n_texts, string_agg(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' ' ORDER BY id) AS text
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS n FROM timelines) GROUP BY ALL"""
 

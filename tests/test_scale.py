@@ -174,3 +174,15 @@ def test_timeline_pieces_do_not_depend_on_other_users(spark):
     pieces = {(r.user_id, r.piece): r.text for r in geo.user_timelines(df, 2).collect()}
     assert pieces == {("a", 0): "a0 a1", ("a", 1): "a2", ("b", 0): "b0 b1"}
     assert geo.user_timelines(df).count() == 2
+
+
+def test_repeated_append_changes_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"fern jade t{i}") for i in range(20)], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    po.write_index(docs.where("doc_id < 15"), path)
+    for _ in range(2):
+        po.write_index(docs, path, mode="append")
+        index = po.read_index(spark, path)
+        stats = index.stats.first()
+        assert (stats.n_docs, stats.sum_dl, index.lengths.count()) == (20, 60, 20)
+        assert index.terms.where("term = 'fern'").first().df == 20
