@@ -112,7 +112,32 @@ def is_entity(term: Column | str) -> Column:
 
 
 # Character entities that are resolved in page text.
-HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+HTML_ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
+    ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
+    ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&deg;", "°"), ("&aacute;", "á"), ("&agrave;", "à"), ("&acirc;", "â"), ("&auml;", "ä"),
+    ("&ccedil;", "ç"), ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"), ("&iacute;", "í"), ("&ntilde;", "ñ"), ("&oacute;", "ó"),
+    ("&ouml;", "ö"), ("&szlig;", "ß"), ("&uacute;", "ú"), ("&uuml;", "ü"), ("&amp;", "&"),
+)
+# Forms of a numeric character reference after "&#", and the code points that are no characters.
+NUMERIC_REFERENCE = ("^[0-9]{1,7};", "^[xX][0-9a-fA-F]{1,6};")
+SURROGATES, LAST_CODE_POINT = (0xD800, 0xDFFF), 0x10FFFF
+
+
+def numeric_references(text: Column) -> Column:
+    """Text with ``&#8217;`` and ``&#x2019;`` as the characters they name; other uses of ``&#`` stay."""
+    parts = F.split(text, "&#")
+
+    def resolve(part: Column) -> Column:
+        number = F.split_part(part, F.lit(";"), F.lit(1))
+        decimal, hexadecimal = part.rlike(NUMERIC_REFERENCE[0]), part.rlike(NUMERIC_REFERENCE[1])
+        code = F.when(decimal, number.try_cast("int")).when(hexadecimal, F.conv(F.substr(number, F.lit(2)), 16, 10).try_cast("int"))
+        valid = code.between(1, LAST_CODE_POINT) & ~code.between(*SURROGATES)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(32))), 8, "0")), "UTF-32")
+        char = F.when(code == 38, "&amp;").otherwise(char)  # an ampersand made here begins no further reference
+        return F.when(valid, F.concat(char, F.substr(part, F.length(number) + 2))).otherwise(F.concat(F.lit("&#"), part))
+
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(resolve(p))), "")
 
 
 def html_to_text(html: Column | str) -> Column:
@@ -121,6 +146,7 @@ def html_to_text(html: Column | str) -> Column:
     out = F.regexp_replace(out, r"(?is)<script\b.*?</script\s*>", " ")
     out = F.regexp_replace(out, r"(?is)<style\b.*?</style\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    out = F.when(F.contains(out, F.lit("&#")), numeric_references(out)).otherwise(out)
     for entity, char in HTML_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))

@@ -88,3 +88,14 @@ def test_analyzer_is_a_parameter(spark):
     docs = spark.createDataFrame([(1, "a|b|a")], "doc_id BIGINT, text STRING")
     rows = build_postings(docs, analyzer=lambda c: F.split(c, r"\|")).collect()
     assert {(r.term, r.tf, tuple(r.positions)) for r in rows} == {("a", 2, (0, 2)), ("b", 1, (1,))}
+
+
+def test_character_references_in_page_text(spark):
+    cases = {
+        "<p>it&#8217;s &#x2019; &copy; &eacute;&uuml;</p>": "it’s ’ © éü",
+        "&#38;amp; &amp;lt; &#38;#39;": "&amp; &lt; &#39;",
+        "&#xZ; &#99999999; &#55296; a&#": "&#xZ; &#99999999; &#55296; a&#",
+        "&#128512;&#0;": "😀&#0;",
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "html string")
+    assert {r.html: r.text for r in frame.select("html", tx.html_to_text("html").alias("text")).collect()} == cases
