@@ -35,7 +35,7 @@ def cooccurrence(postings: DataFrame, pairs: DataFrame, bound: DataFrame | None
     sets = kept.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     each = sets.select("doc_id", F.explode("terms").alias("t1"), "terms")
     partners = wanted.groupBy("t1").agg(F.collect_set("t2").alias("partners"))
-    met = lookup_join(each, partners, "t1", spread_on="doc_id", bound=wanted if bound is None else bound)
+    met = lookup_join(each, partners, "t1", spread_on="doc_id", bound=pairs)  # what is sent are pairs, not terms
     shared = met.select("t1", F.explode(F.array_intersect("partners", "terms")).alias("t2"))
     return shared.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"))
 
@@ -54,11 +54,11 @@ def term_vectors(postings: DataFrame, vectors: DataFrame) -> DataFrame:
 def with_timeline(hits: DataFrame, timelines: DataFrame) -> DataFrame:
     """Hits with the timeline pieces of their user: a row per hit and piece.
 
-    A piece holds a bounded number of texts, and a user with many hits or many pieces is split
-    over tasks on the hit id.
+    A piece holds a bounded number of texts. Texts are wide, so they are never broadcast; a user with many hits
+    is split over tasks on the hit id.
     """
     pieces = timelines.select("user_id", "piece", F.col("text").alias("timeline"))
-    return lookup_join(hits, pieces, "user_id", spread_on="id", max_rows=2_000)
+    return split_hot_join(hits, pieces, ["user_id"], "inner", "id")
 
 
 def background_terms(hits: DataFrame, timeline_terms: DataFrame) -> DataFrame:

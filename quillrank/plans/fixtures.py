@@ -6,10 +6,10 @@ whole texts are used throughout; a topic is the whole text of a ``benchmark`` ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.postings import TermIndex, build_index
+from ..operators.postings import TermIndex, build_index, numbered
 
 BASE_EPOCH = 1704067200
 
@@ -120,15 +120,21 @@ def messages(events: DataFrame) -> DataFrame:
 def ranked_vectors(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
     """Vectors for the most frequent terms: rank of the term = number of the vector.
 
-    Only as many terms as there are vectors are ranked, so the window holds that many rows.
+    Only as many terms as there are vectors are ranked, by range partitions and offsets.
     """
-    from pyspark.sql import Window
-
     points = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = points.count()
-    frequent = terms.orderBy(F.desc("ctf"), "term").limit(n)
-    ranked = frequent.select("term", (F.row_number().over(Window.orderBy(F.desc("ctf"), "term")) - 1).cast("bigint").alias("vec_id"))
-    return ranked.join(points, "vec_id").select("term", "embedding")
+    frequent = terms.orderBy(F.desc("ctf"), "term").limit(points.count())
+    ranked = numbered(frequent.select("term", (-F.col("ctf")).alias("down")), "down", "term")
+    return ranked.select("term", F.col("n").alias("vec_id")).join(points, "vec_id").select("term", "embedding")
+
+
+#: The sum of place times value of a vector, in both engines.
+WEIGHTED_SQL = "round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 6)"
+
+
+def weighted(vector: str) -> Column:
+    terms = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x), 6)
 
 
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"

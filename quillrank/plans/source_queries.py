@@ -197,17 +197,14 @@ def read_cohort(spark, sf):
     return jd.read_cohort(spark, path)
 
 
-@query("read_vectors", "SELECT 't' || vec_id AS term, len(embedding)::INT AS n, round(embedding[1]::DOUBLE, 5) AS e1, round(embedding[64]::DOUBLE, 5) AS e64 FROM embeddings")
+@query("read_vectors", f"SELECT 't' || vec_id AS term, len(embedding)::INT AS n, {fx.WEIGHTED_SQL} AS weighted FROM embeddings")
 def read_vectors(spark, sf):
     rows = fx.table(spark, sf, "embeddings")
     path = fresh_path(spark, "vectors")
     values = F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")
     write_lines(rows.select(F.concat(F.lit("t"), F.col("vec_id").cast("string"), F.lit(" "), values).alias("value")), path)
     read = jd.read_vectors(spark, path)
-    return read.select(
-        "term", F.size("embedding").alias("n"), F.round(F.element_at("embedding", 1).cast("double"), 5).alias("e1"),
-        F.round(F.element_at("embedding", 64).cast("double"), 5).alias("e64"),
-    )
+    return read.select("term", F.size("embedding").alias("n"), fx.weighted("embedding").alias("weighted"))
 
 
 def _fill_web_sql() -> None:

@@ -342,7 +342,7 @@ def _embedded(spark, sf):
     return index, geo.doc_embeddings(index.postings, vectors, _DIMS)
 
 
-_SHOWN = (1, 2, 33, 64)
+_SHOWN = tuple(range(1, 65))
 
 
 @query(
@@ -354,19 +354,20 @@ def doc_embeddings(spark, sf):
 
 
 @query("labelled_embeddings", fx.sql(
-    f"""SELECT h.id, h.city, e1, e64 FROM city_hits h JOIN ({_EMBED.format(parts='round(sum(tf * embedding[1]::DOUBLE) / sum(tf), 6) AS e1, round(sum(tf * embedding[64]::DOUBLE) / sum(tf), 6) AS e64')})
+    f"""SELECT h.id, h.city, {', '.join(f'e{i}' for i in _SHOWN)} FROM city_hits h JOIN ({_EMBED.format(parts=", ".join(f"round(sum(tf * embedding[{i}]::DOUBLE) / sum(tf), 6) AS e{i}" for i in _SHOWN))})
     e ON e.doc_id = h.id""", "city_hits", "postings", "vectors"))
 def labelled_embeddings(spark, sf):
     embedded = _embedded(spark, sf)[1].withColumnRenamed("doc_id", "id")
     rows = _hits(spark, sf).select("id", "city").join(embedded, "id")
-    return rows.select("id", "city", *(F.round(F.element_at("embedding", i), 6).alias(f"e{i}") for i in (1, 64)))
+    return rows.select("id", "city", *(F.round(F.element_at("embedding", i), 6).alias(f"e{i}") for i in _SHOWN))
 
 
-@query("term_vectors", fx.sql("SELECT doc_id, term, tf::INT AS tf, round(embedding[1]::DOUBLE, 6) AS e1 FROM postings JOIN vectors USING (term)", "postings", "vectors"))
+@query("term_vectors", fx.sql(f"SELECT doc_id, term, tf::INT AS tf, {fx.WEIGHTED_SQL} AS weighted FROM postings JOIN vectors USING (term)", "postings", "vectors"))
 def term_vectors(spark, sf):
+    """The sum of place times value rests on every value of a vector."""
     index = fx.index(spark, sf)
     joined = jn.term_vectors(index.postings, fx.ranked_vectors(spark, sf, index.terms))
-    return joined.select("doc_id", "term", "tf", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("e1"))
+    return joined.select("doc_id", "term", "tf", fx.weighted("embedding").alias("weighted"))
 
 
 @query("empty_documents", fx.sql("SELECT count(*) AS n_empty FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM postings JOIN vectors USING (term))", "postings", "vectors"))
