@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     Null text has no words. Rows that repeat a document are copies of each other, so their windows are
     repeated. Rows with a null id are documents like others. An empty table gives no rows; other columns of
-    ``docs`` are not looked at. The text is shuffled once, for both passes that need it.
+    ``docs`` are not looked at. The text is shuffled once, compressed, for both
+    passes that need it.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD}")
@@ -44,7 +46,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     buckets, parts = max(LEAST_BUCKETS, total // BUCKET_BYTES), max(LEAST_PARTS, total // PART_BYTES)
     tag = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag.alias("tag"))
-    rows = rows.withColumn("part", (F.col("tag") % parts).cast("int"))
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = [None if t is None else compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            part = pa.array(batch.column("tag").to_numpy() % parts, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), part, pa.array(texts, pa.binary())], ["doc_id", "tag", "part", "squeezed"])
+
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_cover = np.isin(np.arange(PERIOD), COVER)
@@ -82,8 +91,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             }))
         return pa.Table.from_batches(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
-    by_part = rows.groupBy("part")
-    first = repeated_places(rows.drop("part").mapInArrow(anchors, PACKET), parts)
+    by_part = rows.mapInArrow(squeeze, "doc_id long, tag long, part int, squeezed binary").groupBy("part")
+    first = repeated_places(rows.mapInArrow(anchors, PACKET), parts)
     windows = by_part.cogroup(first.groupBy("part")).applyInArrow(extend, PACKET)
     second = repeated_places(windows, parts)
     return by_part.cogroup(second.groupBy("part")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
@@ -107,8 +116,10 @@ def _flagged(docs: pa.Table, found: pa.Table) -> Iterator[tuple[pa.RecordBatch,
     doc, tag, pos = (place[c][order] for c in PLACE)
     edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
     ranges = {(int(doc[a]), int(tag[a])): (a, b) for a, b in zip(edge, [*edge[1:], len(doc)])}
-    for part in slices(docs):
-        words = Words(part.column("text"))
+    decompress = zstandard.ZstdDecompressor().decompress
+    for part in slices(docs, "squeezed"):
+        texts = [b"" if z is None else decompress(z) for z in part.column("squeezed").to_pylist()]
+        words = Words(pa.array(texts, pa.binary()).view(pa.string()))
         at = [np.zeros(0, np.int64)]
         for row, key in enumerate(zip(part.column("doc_id").fill_null(NO_ID).to_pylist(), part.column("tag").to_pylist())):
             if key in ranges:
