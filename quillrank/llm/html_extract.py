@@ -51,6 +51,9 @@ FRAME_WORDS = re.compile(
     r"respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|pagination|pager|toolbar|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+# Names that say what a page lacks or has besides, and elements that are never a frame by name.
+ABSENT_WORDS = re.compile(r"(?:^|(?<=[\s_]))(?:no|has|with|without)[_-][\w-]+", re.I)
+WHOLE = {"html", "body", "article", "main"}
 ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-content|entry-content|article-body|main-content|story-body)(?:$|[\s_-])", re.I)
 
 
@@ -65,10 +68,14 @@ class Node:
         self.path = f"{above.path}>{self.style}" if above else self.style
         self.children: list[Node | str] = []
         inside = above is not None and above.container
-        self.frame = tag in NO_TEXT or tag == "header" and not inside or bool(names and FRAME_WORDS.search(names))
+        self.frame = tag in NO_TEXT or tag == "header" and not inside or _names_a_frame(tag, names)
         self.container = inside or tag in CONTAINERS or bool(names and ARTICLE_WORDS.search(names))
 
 
+def _names_a_frame(tag: str, names: str) -> bool:
+    return bool(names) and tag not in WHOLE and bool(FRAME_WORDS.search(ABSENT_WORDS.sub("", names)))
+
+
 class _Builder(HTMLParser):
     """Builds the tree of a page; open elements are closed as HTML implies."""
 

@@ -154,15 +154,15 @@ def test_op3_agrees_with_clean_labels(spark, sf_dir):
 def test_licences(spark):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 200)
     rows = [
-        (1, mit.upper().replace(",", " , ")), (2, "Copyright (c) 2020 A. Person\n\n" + mit.replace("sublicense", "sub-license")), (3, mit + " And more."), (4, "x\nReleased under the MIT Licence\n(released under the mit license!)\ny"),
-        (5, "licensed under cc by-nc 4.0"), (6, "Copyright 2020\n(c) Me"), *awkward(),
+        (201, mit.upper().replace(",", " , ")), (202, "Copyright (c) 2020 A. Person\n\n" + mit.replace("sublicense", "sub-license")), (203, mit + " And more."), (204, "x\nReleased under the MIT Licence\n(released under the mit license!)\ny"),
+        (205, "licensed under cc by-nc 4.0"), (206, "Copyright 2020\n(c) Me"), *awkward(),
     ]
     found = licenses.scan_licenses(documents(spark, rows)).collect()
     assert len(found) == len(rows)
     by_id = {r.doc_id: (r.license, r.n_license_lines, r.line_licenses) for r in found}
     # a whole notice on one line counts as a line as well
-    assert by_id[1] == ("MIT", 1, "MIT") and by_id[2] == ("MIT", 1, "MIT") and by_id[3] == (None, 0, "")
-    assert by_id[4] == (None, 2, "MIT") and by_id[5] == ("CC-BY-NC-4.0", 1, "CC-BY-NC-4.0") and by_id[6] == (None, 0, "")
+    assert by_id[201] == ("MIT", 1, "MIT") and by_id[202] == ("MIT", 1, "MIT") and by_id[203] == (None, 0, "")
+    assert by_id[204] == (None, 2, "MIT") and by_id[205] == ("CC-BY-NC-4.0", 1, "CC-BY-NC-4.0") and by_id[206] == (None, 0, "")
     assert by_id[7] == (None, 0, "")
     assert licenses.scan_licenses(documents(spark, [])).collect() == []
 
@@ -252,9 +252,14 @@ def test_page_text():
         assert html_extract.main_text(html_extract.parse(broken), {}).endswith(re.sub("<[^>]*>?", "", broken)[-1:] or "")
 
 
+def test_names_of_whole_pages_are_no_frame():
+    for page in ('<body class="no-sidebar"><p>a</p></body>', '<body class="has-menu menu"><p>a</p>', '<div class="content no-sidebar"><p>a</p></div><div class="left-sidebar">b</div>'):
+        assert html_extract.main_text(html_extract.parse(page), {}) == "a"
+
+
 def test_site_frame_is_learnt_from_the_site(spark):
     """Without telling tags or classes, what all pages of a host repeat is cut, and what differs stays."""
-    page = "<body><div class=x1><p>Same line on all pages</p></div><div class=x2><p>Own text {0} of this page</p></div></body>"
+    page = "<body><div class=upper><p>Same line on all pages</p></div><div class=lower><p>Own text {0} of this page</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(40)] + [(100, None, None), (101, "http://[bad", page.format(101)), (102, "http://other.example/", page.format(102)), (None, "", "")]
     pages = spark.createDataFrame([r + ("x",) for r in rows], "page_id long, url string, html string, host string")
     found = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
