@@ -15,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Bytes of text that are hashed in one go.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Bytes of text that one slice of a batch holds, if it has more than one row.
-SLICE = 1 << 23
+SLICE = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
