@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .registry import bounded_batches
 from .words import slices
 
 #: Cells of one padded matrix, if it has more than one row.
@@ -257,7 +258,7 @@ def _coded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_col
                 decoded = [bpe.decode(x) for x in ids]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | (_digests if digests else _arrays)(ids, decoded))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
 
 
 def _arrays(ids: list[np.ndarray], decoded: list[bytes]) -> dict[str, pa.Array]:

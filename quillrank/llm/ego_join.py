@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from ..sizing import split_hot_join
 from .components import components
+from .registry import bounded_batches
 
 #: Leading dimensions that have cells.
 LEADING = 6
@@ -107,7 +108,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: st
                 ["vec_id", "label", "dim", "f1", "f2", "unit"],
             )
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
+    rows = bounded_batches(vectors).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
     rows = materialize(rows.mapInArrow(normal, "vec_id long, label string, dim int, f1 long, f2 long, unit array<double>"), "unit")
     usable = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND unit IS NOT NULL")
     nodes = materialize(usable.groupBy(*_SAME).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "nodes")

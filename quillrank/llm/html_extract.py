@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sizing import lookup_join
+from .registry import bounded_batches
 from .words import slices
 
 #: Pages on which a node must have been seen before its importance counts.
@@ -271,7 +272,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())], [*batch.schema.names, "host"])
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = bounded_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
     rows = rows.mapInArrow(hosts, f"page_id {kind}, url string, html string, host string")
     sites = materialize(site_style(rows.select("host", "html")), "sites")

@@ -22,6 +22,7 @@ from ..session import materialize
 from ..sizing import lookup_join, split_hot_join
 from .components import components
 from .exchange import PACKET, CHUNK, LEAST_BUCKETS, Sender, _cut, pack, unpack
+from .registry import bounded_batches
 from .words import Words, mix, slices
 
 SHINGLE = 5
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. Rows that share an id are one node, linked by any of their texts. An empty table gives no rows;
     other columns of ``docs`` are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sizing import lookup_join
-from .registry import unused
+from .registry import bounded_batches, unused
 from .words import Words, slices
 
 #: Rows of the labelled sample that the text models are fitted on, about and at most.
@@ -117,7 +117,7 @@ def identify(
     text = F.col("text") if text is None else text
     code = F.nullif(F.lower(F.trim(F.split_part(F.col("lang") if declared is None else declared, F.lit("-"), F.lit(1)))), F.lit(""))
     host = F.col("source") if host is None else host
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), code.alias("declared"), host.alias("host"),
         (none if suffix is None else suffix).alias("suffix"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key"),
     )

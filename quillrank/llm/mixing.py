@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
 
 from ..operators.postings import numbered
 from ..session import materialize
@@ -21,10 +19,13 @@ SHARD_WORDS = 1 << 17
 _STEP = 2**31 - 1
 
 
-@F.pandas_udf(LongType())
-def n_words(text: pd.Series) -> pd.Series:
-    """Number of words of each text, 0 for null."""
-    return pd.Series([0 if t is None else len(t.encode("utf-8").split()) for t in text], dtype="int64")
+#: A word: a run of characters other than space, tab and line ends.
+WORD = r"([^\x20\x09-\x0D]+)"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, none for null."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(1))
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float, limit: float) -> DataFrame:
@@ -119,7 +120,7 @@ def place(
     own. The result is the same in every run. An empty table gives no rows.
     """
     order = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
-    wide = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).cast("long").alias("size"), order.alias("_order"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
+    wide = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), order.alias("_order"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
     narrow = materialize(wide.select("doc_id", "source", "size", "_order"), "sizes")
     sources = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     aimed = targets(sources, weights, share, limit)
@@ -176,18 +177,7 @@ def take_mix(docs: DataFrame, block: int = BLOCK, limit: float = 2.0, text_col:
     )
     chosen = placed.where("size > 0").withColumn("_times", times).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.lit(int(limit)))))
     chosen = chosen.where(F.array_max("_times") >= F.col("_pass"))
-    part = F.when(F.array_min("_times") >= F.col("_pass"), F.col(f"_carry_{text_col}")).otherwise(_cut(F.col(f"_carry_{text_col}"), F.col("at") % block, F.lit(block), F.transform("_times", lambda t: t >= F.col("_pass"))))
+    text = F.col(f"_carry_{text_col}")
+    taken = F.filter(words_of(text), lambda w, i: F.get("_times", F.floor((F.col("at") % block + i) / block).cast("int")) >= F.col("_pass"))
+    part = F.when(F.array_min("_times") >= F.col("_pass"), text).otherwise(F.array_join(taken, " "))
     return chosen.select(*[(part if c == text_col else F.col(f"_carry_{c}")).alias(c) for c in docs.columns])
-
-
-@F.pandas_udf(StringType())
-def _cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The words of the chosen blocks; a text begins ``skip`` words into its first block."""
-    for text, skip, block, chosen in batches:
-        out = []
-        for t, s, b, c in zip(text, skip, block, chosen):
-            words = t.encode("utf-8").split()
-            kept = [w for j, yes in enumerate(c) if yes for w in words[max(0, j * b - s) : (j + 1) * b - s]]
-            out.append(b" ".join(kept).decode("utf-8"))
-        yield pd.Series(out, dtype=object)
-

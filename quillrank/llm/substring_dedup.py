@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import BUCKET_BYTES, LEAST_BUCKETS, LEAST_PARTS, NO_ID, PACKET, PART_BYTES, PLACE, Sender, repeated_places, unpack
+from .registry import bounded_batches
 from .words import Words, slices
 
 #: Words of a window, and of the period of the anchors.
@@ -45,7 +46,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     buckets, parts = max(LEAST_BUCKETS, total // BUCKET_BYTES), max(LEAST_PARTS, total // PART_BYTES)
     tag = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag.alias("tag"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag.alias("tag"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
