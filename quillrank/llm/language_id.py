@@ -3,6 +3,7 @@
 The likelihood of the text under byte-trigram models of the languages is combined with the declared language,
 the address suffix and a prior of the host. Likelihoods of declarations and suffixes, and the priors, are counted
 over all documents; the prior of a host is smoothed towards its domain, and that towards the whole corpus.
+Text that no model fits is a hypothesis of its own: it is in a language other than those.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from ..sizing import lookup_join
 from .registry import bounded_batches, unused
 from .words import Words, slices
 
-#: Rows of the labelled sample that the text models are fitted on, about and at most.
-FIT_ROWS, FIT_MOST = 4_000, 12_000
-#: Languages a model can have at most; rarer declarations are not learnt.
-LANGUAGES = 64
+#: Distinct texts of each declared language that its model is fitted on, about; all if there are fewer.
+FIT_ROWS = 1_000
+#: Stands for the language of text that no model fits and that declares none.
+UNKNOWN = "unknown"
 #: Trigrams are counted in so many cells.
 CELLS = 1 << 15
 #: Share of a uniform model in each text model; a trigram that was never seen costs its logarithm.
@@ -59,23 +60,25 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Trigram models from a bounded sample of ``(text, declared)``; the counts are summed by Spark."""
-    rows = docs.where("declared IS NOT NULL")
-    every = max(1, rows.count() // FIT_ROWS)
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(every)) == 0).limit(FIT_MOST)
-    sample = materialize(sample.select("text", "declared"), "sample")
-    names = sorted(r[0] for r in sample.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect())
+    """Trigram models of all languages that ``(text, declared)`` has, from a bounded sample of each; Spark sums the counts.
+
+    Languages are counted over all rows, so a rare one is learnt from what there is of it.
+    """
+    rows = docs.where("declared IS NOT NULL").select("declared", "text", F.xxhash64("text", F.lit(3)).alias("print"))
+    texts = rows.groupBy("declared").agg(F.approx_count_distinct("print").alias("texts"))
+    texts = materialize(texts.select("declared", F.greatest(F.lit(1), F.floor(F.col("texts") / FIT_ROWS)).alias("every")), "languages")
+    names = sorted(r[0] for r in texts.select("declared").collect())
+    place = {name: i for i, name in enumerate(names)}
+    sample = lookup_join(rows, texts, "declared", spread_on="print").where(F.pmod("print", "every") == 0)
+    sample = materialize(sample.select("text", "declared").distinct(), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), CELLS), np.int64)
         for batch in batches:
             for part in slices(batch):
                 cell, edge = trigrams(part.column("text"))
-                for i, name in enumerate(part.column("declared").to_pylist()):
-                    if name in names:
-                        total[names.index(name)] += np.bincount(cell[edge[i] : edge[i + 1]], minlength=CELLS)
-        language, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"language": pa.array(language, pa.int32()), "cell": pa.array(cell, pa.int32()), "n": pa.array(total[language, cell], pa.int64())})
+                language = np.repeat([place[x] for x in part.column("declared").to_pylist()], np.diff(edge)).astype(np.int64)
+                both, n = np.unique(language * CELLS + cell, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"language": pa.array(both // CELLS, pa.int32()), "cell": pa.array(both % CELLS, pa.int32()), "n": pa.array(n, pa.int64())})
 
     counts = np.zeros((CELLS, len(names)))
     found = sample.mapInArrow(count, "language int, cell int, n long").groupBy("language", "cell").agg(F.sum("n").alias("n")).toPandas()
@@ -88,10 +91,17 @@ def _smoothed(counts: np.ndarray, above: np.ndarray) -> np.ndarray:
     return (counts + PRIOR_WEIGHT * above) / (counts.sum(axis=1, keepdims=True) + PRIOR_WEIGHT)
 
 
-def _counts(rows: DataFrame, key: str, languages: int, name: str) -> DataFrame:
-    """``(key, name)``: how many documents of a key each language has, judged by the text alone."""
-    sums = [F.sum((F.col("best") == i).cast("long")) for i in range(languages)]
-    return rows.where(F.col(key).isNotNull() & (F.col("best") >= 0)).groupBy(key).agg(F.array(*sums).alias(name))
+def _counts(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``(key, name)``: how many documents of a key each language has that it has any of, judged by the text alone."""
+    each = rows.where(F.col(key).isNotNull() & (F.col("best") >= 0)).groupBy(key, "best").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(key).agg(F.collect_list(F.struct("best", "n")).alias(name))
+
+
+def _total(rows: DataFrame, languages: int) -> np.ndarray:
+    out = np.zeros(languages)
+    for r in rows.where("best >= 0").groupBy("best").count().collect():
+        out[r[0]] = r[1]
+    return out
 
 
 def identify(
@@ -102,16 +112,20 @@ def identify(
     host: Column | None = None,
     suffix: Column | None = None,
     model: Model | None = None,
+    unknown: bool = False,
 ) -> DataFrame:
     """``(doc_id, key, lang, posterior, accepted)``, one row per row of ``docs``.
 
     ``declared``, ``host`` and ``suffix`` are columns with the further evidence; a null value adds nothing. A
     declaration is read up to the first hyphen, in lower case. The domain of a host is its last two labels.
 
-    ``lang`` is the language of the highest posterior. A document is rejected, with a null language, if its text has
-    no letters (null, empty, digits only) or fits every language worse than a uniform model does. Repeated
-    rows and null ids are documents like others; ``key`` is a hash of id and text. Ties go to the first language in
-    alphabetical order. Without any declared language nothing can be learnt, and all are rejected.
+    ``lang`` is the language of the highest posterior. Text that every language fits worse than a uniform model does
+    can be in another language: that is one more hypothesis, with priors and likelihoods like the others. Where it
+    wins, ``lang`` is the declared language or else, if ``unknown`` is set, UNKNOWN. A document is rejected, with a null
+    language, if its text has no letters (null, empty, digits only) or, unless ``unknown`` is set, if that
+    hypothesis wins and nothing is declared. Repeated rows and null ids are documents like others; ``key`` is a hash
+    of id and text. Ties go to the first language in alphabetical order. Without any declared language nothing can be
+    learnt, and no language is known.
     """
     none = F.lit(None).cast("string")
     text = F.col("text") if text is None else text
@@ -123,8 +137,6 @@ def identify(
     )
     model = model or fit(rows)
     n = len(model.languages)
-    if not n:
-        return rows.select("doc_id", "key", none.alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     sent = docs.sparkSession.sparkContext.broadcast(model.table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,63 +145,69 @@ def identify(
             for part in slices(batch):
                 cell, edge = trigrams(part.column("text"))
                 count = np.diff(edge)
-                total = np.zeros((part.num_rows, n))
+                total = np.zeros((part.num_rows, n + 1))
+                total[:, n] = -count * np.log(CELLS)
                 some = np.flatnonzero(count)
                 for i in range(n if len(some) else 0):
                     total[some, i] = np.add.reduceat(table[cell, i], edge[some])
-                usable = (count > 0) & (total.max(axis=1) >= -count * np.log(CELLS))
-                best = np.where(usable, total.argmax(axis=1), -1)
+                best = np.where(count > 0, total.argmax(axis=1), -1)
+                for row in np.flatnonzero(best == n):  # bytes above ASCII may be signs
+                    if not any(map(str.isalpha, part.column("text")[int(row)].as_py())):
+                        best[row] = -1
                 columns = [part.column(c) for c in ("doc_id", "key", "declared", "host", "suffix")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.int32()), pa.array(list(total * OVERLAP), pa.list_(pa.float64()))], ["doc_id", "key", "declared", "host", "suffix", "best", "text_evidence"])
 
     schema = "doc_id long, key long, declared string, host string, suffix string, best int, text_evidence array<double>"
     scored = rows.mapInArrow(score, schema).withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0))
     scored = materialize(scored, "evidence")
-    total = _counts(scored.withColumn("all", F.lit(1)), "all", n, "c").first()
-    overall = (np.array(total["c"] if total else [0] * n, float) + 1.0)
+    overall = _total(scored, n + 1) + 1.0
     overall = overall / overall.sum()
     joined = scored
     for key in ("host", "domain", "declared", "suffix"):
-        joined = lookup_join(joined, materialize(_counts(scored, key, n, f"{key}_counts"), "counts"), key, "left", spread_on="key")
-    per_language = {c: np.array((_counts(scored.where(f"{c} IS NOT NULL").withColumn("all", F.lit(1)), "all", n, "c").first() or {"c": [0] * n})["c"], float) for c in ("declared", "suffix")}
+        joined = lookup_join(joined, materialize(_counts(scored, key, f"{key}_counts"), "counts"), key, "left", spread_on="key")
+    per_language = {c: _total(scored.where(f"{c} IS NOT NULL"), n + 1) for c in ("declared", "suffix")}
     distinct = {c: scored.select(c).distinct().count() + 1 for c in ("declared", "suffix")}
-    names = model.languages
+    names, other = model.languages, UNKNOWN if unknown else None
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             best = batch.column("best").to_numpy()
-            own = (best[:, None] == np.arange(n)).astype(float)
+            own = (best[:, None] == np.arange(n + 1)).astype(float)
 
             def seen(name: str) -> tuple[np.ndarray, np.ndarray]:
                 column = batch.column(f"{name}_counts")
-                known = np.array(column.is_valid())
-                return known[:, None], np.array([x if x is not None else [0] * n for x in column.to_pylist()], float).reshape(-1, n)
+                counts = np.zeros((batch.num_rows, n + 1))
+                for row, found in enumerate(column.to_pylist()):
+                    for x in found or []:
+                        counts[row, x["best"]] = x["n"]
+                return np.array(column.is_valid())[:, None], counts
 
             # A document is no evidence for itself, so it is taken off the counts it is part of.
             _, domain = seen("domain")
             _, host = seen("host")
             prior = _smoothed(np.maximum(host - own, 0), _smoothed(np.maximum(domain - own, 0), overall))
-            evidence = np.array(batch.column("text_evidence").to_pylist(), float).reshape(-1, n) + np.log(prior)
+            evidence = np.array(batch.column("text_evidence").to_pylist(), float).reshape(-1, n + 1) + np.log(prior)
             for name in ("declared", "suffix"):
                 known, counts = seen(name)
                 likelihood = (np.maximum(counts - own, 0) + 0.5) / (np.maximum(per_language[name] - own, 0) + 0.5 * distinct[name])
                 evidence += np.where(known, np.log(likelihood), 0.0)
             evidence -= evidence.max(axis=1, keepdims=True)
             posterior = np.exp(evidence) / np.exp(evidence).sum(axis=1, keepdims=True)
-            winner, ok = posterior.argmax(axis=1), best >= 0
+            lang = [None if b < 0 else names[w] if w < n else d or other for w, b, d in zip(posterior.argmax(axis=1), best, batch.column("declared").to_pylist())]
+            ok = np.array([x is not None for x in lang])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "key": batch.column("key"), "lang": pa.array([names[w] if o else None for w, o in zip(winner, ok)], pa.string()),
+                "doc_id": batch.column("doc_id"), "key": batch.column("key"), "lang": pa.array(lang, pa.string()),
                 "posterior": pa.array(np.where(ok, posterior.max(axis=1), 0.0)), "accepted": pa.array(ok),
             })
 
     return joined.mapInArrow(fuse, "doc_id long, key long, lang string, posterior double, accepted boolean")
 
 
-def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **evidence: Column) -> DataFrame:
+def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown: bool = False, **evidence: Column) -> DataFrame:
     """``docs`` without the documents that ``identify`` rejects; all columns stay."""
     name = unused(docs, "_key")
-    rejected = identify(docs, id_col, F.col(text_col), **evidence).where(~F.col("accepted")).select(F.col("key").alias(name)).distinct()
+    rejected = identify(docs, id_col, F.col(text_col), unknown=unknown, **evidence).where(~F.col("accepted")).select(F.col("key").alias(name)).distinct()
     marked = docs.withColumn(name, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
     return lookup_join(marked, materialize(rejected, "rejected"), name, "left_anti", spread_on=name).select(*docs.columns)

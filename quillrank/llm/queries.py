@@ -27,7 +27,7 @@ def op2(spark, sf_dir):
 
 @query("op3_language_id")
 def op3(spark, sf_dir):
-    return language_id.identify(table(spark, sf_dir, "documents")).drop("key")
+    return language_id.identify(table(spark, sf_dir, "documents"), unknown=True).drop("key")
 
 
 @query("language_id_of_pages")
@@ -36,7 +36,7 @@ def language_id_of_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host = F.parse_url("url", F.lit("HOST"))
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z-]+)", 1)
-    found = language_id.identify(pages, "page_id", html_to_text(F.col("html")), declared, host, F.regexp_extract(host, r"[^.]+$", 0))
+    found = language_id.identify(pages, "page_id", html_to_text(F.col("html")), declared, host, F.regexp_extract(host, r"[^.]+$", 0), unknown=True)
     return found.drop("key").withColumnRenamed("doc_id", "page_id")
 
 

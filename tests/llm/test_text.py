@@ -151,6 +151,22 @@ def test_op3_agrees_with_clean_labels(spark, sf_dir):
     assert np.mean([r.lang == lang[r.doc_id][0] for r in found if r.accepted]) > 0.97
 
 
+def test_clean_text_of_rare_or_no_languages_is_kept(spark, tmp_path):
+    """A language that one row declares, more languages than 64, and no declaration at all."""
+    rows = [(i, "the of and is in that %d " % i * 5, "en", "a") for i in range(300)] + [(9_000, "йцукен фывапро " * 30, "ru", "a")]
+    rows += [(10_000 + i, "".join(chr(0x4E00 + 50 * i + k) for k in range(40)), f"l{i}", "b") for i in range(100)]
+    found = {r.doc_id: r for r in language_id.identify(documents(spark, rows)).collect()}
+    assert all(r.accepted for r in found.values()) and found[9_000].lang == "ru"
+    assert np.mean([found[10_000 + i].lang == f"l{i}" for i in range(100)]) > 0.97
+    model = language_id.fit(documents(spark, rows[:100]).select("text", F.col("lang").alias("declared")))
+    assert [r.lang for r in language_id.identify(documents(spark, [rows[300]]), model=model).collect()] == ["ru"]
+    odd = [(1, "some text", None, "a"), (2, "йцукен " * 30, None, "a"), (3, "12 34", None, "a"), (4, "½ — €", None, "a"), (5, None, None, "a")]
+    documents(spark, odd, False).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.lang for r in QUERIES["op3_language_id"](spark, str(tmp_path)).collect()} == {1: "unknown", 2: "unknown", 3: None, 4: None, 5: None}
+    kept = corpus_pipeline.identify_language(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {1, 2}
+
+
 def test_licences(spark):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 200)
     rows = [
