@@ -4,7 +4,8 @@ A document's set of shingles becomes 256 registers. Each holds the smallest hash
 space, as the number of leading zeros and ten mantissa bits. Bands of six registers bring documents together
 that may be linked: at a similarity of 0.85 a pair is missed with a probability of 2e-9. Documents that meet
 form neighbourhoods; these are cut into blocks of bounded size, and pairs of blocks are estimated from the
-registers, corrected for chance agreement, and then confirmed on the full sets.
+registers, corrected for chance agreement, and then confirmed on the full sets. Members of a large neighbourhood
+are compared with a few leaders first; those confirmed in one component are not compared with each other.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BORROWS = 128
 MARGIN = 5.0
 #: Documents and shingles of a block; cells of a matrix that counts common shingles.
 BLOCK_DOCS, BLOCK_SHINGLES, MATRIX = 96, 1_000_000, 15_000_000
+#: Leaders of each class of set size in a large neighbourhood.
+LEADERS = 3
 _KEY_AND_DOC = ("key", "doc")
 
 
@@ -184,38 +187,70 @@ def _neighbours(reps: DataFrame, buckets: int) -> DataFrame:
     return reps.mapInArrow(send, PACKET).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """Add ``task``: the comparisons ``(task, side)`` that a member ``(doc_id, n, hood, ...)`` takes part in.
+def _blocks(count, shingles):
+    return F.ceil(F.greatest(F.col(count) / F.lit(BLOCK_DOCS), F.col(shingles) / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def _own(blocks="blocks"):
+    return F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+
+
+def _counted(members: DataFrame, *key: str) -> DataFrame:
+    return members.groupBy(*key).agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s")).select(*key, _blocks("_c", "_s").alias("blocks"))
 
-    A small neighbourhood is one task. A large one is cut by classes of set size whose ratio is the
-    threshold, so that only equal and adjacent classes can be linked, and each class into blocks.
-    """
 
-    def blocks(count, shingles):
-        return F.ceil(F.greatest(F.col(count) / F.lit(BLOCK_DOCS), F.col(shingles) / F.lit(BLOCK_SHINGLES))).cast("int")
+def _classed(members: DataFrame) -> DataFrame:
+    """Add ``large`` and ``class`` to the members ``(doc_id, f1, n, hood)`` of neighbourhoods.
 
-    hoods = members.groupBy("hood").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s")).select("hood", (blocks("_c", "_s") > 1).alias("large"))
+    A small neighbourhood is one class and one block. A large one is cut by classes of set size whose ratio is the
+    threshold, so that only equal and adjacent classes can be linked.
+    """
+    hoods = _counted(members, "hood").select("hood", (F.col("blocks") > 1).alias("large"))
     step = F.lit(float(np.log(100 / PERCENT)))
     members = split_hot_join(members, materialize(hoods, "hoods"), ["hood"], "inner", "doc_id", stored=True)
-    members = materialize(members.withColumn("class", F.when(F.col("large"), F.floor(F.log("n") / step)).otherwise(0)), "classed")
-    classes = members.groupBy("hood", "class").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s"))
-    classes = materialize(classes.select("hood", "class", blocks("_c", "_s").alias("blocks")), "classes")
-    up = classes.select("hood", (F.col("class") - 1).alias("class"), F.col("blocks").alias("up"))
-    down = classes.select("hood", (F.col("class") + 1).alias("class"), F.col("blocks").alias("down"))
-    classes = materialize(classes.join(up, ["hood", "class"], "left").join(down, ["hood", "class"], "left").na.fill(0, ["up", "down"]), "classes")
-    members = split_hot_join(members, classes, ["hood", "class"], "inner", "doc_id", stored=True)
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    return materialize(members.withColumn("class", F.when(F.col("large"), F.floor(F.log("n") / step)).otherwise(0)), "classed")
+
 
-    def task(class_, kind, i, j, side):
-        return F.struct(F.xxhash64("hood", class_, F.lit(kind), i, j).alias("id"), F.lit(side).cast("int").alias("side"))
+def _leader_tasks(members: DataFrame) -> DataFrame:
+    """``(task, side, doc_id, f1)``: each block of a large neighbourhood against the leaders of its class and of the next."""
+    large = members.where("large")
+    classes = materialize(_counted(large, "hood", "class"), "classes")
+    leaders = large.groupBy("hood", "class", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(LEADERS)).alias("_k")).agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "f1")).alias("x"))
+    leaders = materialize(leaders.select("hood", "class", "x.doc_id", "x.f1"), "leaders")
+    leaders = leaders.unionByName(leaders.withColumn("class", F.col("class") - 1)).join(classes, ["hood", "class"])
+    leaders = leaders.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    blocks = split_hot_join(large, classes, ["hood", "class"], "inner", "doc_id", stored=True).withColumn("at", _own()).withColumn("side", F.lit(1))
+    names = [F.xxhash64("hood", "class", F.lit("lead"), "at").alias("task"), "side", "doc_id", "f1"]
+    return blocks.select(*names).unionByName(leaders.select(*names))
 
-    def others(n, make):
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<id:bigint,side:int>>"))
 
-    same = others(F.col("blocks"), lambda j: task(F.col("class"), "same", F.least(own, j), F.greatest(own, j), F.when(j == own, -1).when(own < j, 0).otherwise(1)))
-    above = others(F.col("up"), lambda j: task(F.col("class"), "next", own, j, 0))
-    below = others(F.col("down"), lambda j: task(F.col("class") - 1, "next", j, own, 1))
-    return members.select("doc_id", "f1", F.concat(same, above, below).alias("task"))
+def _tasks(members: DataFrame) -> DataFrame:
+    """``(task, side, doc_id, f1)``: the comparisons that each member takes part in, a row for each.
+
+    ``members`` are classed and have the ``found`` component of those that leaders have confirmed. A class is cut into
+    the confirmed of each component and the others, and these into blocks; blocks of equal and adjacent classes
+    are compared unless both are of one component.
+    """
+    part = ["hood", "class", "sure", "of"]
+    members = materialize(members.withColumn("sure", F.col("found").isNotNull()).withColumn("of", F.coalesce("found", F.lit(0))), "parts")
+    parts = materialize(_counted(members, *part), "parts")
+    a = parts.select("hood", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("near"), *[F.col(c).alias(f"a_{c}") for c in ("class", "sure", "of", "blocks")])
+    b = parts.select("hood", F.col("class").alias("near"), *[F.col(c).alias(f"b_{c}") for c in ("class", "sure", "of", "blocks")])
+    one, two = F.struct("a_class", "a_sure", "a_of"), F.struct("b_class", "b_sure", "b_of")
+    settled = F.col("a_sure") & F.col("b_sure") & (F.col("a_of") == F.col("b_of"))
+    pairs = a.join(b, ["hood", "near"]).where((one <= two) & ~settled)
+    pairs = materialize(pairs.withColumn("pair", F.xxhash64("hood", one, two)).withColumn("same", one == two), "pairs")
+
+    def seen_from(x: str, y: str, role: int) -> DataFrame:
+        return pairs.select("hood", *[F.col(f"{x}_{c}").alias(c) for c in part[1:]], "pair", "same", F.lit(role).alias("role"), F.col(f"{x}_blocks").alias("mine"), F.col(f"{y}_blocks").alias("others"))
+
+    partners = materialize(seen_from("a", "b", 0).unionByName(seen_from("b", "a", 1).where("NOT same")), "partners")
+    rows = split_hot_join(members, partners, part, "inner", "doc_id", stored=True)
+    rows = rows.withColumn("own", _own("mine")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    low = F.when(F.col("same"), F.least("own", "k")).when(F.col("role") == 0, F.col("own")).otherwise(F.col("k"))
+    high = F.when(F.col("same"), F.greatest("own", "k")).when(F.col("role") == 0, F.col("k")).otherwise(F.col("own"))
+    side = F.when(~F.col("same"), F.col("role")).when(F.col("k") == F.col("own"), -1).when(F.col("own") < F.col("k"), 0).otherwise(1)
+    return rows.select(F.xxhash64("pair", low, high).alias("task"), side.alias("side"), "doc_id", "f1")
 
 
 def _links(rows: DataFrame) -> DataFrame:
@@ -293,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = reps.count()
     hoods = components(_neighbours(banded, max(LEAST_BUCKETS, total // 20_000)))
     members = reps.select(F.col("rep").alias("doc_id"), "f1", "n").join(hoods.select(F.col("id").alias("doc_id"), F.col("component").alias("hood")), "doc_id")
-    tasks = _tasks(materialize(members, "members"))
+    members = _classed(materialize(members, "members"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,13 +336,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 flat, edge = shingle_sets(part.column("text"))
                 found = [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
                 mine = np.array([_print(s)[0] for s in found], np.uint64).view(np.int64) == part.column("f1").to_numpy()
-                keep = pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "task": part.column("task"), "shingles": pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())})
+                keep = pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "f1": part.column("f1"), "shingles": pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())})
                 yield keep.filter(pa.array(mine))
 
-    chosen = lookup_join(rows, materialize(tasks, "tasks"), "doc_id")
-    full = chosen.mapInArrow(sets, "doc_id long, task array<struct<id:bigint,side:int>>, shingles binary")
-    full = full.select("doc_id", "shingles", F.explode("task").alias("task")).select(F.col("task.id").alias("task"), "task.side", "doc_id", "shingles")
-    linked = components(_links(full))
+    chosen = lookup_join(rows, materialize(members.select("doc_id", "f1"), "chosen"), "doc_id")
+    full = materialize(chosen.select("doc_id", "f1", "text").mapInArrow(sets, "doc_id long, f1 long, shingles binary"), "sets")
+
+    def compared(tasks: DataFrame) -> DataFrame:
+        rows = split_hot_join(materialize(tasks, "tasks"), full, ["doc_id", "f1"], "inner", "task", stored=True)
+        return materialize(_links(rows.select("task", "side", "doc_id", "shingles")), "links")
+
+    none = F.lit(None).cast("long")
+    if members.where("large").isEmpty():
+        links = compared(_tasks(members.withColumn("found", none)))
+    else:
+        links = compared(_leader_tasks(members))
+        sure = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("found"))
+        links = links.unionByName(compared(_tasks(lookup_join(members, materialize(sure, "sure"), "doc_id", "left"))))
+    linked = components(links)
     reps = reps.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
     reps = materialize(reps.select(*node, F.coalesce("component", "rep").alias("component_id")), "nodes")
     found = split_hot_join(sketches.drop("registers"), reps, node, "left", "doc_id", stored=True)

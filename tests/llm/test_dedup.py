@@ -118,6 +118,18 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert found == near(rows)
 
 
+def test_linked_neighbourhood_costs_no_pairs_of_blocks(spark, monkeypatch):
+    """Tasks are narrow rows, a few for each member where all are linked with a leader, and more are made for the others."""
+    monkeypatch.setattr(hm, "BLOCK_DOCS", 4)
+    made, links = [], hm._links
+    monkeypatch.setattr(hm, "_links", lambda rows: made.append((dict(rows.dtypes)["task"], rows.count())) or links(rows))
+    base = prose(60, 200).split()
+    rows = [(i, " ".join([*base[:100], f"e{i}", *base[101:]])) for i in range(80)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in hm.near_duplicates(documents(spark, rows)).collect()}
+    assert found == near(rows)
+    assert all(kind == "bigint" for kind, _ in made) and sum(n for _, n in made) <= 3 * len(rows)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     both, only = rng.integers(0, 2**64, 6000, np.uint64), rng.integers(0, 2**64, (2, 500), np.uint64)
