@@ -47,8 +47,14 @@ SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
     ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
 ]
-# Fixed value: what begins a copyright line, after lower-casing.
+# Fixed value: what begins a copyright line, after lower-casing, in SQL.
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©)"
+# Fixed values, after lower-casing: words after "copyright" in wrapped text of licences, where the line is none of a holder; titles.
+WRAPPED_LINE = (
+    r"^[^a-z0-9]*copyright[\x20\t]+(notices?|owners?|holders?|licen[cs]es?|law|laws|disclaimer|interest|treaty|statement|permission|and|or|on|in|is|as|to|"
+    r"the[\x20\t]+(program|software|library|work))([^a-z0-9]|$)(?!.*[0-9]{4})"
+)
+TITLE_LINE = r"^[^a-z0-9]*(the[\x20\t]+)?(mit|expat|isc)[\x20\t]+licen[cs]e([\x20\t]*\((mit|expat|isc)\))?[^a-z0-9]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,9 +67,12 @@ def canonical_line(line: Column) -> Column:
 
 
 def canonical_lines(text: Column) -> Column:
-    """Canonical lines of a text without its copyright lines and empty lines."""
+    """Canonical lines of a text without its copyright lines, titles and empty lines.
+
+    A line that a wrapped licence goes on in, after the word copyright, is no copyright line.
+    """
     lines = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "\n")
-    kept = F.filter(lines, lambda x: ~x.rlike(COPYRIGHT_LINE))
+    kept = F.filter(lines, lambda x: (~x.rlike(COPYRIGHT_LINE) | x.rlike(WRAPPED_LINE)) & ~x.rlike(TITLE_LINE))
     return F.filter(F.transform(kept, canonical_line), lambda x: x != "")
 
 

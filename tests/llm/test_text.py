@@ -183,6 +183,17 @@ def test_licences(spark):
     assert licenses.scan_licenses(documents(spark, [])).collect() == []
 
 
+def test_stock_licence_files_in_their_wrapping(spark):
+    import textwrap
+
+    isc, mit = (next(t for i, t in licenses.KNOWN if i == x and len(t) > 200) for x in ("ISC", "MIT"))
+    isc_file = "ISC License\n\nCopyright (c) 2020, A. Person\n\n" + isc.replace("that the above copyright", "that the above\ncopyright").replace("copies. THE", "copies.\n\nTHE")
+    rows = [(1, isc_file), (2, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit)]
+    rows += [(10 + w, "The MIT License (MIT)\nCopyright A. Person\n" + textwrap.fill(mit, w)) for w in range(30, 90)]
+    found = {r.doc_id: r.license for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert found == {i: "ISC" if i == 1 else "MIT" for i, _ in rows}
+
+
 def test_op5_equals_its_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
