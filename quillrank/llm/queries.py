@@ -9,6 +9,7 @@ from ..functions.text import html_to_text
 from . import bpe, html_extract, language_id, licenses, mixing, pii
 from .ego_join import embedding_duplicates
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .hyperminhash import near_duplicates
 from .registry import QUERIES, SQL, query, table
 from .substring_dedup import substring_dedup
@@ -81,4 +82,26 @@ def op10(spark, sf_dir):
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+_SHIFTED = "CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END"
+
+
+@query(
+    "op11_hard_negatives",
+    f"""WITH v AS (SELECT vec_id, {_SHIFTED} AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+      FROM (SELECT * FROM v WHERE vec_id % 100 = 0) a JOIN v r ON a.vec_id <> r.vec_id),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, row_number() OVER best AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER best <= 5""",
+)
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 __all__ = ["QUERIES", "SQL"]
