@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text
 from . import bpe, html_extract, language_id, licenses, mixing, pii
+from .conversation_trie import conversation_trie
 from .ego_join import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives
@@ -104,4 +105,34 @@ def op11(spark, sf_dir):
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, (u & 1) * 3988292384::UBIGINT))))"""
+
+
+@query(
+    "op13_conversation_trie",
+    f"""WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS pos, digest, chars
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+        length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL)),
+    convs AS (SELECT *, least(h, coalesce((SELECT count(*) FROM own WHERE own.conv_id = donor), 0)) AS given
+      FROM (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS donor, ({_CRC32} % 6)::BIGINT AS h FROM own)),
+    turns AS (SELECT c.conv_id, o.pos, digest, chars FROM convs c JOIN own o ON o.conv_id = c.donor AND o.pos <= h
+      UNION ALL SELECT conv_id, pos - h + given, digest, chars FROM convs JOIN own USING (conv_id) WHERE pos > h),
+    prefixes AS (SELECT conv_id, pos AS depth, chars, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM turns),
+    nodes AS (SELECT path, depth, any_value(chars) AS chars, count(*) AS n_convs, min(conv_id) AS conv_id FROM prefixes GROUP BY path, depth
+      UNION ALL SELECT '', 0, 0, count(*), min(conv_id) FROM convs HAVING count(*) > 0),
+    kids AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    under AS (SELECT left(path, 64 * d) AS path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+      FROM (SELECT n.path, unnest(range(depth + 1)) AS d, (k.n IS NULL)::BIGINT AS leaf, (n_convs - 1) * chars AS saved FROM nodes n LEFT JOIN kids k USING (path)) GROUP BY 1),
+    ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+      FROM (SELECT c.conv_id, coalesce(max_by(path, depth), '') AS path FROM convs c LEFT JOIN prefixes p ON p.conv_id = c.conv_id GROUP BY c.conv_id) GROUP BY 1)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM nodes n JOIN under u ON u.path = n.path LEFT JOIN kids k ON k.path = n.path LEFT JOIN ends e ON e.path = n.path
+      LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 64 * (n.depth - 1))""",
+)
+def op13(spark, sf_dir):
+    conv = F.col("conv_id")
+    return conversation_trie(table(spark, sf_dir, "conversations"), F.crc32(conv.cast("string")) % 6, conv - conv % 100)
+
+
 __all__ = ["QUERIES", "SQL"]
