@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text
-from . import bpe, html_extract, language_id, licenses, mixing, pii
+from . import bpe, chunk_bpe, html_extract, language_id, licenses, mixing, pii
 from .conversation_trie import conversation_trie
 from .ego_join import embedding_duplicates
 from .exact_dedup import exact_dedup
@@ -105,6 +105,11 @@ def op11(spark, sf_dir):
     return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
+@query("op12_chunked_bpe")
+def op12(spark, sf_dir):
+    return chunk_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, (u & 1) * 3988292384::UBIGINT))))"""
 
