@@ -1 +1 @@
-"""Column functions and the stemming table job."""
+"""Column functions and stemming as column expressions."""

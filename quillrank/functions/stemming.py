@@ -1,17 +1,21 @@
-"""Stemming as a table job: each distinct term is stemmed once, then joined back."""
+"""Stemming as column expressions: a chain of rewriting steps, the same text for both engines.
+
+Each step looks at a word once and rewrites its longest ending that a rule knows, if the stem before it is
+long enough. Lengths are patterns: a stem is consonants, then groups of vowels and consonants. At its start
+``y`` is a consonant and is written ``Y`` until the last step. Words that are not stemmed carry a ``.`` at their
+end meanwhile, which no ending has.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sizing import lookup_join
-from .text import is_entity
-
 # Suffix rules of steps 2, 3 and 4 of Porter (1980).
 STEP2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble",
@@ -27,91 +31,102 @@ STEP4 = (
     "ism", "ate", "iti", "ous", "ive", "ize",
 )
 
+_C, _V1 = "[^aeiou][^aeiouy]*", "[aeiouy]"
+_V = _V1 + "[aeiou]*"
+#: What a stem begins with if it has a vowel, or at least one or two groups of vowels and consonants.
+_VOWEL, _ONE, _TWO = f"(?:{_C})?{_V1}", f"(?:{_C})?{_V}{_C}", f"(?:{_C})?{_V}{_C}{_V}{_C}"
+#: A stem of one group whose only vowel is between single consonants, the last not w, x or y.
+_SHORT = f"^{_C}{_V1}[^aeiouwxy]"
+_TWINS = "(" + "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx") + "|[^aeiouy](yy)+|[aeiou]y(yy)+)[|]$"
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Words that end in one of ``ends`` and are ``like`` but not ``unlike`` the patterns have ``old`` replaced by ``new``.
+
+    ``new`` begins with ``{1}`` where it keeps what the group of ``old`` has found. Without ``old`` the word stays.
+    """
 
-def _shape(word: str) -> str:
-    """``c`` for consonants and ``v`` for vowels, with ``y`` a vowel after a consonant."""
-    out = ""
-    for i, ch in enumerate(word):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
-        out += "v" if vowel else "c"
-    return out
-
-
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
-
-
-def _ends_cvc(stem: str) -> bool:
-    return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
-
-
-def _longest(word: str, suffixes) -> str | None:
-    return next((s for s in sorted(suffixes, key=len, reverse=True) if word.endswith(s)), None)
-
-
-def _drop_ed_ing(word: str) -> str:
-    if word.endswith("eed"):
-        return word[:-1] if _measure(word[:-3]) > 0 else word
-    suffix = _longest(word, ("ed", "ing"))
-    if suffix is None or "v" not in _shape(word[: -len(suffix)]):
-        return word
-    stem = word[: -len(suffix)]
-    if stem.endswith(("at", "bl", "iz")):
-        return stem + "e"
-    if len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem)[-1] == "c" and stem[-1] not in "lsz":
-        return stem[:-1]
-    return stem + "e" if _measure(stem) == 1 and _ends_cvc(stem) else stem
-
-
-def porter(word: str) -> str:
-    """Stem of one lower-case word; words of one or two letters are kept."""
-    if len(word) < 3:
-        return word
-    if word.endswith(("sses", "ies")):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    word = _drop_ed_ing(word)
-    if word.endswith("y") and "v" in _shape(word[:-1]):
-        word = word[:-1] + "i"
-    for rules in (STEP2, STEP3):
-        suffix = _longest(word, rules)
-        if suffix and _measure(word[: -len(suffix)]) > 0:
-            word = word[: -len(suffix)] + rules[suffix]
-    suffix = _longest(word, STEP4)
-    if suffix:
-        stem = word[: -len(suffix)]
-        if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
-            word = stem
-    if word.endswith("e"):
-        stem, m = word[:-1], _measure(word[:-1])
-        if m > 1 or (m == 1 and not _ends_cvc(stem)):
-            word = stem
-    if word.endswith("ll") and _measure(word[:-1]) > 1:
-        word = word[:-1]
-    return word
-
-
-def _stem_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch["stem"] = [porter(t) if t.isascii() and t.isalpha() else t for t in batch["term"]]
-        yield batch[["term", "stem"]]
-
-
-def stem_terms(terms: DataFrame, keep_entities: bool = False) -> DataFrame:
-    """``(term, stem)`` for the distinct terms of ``terms``.
-
-    ``distinct`` combines on the map side, so Python sees every term once however often it
-    occurs. Links, mentions and hashtags keep their form when ``keep_entities`` is set.
+    ends: tuple[str, ...] = ()
+    like: str = ""
+    unlike: str = ""
+    old: str = ""
+    new: str = ""
+
+    def column(self, x: Column) -> tuple[Column, Column]:
+        tests = [reduce(or_, (F.endswith(x, F.lit(e)) for e in self.ends))] if self.ends else []
+        tests += [x.rlike(self.like)] if self.like else []
+        tests += [~x.rlike(self.unlike)] if self.unlike else []
+        return reduce(and_, tests, F.lit(True)), F.regexp_replace(x, self.old, self.new.replace("{1}", "$1")) if self.old else x
+
+    def sql(self) -> str:
+        tests = ["(" + " OR ".join(f"suffix(x, '{e}')" for e in self.ends) + ")"] if self.ends else []
+        tests += [f"regexp_matches(x, '{self.like}')"] if self.like else []
+        tests += [f"NOT regexp_matches(x, '{self.unlike}')"] if self.unlike else []
+        then = f"regexp_replace(x, '{self.old}', '{self.new.replace('{1}', chr(92) + '1')}')" if self.old else "x"
+        return f"WHEN {' AND '.join(tests) or 'true'} THEN {then}"
+
+
+def _ending(suffix: str, stem: str, new: str = "") -> Rule:
+    """Words in ``suffix`` whose stem is long enough get the ending ``new``."""
+    return Rule((suffix,), old=f"^({stem}.*){suffix}$", new="{1}" + new)
+
+
+def _endings(table: dict[str, str], stem: str) -> list[Rule]:
+    return [_ending(s, stem, table[s]) for s in sorted(table, key=len, reverse=True)]
+
+
+#: The steps; in each the first rule that knows a word decides.
+STEPS: list[list[Rule]] = [
+    [Rule(like="^[a-z]{3,}$", old="^y", new="Y"), Rule(old="(?s)^(.*)$", new="{1}.")],
+    [Rule(("sses", "ies"), old="es$"), Rule(("ss",)), Rule(("s",), old="s$")],
+    [_ending("eed", _ONE, "ee"), _ending("ed", _VOWEL, "|"), _ending("ing", _VOWEL, "|")],
+    [
+        Rule(unlike="[|]$"),
+        Rule(("at|", "bl|", "iz|"), old="[|]$", new="e"),
+        Rule(like=_TWINS, old=".[|]$"),
+        Rule(like=_SHORT + "[|]$", old="[|]$", new="e"),
+        Rule(old="[|]$"),
+    ],
+    [_ending("y", _VOWEL, "i")],
+    _endings(STEP2, _ONE),
+    _endings(STEP3, _ONE),
+    [Rule(("ion",), unlike="[st]ion$"), *_endings(dict.fromkeys(STEP4, ""), _TWO)],
+    [Rule(("e",), like=f"^{_TWO}.*e$", old="e$"), Rule(("e",), like=_SHORT + "e$"), _ending("e", _ONE)],
+    [Rule(("ll",), old=f"^({_TWO}.*)l$", new="{1}")],
+    [Rule((".",), old="[.]$"), Rule(old="^Y", new="y")],
+]
+
+
+def _rewriting(step: list[Rule]) -> Callable[[Column], Column]:
+    def rewrite(x: Column) -> Column:
+        first, *rest = [rule.column(x) for rule in step]
+        return reduce(lambda case, rule: case.when(*rule), rest, F.when(*first)).otherwise(x)
+
+    return rewrite
+
+
+def stem_words(words: Column) -> Column:
+    """Stems of an array of words.
+
+    Only words of three or more letters a to z are stemmed, so links, mentions, hashtags, numbers and words
+    in other scripts keep their form.
     """
-    vocab = terms.select("term").distinct()
-    if not keep_entities:
-        return vocab.mapInPandas(_stem_batches, "term string, stem string")
-    kept = vocab.where(is_entity("term")).select("term", F.col("term").alias("stem"))
-    return vocab.where(~is_entity("term")).mapInPandas(_stem_batches, "term string, stem string").unionByName(kept)
+    return reduce(lambda found, step: F.transform(found, _rewriting(step)), STEPS, words)
+
+
+def stem_sql(words: str) -> str:
+    """The same as DuckDB's SQL over ``words``, an array expression."""
+    for step in STEPS:
+        words = f"list_transform({words}, lambda x: CASE {' '.join(rule.sql() for rule in step)} ELSE x END)"
+    return words
+
+
+def stem_terms(terms: DataFrame) -> DataFrame:
+    """``(term, stem)`` for the distinct terms of ``terms``."""
+    return terms.select("term").distinct().withColumn("stem", stem_words(F.array("term"))[0])
 
 
-def stem_column(df: DataFrame, spread_on: str, keep_entities: bool = False) -> DataFrame:
-    """Replace column ``term`` by its stem; hot terms are split by ``spread_on``."""
-    stems = stem_terms(df, keep_entities)
-    return lookup_join(df, stems, "term", spread_on=spread_on).withColumn("term", F.col("stem")).drop("stem")
+def stem_column(df: DataFrame) -> DataFrame:
+    """Replace column ``term`` by its stem."""
+    return df.withColumn("term", stem_words(F.array("term"))[0])

@@ -42,7 +42,7 @@ def without(words: Column, stop: Sequence[str]) -> Column:
 
 
 def english_tokens(text: Column | str) -> Column:
-    """Tokens without the English stop words (no stemming; see ``stemming.stem_terms``)."""
+    """Tokens without the English stop words (no stemming; see ``stemming.stem_words``)."""
     return without(tokens(text), ENGLISH_STOPWORDS)
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem_column, stem_words
 from ..functions.text import tokens
 from ..session import materialize, spread
 from ..sizing import lookup_join
@@ -125,23 +126,23 @@ def build_index(
 ) -> TermIndex:
     """Lazy index over ``docs``; nothing runs until a query does."""
     lengths = analyze(spread(docs), doc_id, text, analyzer).select("doc_id", F.size("tokens").alias("dl"))
-    postings = build_postings(docs, doc_id, text, positions, analyzer)
-    if stem:
-        postings = stem_postings(postings)
+    postings = build_postings(docs, doc_id, text, positions, stemmed(analyzer) if stem else analyzer)
     return TermIndex(lengths, postings, term_stats(postings), coll_stats(lengths), stem)
 
 
+def stemmed(analyzer: Analyzer) -> Analyzer:
+    """The analyzer, followed by stemming."""
+    return lambda text: stem_words(analyzer(text))
+
+
 def stem_postings(postings: DataFrame) -> DataFrame:
     """Postings with stemmed terms; terms of a document that share a stem are merged."""
-    from ..functions.stemming import stem_column
-
     merged = {"tf": F.sum("tf").cast("int"), "dl": F.first("dl")}
     if "positions" in postings.columns:
         merged["positions"] = F.sort_array(F.flatten(F.collect_list("positions")))
     if "head" in postings.columns:
         merged["head"] = F.max("head")
-    stemmed = stem_column(postings, spread_on="doc_id")
-    out = stemmed.groupBy("doc_id", "term").agg(*(value.alias(name) for name, value in merged.items()))
+    out = stem_column(postings).groupBy("doc_id", "term").agg(*(value.alias(name) for name, value in merged.items()))
     return out.select(*(c for c in postings.columns if c != "term_bucket"))
 
 
@@ -175,10 +176,7 @@ def write_index(
     if mode == "append":
         known = spark.read.parquet(f"{path}/lengths").select(F.col("doc_id").alias(doc_id))
         docs = lookup_join(docs, known, doc_id, "left_anti")
-    rows = posting_rows(docs, doc_id, text, positions, analyzer)
-    if stem:
-        empty = rows.where(F.col("term").isNull())
-        rows = stem_postings(rows.where(F.col("term").isNotNull())).unionByName(empty)
+    rows = posting_rows(docs, doc_id, text, positions, stemmed(analyzer) if stem else analyzer)
     layout = rows.withColumn("term_bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "term_bucket")
     ordered = layout.sortWithinPartitions("term_bucket", "term", "doc_id")
     ordered.write.mode(mode).partitionBy("term_bucket").parquet(f"{path}/postings")
@@ -193,8 +191,8 @@ def write_index(
 def read_index(spark: SparkSession, path: str) -> TermIndex:
     """Open a stored index. The tables are read lazily, with column and bucket pruning."""
     lengths, postings, terms, stats = (spark.read.parquet(f"{path}/{n}") for n in ("lengths", "postings", "terms", "stats"))
-    stemmed = bool(stats.first()["stemmed"])
-    return TermIndex(lengths, postings.where(F.col("term_bucket") >= 0).drop("head"), terms, stats, stemmed)
+    stem = bool(stats.first()["stemmed"])
+    return TermIndex(lengths, postings.where(F.col("term_bucket") >= 0).drop("head"), terms, stats, stem)
 
 
 def compact(spark: SparkSession, path: str, target: str, pieces: int) -> None:

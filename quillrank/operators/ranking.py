@@ -7,11 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stemming import stem_column
 from ..functions.text import tokens
 from ..sizing import SMALL_ROWS, fits, lookup_join, split_hot_join
 from .filters import as_of
-from .postings import Analyzer, TermIndex
+from .postings import Analyzer, TermIndex, stemmed
 
 #: Scores are ranked at the precision of the run file, so that the order in which a cluster adds
 #: floating-point numbers cannot change a rank when a task is run again.
@@ -27,9 +26,8 @@ def analyze_topics(topics: DataFrame, analyzer: Analyzer = tokens, stem: bool =
 
     ``stem`` turns them into the stems that a stemmed index has.
     """
-    words = F.filter(analyzer(F.col("query")), lambda t: t != "")
-    found = topics.select("qid", F.posexplode(words).alias("pos", "term"))
-    return stem_column(found, spread_on="qid").select("qid", "pos", "term") if stem else found
+    words = F.filter((stemmed(analyzer) if stem else analyzer)(F.col("query")), lambda t: t != "")
+    return topics.select("qid", F.posexplode(words).alias("pos", "term"))
 
 
 def query_term_counts(query_tokens: DataFrame) -> DataFrame:

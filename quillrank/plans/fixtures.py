@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem_sql
 from ..operators.postings import TermIndex, build_index, numbered
 
 BASE_EPOCH = 1704067200
@@ -146,6 +147,9 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         ("tokens",),
         "SELECT doc_id, term, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM tokens GROUP BY doc_id, term",
     ),
+    "stoks": (("toks",), f"SELECT doc_id, {stem_sql('toks')} AS toks FROM toks"),
+    "stokens": (("stoks",), "SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM stoks"),
+    "spostings": (("stokens",), "SELECT doc_id, term, count(*) AS tf FROM stokens GROUP BY doc_id, term"),
     "lengths": (("toks",), "SELECT doc_id, len(toks) AS dl FROM toks"),
     "terms": (("postings",), "SELECT term, count(*) AS df, sum(tf)::BIGINT AS ctf FROM postings GROUP BY term"),
     "stats": (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.stemming import stem_sql
+from ..functions.stemming import stem_terms as stem_distinct
 from ..operators import postings as po
 from ..operators import ranking as rk
 from ..operators import vectors as vec
@@ -134,15 +136,13 @@ def parse_count(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", tx.parse_count(text).alias("n"))
 
 
-@query("stem_terms")
+@query("stem_terms", fx.sql(f"SELECT term, ({stem_sql('[term]')})[1] AS stem FROM terms", "terms"))
 def stem_terms(spark, sf):
-    from ..functions.stemming import stem_terms as stem
-
     words = po.analyze(fx.corpus(spark, sf)).select(F.explode("tokens").alias("term"))
-    return stem(words)
+    return stem_distinct(words)
 
 
-@query("stem_postings")
+@query("stem_postings", fx.sql("SELECT doc_id, term, tf::INT AS tf, dl::INT AS dl FROM spostings JOIN lengths USING (doc_id)", "spostings", "lengths"))
 def stem_postings(spark, sf):
     return po.stem_postings(po.build_postings(fx.corpus(spark, sf))).select("doc_id", "term", "tf", "dl")
 

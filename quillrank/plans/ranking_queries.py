@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem_sql
 from ..operators import evaluate as ev
 from ..operators import feedback as fb
 from ..operators import filters as fl
+from ..operators import postings as po
 from ..operators import ranking as rk
 from ..operators import rerank as rr
 from ..operators import runs
@@ -43,6 +45,29 @@ def bm25_top10(spark, sf):
     return rk.bm25(fx.index(spark, sf), fx.topics(spark, sf), hits=10)
 
 
+@query(
+    "bm25_stemmed",
+    fx.sql(
+        _topk(f"""SELECT qid, doc_id, round(sum(qtf * {_BM25}), 6) AS score
+        FROM (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({stem_sql('q')}) AS term FROM qtoks) GROUP BY qid, term) JOIN spostings USING (term)
+        JOIN lengths USING (doc_id) JOIN (SELECT term, count(*) AS df FROM spostings GROUP BY term) USING (term), stats GROUP BY qid, doc_id"""),
+        "qtoks", "spostings", "lengths", "stats",
+    ),
+)
+def bm25_stemmed(spark, sf):
+    """A stored index of stems, and stemmed topics."""
+    path = fresh_path(spark, "index")
+    po.write_index(fx.corpus(spark, sf), path, positions=False, stem=True, buckets=8)
+    return rk.bm25(po.read_index(spark, path), fx.topics(spark, sf))
+
+
+@query("bm25_stored", fx.sql(_topk(_sum(_BM25)), "matches", "stats"))
+def bm25_stored(spark, sf):
+    path = fresh_path(spark, "index")
+    po.write_index(fx.corpus(spark, sf), path, positions=False, buckets=8)
+    return rk.bm25(po.read_index(spark, path), fx.topics(spark, sf))
+
+
 @query(
     "bm25_as_of",
     fx.sql(_topk(_sum(_BM25, "JOIN topics USING (qid) WHERE doc_id BETWEEN 0 AND max_id").replace("FROM matches, stats", "FROM stats, matches")), "matches", "stats", "topics"),

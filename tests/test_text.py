@@ -1,10 +1,15 @@
 """Text functions and the stemmer."""
 
+import itertools
+import random
+
+import duckdb
 import pytest
+from porter import porter
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as tx
-from quillrank.functions.stemming import porter, stem_terms
+from quillrank.functions.stemming import stem_sql, stem_terms, stem_words
 
 STATUS_CASES = [
     ("Hello, World!", ["hello", "world"]),
@@ -72,14 +77,41 @@ PORTER = {
 }
 
 
-def test_porter_examples():
+def stems(spark, words):
+    frame = spark.createDataFrame([(w,) for w in words], "term string")
+    return {r.term: r.stem for r in stem_terms(frame).collect()}
+
+
+def test_porter_examples(spark):
     assert {w: porter(w) for w in PORTER} == PORTER
+    assert stems(spark, PORTER) == PORTER
+
+
+def invented():
+    """Words of all endings behind stems of all shapes, and words of few letters in any order."""
+    from quillrank.functions.stemming import STEP2, STEP3, STEP4
+
+    ends = [*STEP2, *STEP3, *STEP4, "sses", "ies", "ss", "s", "eed", "ed", "ing", "y", "e", "ll", "le", "ation", "ational"]
+    shapes = ["", "t", "tr", "a", "ay", "tay", "y", "yy", "hyy", "ayy", "ayyy", "oat", "abet", "trouble", "syzyg", "crepus", "fall", "hopp", "fizz", "how", "box", "gat", "sobl", "siz", "yet", "yoyo", "qui"]
+    pick = random.Random(3)
+    loose = ["".join(pick.choice("aeiouybstlnz") for _ in range(pick.randrange(1, 9))) for _ in range(4_000)]
+    return sorted({a + b + c for a, b, c in itertools.product(shapes, ends, ("", "s", "ed", "ly"))} | set(loose))
+
+
+def test_stems_equal_the_plain_stemmer_in_both_engines(spark):
+    words = invented()
+    want = {w: porter(w) for w in words}
+    got = stems(spark, words)
+    assert [w for w in words if got[w] != want[w]] == []
+    text = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    assert duckdb.connect().execute(f"SELECT {stem_sql('w')} FROM (SELECT {text} AS w)").fetchone()[0] == [want[w] for w in words]
 
 
-def test_stemming_keeps_entities(spark):
-    terms = spark.createDataFrame([("running",), ("#running",), ("running",), ("@cats",), ("cats",)], "term STRING")
-    got = {r.term: r.stem for r in stem_terms(terms, keep_entities=True).collect()}
-    assert got == {"running": "run", "#running": "#running", "@cats": "@cats", "cats": "cat"}
+def test_stemming_keeps_what_is_no_word(spark):
+    kept = ["#running", "@cats", "http://x.org/cats", "cats9", "is", "", "Cats", "caféing", "a\nbs", "b.", "x|", "cats.\n"]
+    assert stems(spark, kept) == {w: w for w in kept}
+    frame = spark.createDataFrame([(["running", None, "cats"],), (None,), ([],)], "words array<string>")
+    assert [r[0] for r in frame.select(stem_words(F.col("words"))).collect()] == [["run", None, "cat"], None, []]
 
 
 def test_analyzer_is_a_parameter(spark):
