@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
+import types
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,11 +40,14 @@ MARGIN = 16
 AHEAD = 48
 #: Distinct pieces whose ids a task remembers, and rows it recalls as repeated, before the memory starts anew.
 REMEMBER, RECALL = 400_000, 100_000
-#: The pattern of byte-level pre-tokenizers, and characters that all versions of Unicode tables class alike.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SETTLED = "[^\x00-ԯ‐-‧]"
+#: The pattern of byte-level pre-tokenizers, with classes of letters, numbers and white space by name.
+PATTERN = "'(?:[stmd]|re|ve|ll)| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: Characters that all versions of Unicode tables class alike, and the white space among them.
+SETTLED, SPACES = ((0x0, 0x52F), (0x2010, 0x2027)), r"\t\n\x0b\x0c\r \x85\xa0"
 
 _powers = _Powers(0x9E3779B97F4A7C15)
+#: Stands for a module, so that coders outlive the task that made them in a worker.
+_CODERS = "quillrank_chunk_coders"
 _BYTES = mix(np.arange(1001, 1257, dtype=np.uint64))
 
 
@@ -52,6 +58,13 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+def piece_pattern() -> str:
+    """PATTERN with the settled letters and numbers written out."""
+    settled = [chr(c) for a, b in SETTLED for c in range(a, b + 1)]
+    classes = {k: "".join(re.escape(c) for c in settled if unicodedata.category(c)[0] == k) for k in "LN"}
+    return PATTERN.format(S=SPACES, **classes)
+
+
 def cuts(text: bytes) -> list[int]:
     """Starts of the chunks of a text, the first at 0. They depend on the bytes nearby and on the last start."""
     n = len(text)
@@ -113,13 +126,14 @@ class ChunkCoder:
         number = {c: b for b, c in enumerate(byte_alphabet())}
         self.spelling = {b: c for c, b in number.items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes = {i: bytes(number[c] for c in t) for t, i in vocabulary.items()}
         self.added = {t["content"].encode(): t["id"] for t in added}
-        self.bytes.update({i: t for t, i in self.added.items()})
-        self.decimal = {i: b"%d" % i for i in self.bytes}
-        by_length = sorted((regex.escape(t["content"]).encode() for t in added), key=len, reverse=True)
-        self.special = regex.compile(b"|".join(by_length)) if added else None
-        self.find, self.unsettled = regex.compile(PATTERN).findall, regex.compile(SETTLED).search
+        token = {i: bytes(number[c] for c in t) for t, i in vocabulary.items()} | {i: t for t, i in self.added.items()}
+        self.bytes = [token.get(i, b"") for i in range(max(token, default=-1) + 1)]
+        self.decimal = [b"%d" % i for i in range(len(self.bytes))]
+        by_length = sorted((re.escape(t["content"]).encode() for t in added), key=len, reverse=True)
+        self.special = re.compile(b"|".join(by_length)) if added else None
+        self.find = re.compile(piece_pattern()).findall
+        self.unsettled = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SETTLED) + "]").search
         self._forget()
 
     def _forget(self) -> None:
@@ -142,8 +156,7 @@ class ChunkCoder:
         if len(self.known) > REMEMBER:
             self._forget()
         known, tokenize = self.known, self.tokenizer.model.tokenize
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for piece in new:
+        for piece in set(pieces).difference(known):
             raw = piece.encode("utf-8")
             found = [t.id for t in tokenize(raw.decode("latin-1").translate(self.spelling))]
             known[piece] = len(self.tokens)
@@ -271,18 +284,19 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 def _coded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    spec_key = xxhash.xxh3_128_hexdigest(spec.value)
     ChunkCoder(spec.value)  # tells at once if the file is of another kind
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     parts = max(LEAST_PARTS, total // PART_BYTES)
     tag = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), tag.alias("tag"), F.pmod(tag, F.lit(parts)).cast("int").alias("part"))
-    state: dict = {}
 
     def coder() -> ChunkCoder:
-        """One a task."""
-        if not state:
-            state[0] = ChunkCoder(spec.value)
-        return state[0]
+        """One a worker process and tokenizer."""
+        made, name = sys.modules.setdefault(_CODERS, types.ModuleType(_CODERS)).__dict__, f"coder_{spec_key}"
+        if name not in made:
+            made[name] = ChunkCoder(spec.value)
+        return made[name]
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row with the text where a task first sees it; how often it comes again follows, without."""
