@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_substr, tokens
+from ..session import materialize
 from ..sizing import fits, lookup_join
 from .joins import cooccurrence, judged_pairs
-from .postings import Analyzer, TermIndex
-from .ranking import analyze_topics, matching_pairs, query_term_counts
+from .postings import Analyzer, TermIndex, document_lengths, document_terms
+from .ranking import analyze_topics, matching_pairs, query_term_counts, with_term_stats
 
 # The default feature sets, in output order.
 WEB_FEATURES = (
@@ -234,8 +235,15 @@ def query_pairs(query_tokens: DataFrame, merge_repeats: bool = False, adjacent:
 
 
 def pair_matches(pairs: DataFrame, query_tokens: DataFrame, index: TermIndex) -> DataFrame:
-    """Matched query terms of the pairs: ``(qid, doc_id, term, qtf, tf, positions, dl, df, ctf)``."""
+    """Matched query terms of the pairs: ``(qid, doc_id, term, qtf, tf, positions, dl, df, ctf)``.
+
+    With a table of documents the pairs' documents are read and keep their query's terms; otherwise
+    the postings of all query terms are, and keep the pairs.
+    """
     counts = query_term_counts(query_tokens)
+    if index.documents is not None:
+        known = with_term_stats(counts.withColumnRenamed("qtf", "weight"), index).withColumnRenamed("weight", "qtf").drop("term_bucket")
+        return lookup_join(document_terms(index, pairs.select("qid", "doc_id")), known, ["qid", "term"], spread_on="doc_id", bound=query_tokens)
     wanted = lookup_join(pairs.select("qid", "doc_id"), counts, "qid", spread_on="doc_id", bound=query_tokens)
     vocab = counts.select("term").distinct()
     # A stored index also has the directory of each term, so that a scan reads only those of the query.
@@ -342,7 +350,7 @@ def extract_features(
     wants_pmi = any(f.name == "PMIFeature" for f in features)
     out = lookup_join(out, query_features(query_tokens, index, wants_pmi), "qid", spread_on="doc_id", bound=topics)
     if "dl" not in pairs.columns:
-        out = out.join(index.lengths.select("doc_id", "dl"), "doc_id")
+        out = document_lengths(index, out)
 
     paired = [f for f in features if f.level == "pair"]
     sdm = [f for f in features if f.level == "sdm"]
@@ -375,7 +383,9 @@ def extract_judged(
     docs: DataFrame | None = None, analyzer: Analyzer = tokens,
 ) -> DataFrame:
     """Features of all judged pairs, with the grade as it is. ``docs`` adds document columns."""
-    pairs = judged_pairs(qrels, index.lengths, topics)
+    pairs = judged_pairs(qrels, index, topics)
+    if index.documents is not None:
+        pairs = materialize(pairs, "judged")  # used several times, and each would read the lengths again
     if docs is not None:
         pairs = lookup_join(docs, pairs, "doc_id")
     out = extract_features(pairs, index, topics, names, analyzer)
@@ -397,9 +407,13 @@ def extract_run(
     run: DataFrame, qrels: DataFrame, index: TermIndex, topics: DataFrame, names: Sequence[str | Feature] = WEB_FEATURES,
     with_score: bool = False, docs: DataFrame | None = None, analyzer: Analyzer = tokens,
 ) -> DataFrame:
-    """Features of a ranked list; ``with_score`` puts the retrieval score first."""
+    """Features of a ranked list; ``with_score`` puts the retrieval score first.
+
+    The run is stored first: the pairs are used several times, and it would be ranked anew for each.
+    """
     from .rerank import with_grade
 
+    run = materialize(run.select("qid", "doc_id", "score"), "run")
     pairs = with_grade(run.select("qid", "doc_id", "score"), qrels)
     if docs is not None:
         pairs = lookup_join(docs, pairs, "doc_id")

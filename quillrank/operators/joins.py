@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sizing import fits, lookup_join, split_hot_join
-
-#: Topics that one document row is expanded with at a time when all pairs are formed.
+from .postings import TermIndex, document_lengths
 
 
 def in_cohort(df: DataFrame, cohort: DataFrame, key: str = "user_id") -> DataFrame:
@@ -16,10 +15,10 @@ def in_cohort(df: DataFrame, cohort: DataFrame, key: str = "user_id") -> DataFra
     return lookup_join(df, cohort.select(key).distinct(), key, "left_semi", spread_on="id")
 
 
-def judged_pairs(qrels: DataFrame, lengths: DataFrame, topics: DataFrame) -> DataFrame:
+def judged_pairs(qrels: DataFrame, index: TermIndex, topics: DataFrame) -> DataFrame:
     """Judged ``(qid, doc_id, grade, dl)`` of known topics; documents without terms are skipped."""
     known = lookup_join(qrels, topics.select("qid"), "qid", "left_semi", spread_on="doc_id", bound=topics)
-    return lookup_join(lengths.where(F.col("dl") > 0), known, "doc_id", bound=qrels)
+    return document_lengths(index, known, qrels).where(F.col("dl") > 0)
 
 
 def cooccurrence(postings: DataFrame, pairs: DataFrame, bound: DataFrame | None = None) -> DataFrame:

@@ -102,7 +102,9 @@ def coll_stats(lengths: DataFrame) -> DataFrame:
 class TermIndex:
     """The searchable tables. ``lengths`` also lists documents without terms.
 
-    ``stemmed`` tells that the terms are stems, so that queries have to be stemmed as well.
+    ``stemmed`` tells that the terms are stems, so that queries have to be stemmed as well. ``documents`` is a
+    second layout, ``(doc_id, doc_bucket, dl, terms)`` with a row a document, for jobs that ask for known documents.
+    The numbers of buckets are given where the tables lie in folders by bucket.
     """
 
     lengths: DataFrame
@@ -110,6 +112,9 @@ class TermIndex:
     terms: DataFrame
     stats: DataFrame
     stemmed: bool = False
+    documents: DataFrame | None = None
+    term_buckets: int = 0
+    doc_buckets: int = 0
 
     def stat(self, name: str) -> Column:
         """A collection statistic as a scalar subquery; it is computed once per query."""
@@ -135,6 +140,34 @@ def stemmed(analyzer: Analyzer) -> Analyzer:
     return lambda text: stem_words(analyzer(text))
 
 
+def doc_bucket(doc_id: Column, buckets: int) -> Column:
+    """Directory of a document."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+
+
+def _placed(wanted: DataFrame, index: TermIndex) -> DataFrame:
+    """``wanted`` with the folder of its documents; the test, always true, lets Spark prune by them."""
+    return wanted.withColumn("doc_bucket", doc_bucket(F.col("doc_id"), index.doc_buckets)).where("doc_bucket >= 0")
+
+
+def document_terms(index: TermIndex, wanted: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, term, tf, [positions], dl)`` of the documents in ``wanted``, with its other columns.
+
+    An index with a table of documents is read at their buckets only; otherwise all postings are met.
+    """
+    if index.documents is None:
+        return lookup_join(index.postings.drop("term_bucket"), wanted, "doc_id", spread_on="term", bound=bound)
+    met = lookup_join(index.documents, _placed(wanted, index), ["doc_bucket", "doc_id"], bound=bound)
+    return met.select(*wanted.columns, "dl", F.inline("terms"))
+
+
+def document_lengths(index: TermIndex, wanted: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """``wanted`` with ``dl`` of its documents; ids that the index does not know are dropped."""
+    if index.documents is None:
+        return lookup_join(index.lengths.select("doc_id", "dl"), wanted, "doc_id", bound=bound)
+    return lookup_join(index.documents.select("doc_bucket", "doc_id", "dl"), _placed(wanted, index), ["doc_bucket", "doc_id"], bound=bound).drop("doc_bucket")
+
+
 def stem_postings(postings: DataFrame) -> DataFrame:
     """Postings with stemmed terms; terms of a document that share a stem are merged."""
     merged = {"tf": F.sum("tf").cast("int"), "dl": F.first("dl")}
@@ -146,7 +179,7 @@ def stem_postings(postings: DataFrame) -> DataFrame:
     return out.select(*(c for c in postings.columns if c != "term_bucket"))
 
 
-def _bucket(term: Column, buckets: int) -> Column:
+def term_bucket(term: Column, buckets: int) -> Column:
     """Directory of a term; documents without terms are kept apart."""
     return F.when(term.isNotNull(), F.pmod(F.xxhash64(term), F.lit(buckets))).otherwise(-1).cast("int")
 
@@ -177,12 +210,12 @@ def write_index(
         known = spark.read.parquet(f"{path}/lengths").select(F.col("doc_id").alias(doc_id))
         docs = lookup_join(docs, known, doc_id, "left_anti")
     rows = posting_rows(docs, doc_id, text, positions, stemmed(analyzer) if stem else analyzer)
-    layout = rows.withColumn("term_bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "term_bucket")
+    layout = rows.withColumn("term_bucket", term_bucket(F.col("term"), buckets)).hint("rebalance", "term_bucket")
     ordered = layout.sortWithinPartitions("term_bucket", "term", "doc_id")
     ordered.write.mode(mode).partitionBy("term_bucket").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     stored.where("head").select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
-    terms = term_stats(stored.where(F.col("term_bucket") >= 0)).withColumn("term_bucket", _bucket(F.col("term"), buckets))
+    terms = term_stats(stored.where(F.col("term_bucket") >= 0)).withColumn("term_bucket", term_bucket(F.col("term"), buckets))
     terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     stats = coll_stats(spark.read.parquet(f"{path}/lengths")).withColumn("stemmed", F.lit(stem))
     stats.write.mode("overwrite").parquet(f"{path}/stats")

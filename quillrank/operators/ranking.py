@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import materialize
 from ..sizing import SMALL_ROWS, fits, lookup_join, split_hot_join
 from .filters import as_of
-from .postings import Analyzer, TermIndex, stemmed
+from .postings import Analyzer, TermIndex, stemmed, term_bucket
 
 #: Scores are ranked at the precision of the run file, so that the order in which a cluster adds
 #: floating-point numbers cannot change a rank when a task is run again.
@@ -45,12 +46,17 @@ def topic_terms(topics: DataFrame, analyzer: Analyzer = tokens, stem: bool = Fal
 
 def with_term_stats(query_terms: DataFrame, index: TermIndex) -> DataFrame:
     """Query terms that occur in the collection, with df and ctf (and the bucket of a stored index)."""
-    vocab = query_terms.select("term").distinct()
+    vocab = query_terms.select("term").where(F.length("term") > 0).distinct()  # a test that lets Spark prune by these terms
+    keys = ["term"]
+    if index.term_buckets:  # only the folders of the query terms are read
+        vocab, keys = vocab.withColumn("term_bucket", term_bucket(F.col("term"), index.term_buckets)), ["term_bucket", "term"]
     if fits(query_terms):
         vocab = F.broadcast(vocab)
-    found = index.terms.join(vocab, "term", "left_semi")
+    found = index.terms.join(vocab, keys, "left_semi")
     # One row per distinct query term, so it is no larger than the query side itself.
-    return query_terms.join(found, "term")
+    known = query_terms.join(found, "term")
+    # Stored before it prunes the scan of the postings: the pruning would otherwise read the statistics once more, and whole.
+    return materialize(known, "query-terms") if index.term_buckets else known
 
 
 def match_terms(postings: DataFrame, query_terms: DataFrame, bound: DataFrame | None = None) -> DataFrame:

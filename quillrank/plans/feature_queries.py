@@ -46,9 +46,6 @@ near AS MATERIALIZED (SELECT x.qid, x.doc_id, x.term AS t1, y.term AS t2, y.pos
   ON x.qid = y.qid AND x.doc_id = y.doc_id AND y.pos BETWEEN x.pos + 1 AND x.pos + 10)
 """
 
-#: The features that need no positions.
-TERM_FEATURES = tuple(n for n in ft.WEB_FEATURES if "Pairs" not in n)
-
 _GAPS = (6, 8, 10)
 _KINDS = (("UnorderedSequentialPairs", "unordered_next"), ("OrderedSequentialPairs", "ordered_next"))
 _ALL_KINDS = tuple((name, kind) for name, kind in ft.PAIR_KINDS.items())
@@ -92,7 +89,7 @@ _JUDGED = "SELECT q.qid, doc_id, grade FROM qrels q JOIN lengths USING (doc_id)
 
 @query("judged_pairs", fx.sql("SELECT q.qid, doc_id, grade, dl::INT AS dl FROM qrels q JOIN lengths USING (doc_id) JOIN topics USING (qid) WHERE dl > 0", "qrels", "lengths", "topics"))
 def judged_pairs(spark, sf):
-    return jn.judged_pairs(fx.qrels(spark, sf), fx.index(spark, sf).lengths, fx.topics(spark, sf)).select("qid", "doc_id", "grade", "dl")
+    return jn.judged_pairs(fx.qrels(spark, sf), fx.index(spark, sf), fx.topics(spark, sf)).select("qid", "doc_id", "grade", "dl")
 
 
 @query("matching_pairs", fx.sql("SELECT DISTINCT qid, doc_id, dl::INT AS dl FROM qterms JOIN postings USING (term) JOIN lengths USING (doc_id)", "qterms", "postings", "lengths"))
@@ -106,20 +103,27 @@ def features_judged(spark, sf):
     return _rounded(found, ft.WEB_FEATURES)
 
 
-@query("features_run", _wide_sql("SELECT qid, doc_id, score, greatest(coalesce(grade, 0), 0) AS grade FROM bm25_run LEFT JOIN qrels USING (qid, doc_id)", "grade, score, ", kinds=()))
+@query("features_judged_stored", _wide_sql(_JUDGED, "grade, "))
+def features_judged_stored(spark, sf):
+    """The same from a stored index: the judged documents are read by the folders of their ids."""
+    found = ft.extract_judged(fx.qrels(spark, sf), fx.stored_index(spark, sf, True), fx.topics(spark, sf))
+    return _rounded(found, ft.WEB_FEATURES)
+
+
+@query("features_run", _wide_sql("SELECT qid, doc_id, score, greatest(coalesce(grade, 0), 0) AS grade FROM bm25_run LEFT JOIN qrels USING (qid, doc_id)", "grade, score, "))
 def features_run(spark, sf):
-    index, topics = fx.index(spark, sf), fx.topics(spark, sf)
-    found = ft.extract_run(rk.bm25(index, topics), fx.qrels(spark, sf), index, topics, TERM_FEATURES, with_score=True)
-    return _rounded(found, TERM_FEATURES)
+    index, topics = fx.stored_index(spark, sf, True), fx.topics(spark, sf)
+    found = ft.extract_run(rk.bm25(index, topics), fx.qrels(spark, sf), index, topics, with_score=True)
+    return _rounded(found, ft.WEB_FEATURES)
 
 
 @query(
     "features_matching",
-    _wide_sql("SELECT qid, doc_id, greatest(coalesce(grade, 0), 0) AS grade FROM (SELECT DISTINCT qid, doc_id FROM qterms JOIN postings USING (term)) LEFT JOIN qrels USING (qid, doc_id)", "grade, ", kinds=()),
+    _wide_sql("SELECT qid, doc_id, greatest(coalesce(grade, 0), 0) AS grade FROM (SELECT DISTINCT qid, doc_id FROM qterms JOIN postings USING (term)) LEFT JOIN qrels USING (qid, doc_id)", "grade, "),
 )
 def features_matching(spark, sf):
-    found = ft.extract_matching(fx.qrels(spark, sf), fx.index(spark, sf), fx.topics(spark, sf), TERM_FEATURES)
-    return _rounded(found, TERM_FEATURES)
+    found = ft.extract_matching(fx.qrels(spark, sf), fx.index(spark, sf, True), fx.topics(spark, sf))
+    return _rounded(found, ft.WEB_FEATURES)
 
 
 @query(
@@ -161,7 +165,7 @@ def features_pairs(spark, sf):
 )
 def position_pairs(spark, sf):
     index, topics = fx.index(spark, sf, True), fx.topics(spark, sf)
-    pairs = jn.judged_pairs(fx.qrels(spark, sf), index.lengths, topics)
+    pairs = jn.judged_pairs(fx.qrels(spark, sf), index, topics)
     matches = ft.pair_matches(pairs, rk.analyze_topics(topics), index)
     near = ft.position_pairs(matches.groupBy("qid", "doc_id").agg(ft.token_sequence().alias("seq")), 10)
     return near.groupBy("qid", "doc_id", "t1", "t2", "distance").agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_sql
+from ..operators import segments
 from ..operators.postings import TermIndex, build_index, numbered
+from ..session import fresh_path
 
 BASE_EPOCH = 1704067200
 
@@ -27,6 +29,14 @@ def index(spark: SparkSession, sf_dir: str, positions: bool = False) -> TermInde
     return build_index(corpus(spark, sf_dir), positions=positions)
 
 
+def stored_index(spark: SparkSession, sf_dir: str, positions: bool = False) -> TermIndex:
+    """A stored index with both layouts: postings by term, documents by id."""
+    path = fresh_path(spark, "index")
+    segments.create(spark, path, positions=positions, term_buckets=8, doc_buckets=8)
+    segments.change(spark, path, corpus(spark, sf_dir))
+    return segments.read_segments(spark, path)
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
 

@@ -9,6 +9,7 @@ from ..functions.stemming import stem_sql
 from ..functions.stemming import stem_terms as stem_distinct
 from ..operators import postings as po
 from ..operators import ranking as rk
+from ..operators import segments as sg
 from ..operators import vectors as vec
 from ..session import fresh_path
 from . import fixtures as fx
@@ -193,6 +194,27 @@ def appended_index(spark, sf):
     return po.read_index(spark, path).terms.select("term", "df", "ctf")
 
 
+@query("changed_index", fx.sql("SELECT term, df, ctf, (SELECT n_docs FROM stats) AS n_docs, (SELECT sum_dl FROM stats) AS sum_dl FROM terms", "terms", "stats"))
+def changed_index(spark, sf):
+    """Additions, updates and deletes, a segment each, leave what a fresh build of the documents has.
+
+    Unlabelled documents come first, then labelled ones with a text that is not theirs and ids that no document has;
+    an append that repeats everything skips what is there, an update brings the right texts, a delete takes the other ids out.
+    """
+    docs, labelled = fx.corpus(spark, sf), fx.table(spark, sf, "labels").select("doc_id").distinct()
+    wrong = docs.join(labelled, "doc_id", "left_semi").withColumn("text", F.concat("text", F.lit(" gone")))
+    strange = docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    path = fresh_path(spark, "index")
+    sg.create(spark, path, positions=False, term_buckets=8, doc_buckets=8)
+    sg.change(spark, path, docs.join(labelled, "doc_id", "left_anti"))
+    sg.change(spark, path, wrong.unionByName(strange), update=False)
+    sg.change(spark, path, docs.withColumn("text", F.lit("skipped")), update=False)
+    sg.change(spark, path, docs.join(labelled, "doc_id", "left_semi"))
+    sg.change(spark, path, deletes=strange)
+    index = sg.read_segments(spark, path)
+    return index.terms.select("term", "df", "ctf", index.stat("n_docs").alias("n_docs"), index.stat("sum_dl").alias("sum_dl"))
+
+
 @query("term_dictionary", fx.sql("SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df FROM terms", "terms"))
 def term_dictionary(spark, sf):
     return po.term_dictionary(po.build_postings(fx.corpus(spark, sf), positions=False))

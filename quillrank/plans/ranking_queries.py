@@ -177,6 +177,14 @@ def rm3_query_likelihood(spark, sf):
     return fb.rm3(index, topics, rk.query_likelihood(index, topics), rk.dirichlet_model(index, 1000.0), stop)
 
 
+@query("rm3_stored", _rm3_sql(_BM25))
+def rm3_stored(spark, sf):
+    """Feedback documents are read from the table of documents, by the folders of their ids."""
+    index, topics = fx.stored_index(spark, sf), fx.topics(spark, sf)
+    stop = rk.top_df_terms(index.terms)
+    return fb.rm3(index, topics, rk.bm25(index, topics), rk.bm25_model(index, 0.9, 0.4), stop)
+
+
 _TIES = fx.sql(
     """SELECT qid, doc_id, round(score - 0.000001 * (row_number() OVER (PARTITION BY qid, island ORDER BY score DESC, doc_id DESC)
       - CASE WHEN island > 0 THEN 1 ELSE 0 END), 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC)::INT AS rank

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters as fl
+from ..operators import segments as sg
 from ..session import fresh_path
 from ..sources import statuses as st
 from ..streaming import counters as ct
@@ -76,9 +77,11 @@ def apply_deletes(spark, sf):
     ),
 )
 def live_search(spark, sf):
+    """Statuses are indexed as they arrive, a segment a batch, and searched there."""
     path = fresh_path(spark, "live")
+    sg.create(spark, path, positions=False, term_buckets=8, doc_buckets=8)
     _, messages = _status_stream(spark, sf)
-    _drain(live.ingest(messages, path, fresh_path(spark, "cp")))
+    _drain(live.index_stream(messages, path, fresh_path(spark, "cp")))
     text = fx.topics(spark, sf).where("qid = '0'").first()["query"]
     return live.live_search(spark, path, text)
 

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import tokens
-from ..operators.postings import Analyzer, build_index
+from ..operators import segments
+from ..operators.postings import Analyzer
 from ..operators.ranking import search
+from ..session import materialize
 from ..sizing import lookup_join
+from ..versions import children
 
 
 def last_per_id(messages: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -56,22 +59,16 @@ def apply_deletes(base: DataFrame, log: DataFrame, batch: str = "batch") -> Data
     return kept.unionByName(added, allowMissingColumns=True)
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-
-
 def _base_version(spark: SparkSession, path: str) -> int | None:
-    names = (n for n in _children(spark, f"{path}/base") if n.startswith("upto="))
-    done = [int(n[5:]) for n in names if "_SUCCESS" in _children(spark, f"{path}/base/{n}")]
+    names = (n for n in children(spark, f"{path}/base") if n.startswith("upto="))
+    done = [int(n[5:]) for n in names if "_SUCCESS" in children(spark, f"{path}/base/{n}")]
     return max(done, default=None)
 
 
 def live_table(spark: SparkSession, path: str) -> DataFrame:
     """The statuses that exist after the newest committed batch."""
     version = _base_version(spark, path)
-    batches = _children(spark, f"{path}/log")
+    batches = children(spark, f"{path}/log")
     log = spark.read.parquet(f"{path}/log") if batches else None
     if version is None:
         if log is None:
@@ -83,15 +80,42 @@ def live_table(spark: SparkSession, path: str) -> DataFrame:
 
 def compact_live(spark: SparkSession, path: str) -> int:
     """Fold all committed batches into a new base; readers switch when it is complete."""
-    newest = max(int(n.split("=")[1]) for n in _children(spark, f"{path}/log") if n.startswith("batch="))
+    newest = max(int(n.split("=")[1]) for n in children(spark, f"{path}/log") if n.startswith("batch="))
     live_table(spark, path).write.mode("overwrite").parquet(f"{path}/base/upto={newest}")
     return newest
 
 
+def index_stream(
+    stream: DataFrame, path: str, checkpoint: str, order: str | None = None, analyzer: Analyzer = tokens, feed: str = "stream", **trigger
+) -> StreamingQuery:
+    """Keep the index of ``operators.segments`` below ``path`` up to date with a stream as for ``ingest``.
+
+    Each batch is one change: additions are put in, or replace the status they repeat, deletes take out. A search sees
+    all of a batch or nothing of it. The index knows the number of the last batch of ``feed``, so a batch that is run
+    again changes nothing; a new checkpoint needs a new ``feed``.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch if order else batch.withColumn("_line", F.monotonically_increasing_id())
+        last = materialize(last_per_id(numbered, [order] if order else [c for c in ("arrival", "_line") if c in numbered.columns]), "batch")
+        added = last.where("op = 'add' AND text IS NOT NULL").select(F.col("id").alias("doc_id"), "text")
+        deleted = last.where("op = 'delete'").select(F.col("id").alias("doc_id"))
+        segments.change(batch.sparkSession, path, added, deleted, analyzer=analyzer, source=(feed, batch_id))
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def live_search(spark: SparkSession, path: str, text: str, n: int = 20, analyzer: Analyzer = tokens) -> DataFrame:
-    """The best n live statuses for a query text."""
-    index = build_index(live_table(spark, path), "id", "text", positions=False, analyzer=analyzer)
-    return search(index, text, n, analyzer)
+    """The best n statuses for a query text, in the newest version of the index that ``index_stream`` keeps.
+
+    No status is tokenised; of postings and statistics only the folders of the query's terms are read.
+    """
+    return search(segments.read_segments(spark, path), text, n, analyzer)
 
 
 def archive_raw(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
