@@ -176,7 +176,8 @@ def pmi(query_terms: DataFrame, index: TermIndex, bound: DataFrame | None = None
         "qid", "x", F.explode(F.slice("terms", F.col("i") + 2, F.size("terms"))).alias("y")
     )
     flat = pairs.select("qid", F.col("x.term").alias("t1"), F.col("y.term").alias("t2"), (F.col("x.df") * F.col("y.df").cast("double")).alias("dd"))
-    counts = cooccurrence(index.postings, flat, bound)
+    flat = materialize(flat, "pairs")
+    counts = cooccurrence(index.postings, flat, bound, index.stats.first()["n_docs"])
     scored = flat.join(counts, ["t1", "t2"], "left")
     return scored.groupBy("qid").agg(F.avg(F.coalesce(F.log(F.col("n") / F.col("dd")), F.lit(0.0))).alias("pmi"))
 

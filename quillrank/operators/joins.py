@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..session import materialize
 from ..sizing import fits, lookup_join, split_hot_join
 from .postings import TermIndex, document_lengths
 
+#: Pairs that are sent to the tasks, 16 bytes each; documents of a block at most, and at least where there are few, about.
+MOST_PAIRS, BLOCK_DOCS, LEAST_DOCS = 4_000_000, 16_384, 1_024
+
 
 def in_cohort(df: DataFrame, cohort: DataFrame, key: str = "user_id") -> DataFrame:
     """Rows whose user is on the cohort list."""
@@ -21,16 +26,72 @@ def judged_pairs(qrels: DataFrame, index: TermIndex, topics: DataFrame) -> DataF
     return document_lengths(index, known, qrels).where(F.col("dl") > 0)
 
 
-def cooccurrence(postings: DataFrame, pairs: DataFrame, bound: DataFrame | None = None) -> DataFrame:
-    """``(t1, t2, n)``: documents that contain both terms, for the given pairs only.
+def cooccurrence(postings: DataFrame, pairs: DataFrame, bound: DataFrame | None = None, n_docs: int | None = None, max_pairs: int = MOST_PAIRS) -> DataFrame:
+    """``(t1, t2, n)``: documents that contain both terms, for the given pairs only; pairs that never meet are left out.
 
-    Each document keeps the set of its terms that occur in any pair, and counts its partners
-    inside the row; only counts per pair leave the task. Nothing is emitted for other pairs.
-    ``bound`` is a frame with at least as many rows as the pairs have different terms.
+    Documents are dealt over blocks, and in a block each term has a bitmap of its documents. A pair costs the words of a
+    bitmap, or the documents of its rarer term if they are fewer; only counts per pair leave the task. Terms stand for
+    themselves by 64 bits of a hash there. Up to ``max_pairs`` pairs are sent to the tasks; more of them go by rows.
+    ``bound`` is a frame with at least as many rows as the pairs have different terms; ``n_docs`` is counted unless given.
     """
     wanted = pairs.select("t1", "t2").distinct()
     vocab = wanted.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
     kept = lookup_join(postings.select("doc_id", "term"), vocab, "term", "left_semi", spread_on="doc_id", bound=bound)
+    if not fits(wanted, max_pairs):
+        return _cooccurrence_by_rows(kept, wanted, pairs)
+    hashed = wanted.select("t1", "t2", F.xxhash64("t1").alias("h1"), F.xxhash64("t2").alias("h2"))
+    sent = hashed.select("h1", "h2").toArrow()
+    both = pairs.sparkSession.sparkContext.broadcast((sent.column("h1").to_numpy(), sent.column("h2").to_numpy()))
+    if n_docs is None:
+        n_docs = postings.agg(F.approx_count_distinct("doc_id")).first()[0]
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n_docs // BLOCK_DOCS), min(3 * cores, -(-n_docs // LEAST_DOCS)), 1)
+
+    def count(group: pa.Table) -> pa.Table:
+        first, second = both.value
+        terms, term = np.unique(group.column("h").to_numpy(), return_inverse=True)
+        docs, doc = np.unique(group.column("doc").to_numpy(), return_inverse=True)
+        a, b = np.searchsorted(terms, first), np.searchsorted(terms, second)
+        here = np.flatnonzero((terms[np.minimum(a, len(terms) - 1)] == first) & (terms[np.minimum(b, len(terms) - 1)] == second))
+        n = shared_counts(term, doc, len(terms), len(docs), a[here], b[here])
+        some = n > 0
+        return pa.table({"h1": first[here][some], "h2": second[here][some], "n": n[some]})
+
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+    dealt = kept.select(block, F.xxhash64(F.col("doc_id"), F.lit(1)).alias("doc"), F.xxhash64("term").alias("h")).groupBy("block")
+    counts = dealt.applyInArrow(count, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    return lookup_join(hashed, counts, ["h1", "h2"]).select("t1", "t2", "n")
+
+
+def shared_counts(term: np.ndarray, doc: np.ndarray, n_terms: int, n_docs: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many documents terms ``a[i]`` and ``b[i]`` both are, given all ``(term, doc)`` by number, each once or more."""
+    words = -(-n_docs // 64)
+    bits = np.zeros((n_terms, words), np.uint64)
+    np.bitwise_or.at(bits, (term, doc >> 6), np.uint64(1) << (doc & 63).astype(np.uint64))
+    df = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    swap = df[a] > df[b]
+    rare, other = np.where(swap, b, a), np.where(swap, a, b)
+    out = np.zeros(len(a), np.int64)
+    dense = np.flatnonzero(df[rare] > words)
+    for at in range(0, len(dense), step := max(1, (1 << 20) // max(words, 1))):
+        part = dense[at : at + step]
+        out[part] = np.bitwise_count(bits[rare[part]] & bits[other[part]]).sum(axis=1)
+    order = np.unique(term.astype(np.int64) * n_docs + doc)  # each once, documents of a term side by side
+    starts, listed = np.concatenate([[0], np.cumsum(df)]), order % max(n_docs, 1)
+    sparse = np.flatnonzero(df[rare] <= words)
+    for at in range(0, len(sparse), step := 1 << 17):
+        part = sparse[at : at + step]
+        size = df[rare[part]]
+        ends = np.cumsum(size)
+        which = np.repeat(np.arange(len(part)), size)
+        docs = listed[np.arange(len(which)) + np.repeat(starts[rare[part]] - (ends - size), size)]
+        hit = bits[other[part][which], docs >> 6] >> (docs & 63).astype(np.uint64) & np.uint64(1)
+        out[part] = np.bincount(which, hit, len(part)).astype(np.int64)
+    return out
+
+
+def _cooccurrence_by_rows(kept: DataFrame, wanted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same for pairs too many to send: each document counts its terms' partners inside its row."""
     sets = kept.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
     each = sets.select("doc_id", F.explode("terms").alias("t1"), "terms")
     partners = wanted.groupBy("t1").agg(F.collect_set("t2").alias("partners"))
