@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,53 +29,76 @@ def list_inputs(spark: SparkSession, suffix: str = ".warc.gz", skip: str = "Othe
     return reader, wanted
 
 
+class _Walker:
+    """Records of one file, taken from its bytes as they come, a step a record.
+
+    What is fed ends with a line. A record that is not complete yet waits, with the number of bytes it needs if its
+    header is known, so a long payload is joined once.
+    """
+
+    def __init__(self, version: str) -> None:
+        self.mark = re.compile(rb"(?m)^" + re.escape(version.encode()) + rb"\r*\n")
+        self.blank, self.length = re.compile(rb"(?m)^\r*\n"), re.compile(rb"(?mi)^content-length:[ \t]*([^\r\n]*?)[ \t]*\r*$")
+        self.held: list[bytes] = []
+        self.size = self.need = 0
+
+    def feed(self, data: bytes, last: bool = False) -> Iterator[tuple[bytes, bytes, bool]]:
+        """``(head, payload, rejected)`` of the records that are complete, and at the ``last`` of what is left of one."""
+        self.held.append(data)
+        self.size += len(data)
+        if self.size < self.need and not last:
+            return
+        data, at = b"".join(self.held), 0
+        self.held, self.size, self.need = [], 0, 0
+        while begin := self.mark.search(data, at):
+            end = self.blank.search(data, begin.end())
+            if end is None:
+                if last:
+                    yield data[begin.end() :], b"", True
+                else:
+                    self._wait(data[begin.start() :], 0)
+                return
+            head, at = data[begin.end() : end.start()], end.end()
+            sizes = self.length.findall(head)
+            if not sizes or not sizes[-1].isdigit():  # a record without a length can't be cut
+                yield head, b"", True
+                continue
+            stop = at + int(sizes[-1])
+            if stop > len(data):
+                if last:
+                    yield head, data[at:], True
+                else:
+                    self._wait(data[begin.start() :], stop - begin.start())
+                return
+            yield head, data[at:stop], False
+            at = stop
+
+    def _wait(self, data: bytes, need: int) -> None:
+        self.held, self.size, self.need = [data], len(data), need
+
+
 def _warc_records(version: str):
     """Task function: lines of files, in order, to records that are cut by their stated length."""
-    mark = version.encode()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, head, body, need, held, out = None, None, [], None, 0, []
+        file, walker = None, _Walker(version)
 
-        def record(complete: bool) -> tuple:
-            payload = b"".join(body)
-            return b"\n".join(head).decode("utf-8", "replace"), payload[: need if complete else None].decode("utf-8", "replace"), not complete
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.string(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], ["head", "payload", "rejected"])
+        def batch_of(records: list[tuple[bytes, bytes, bool]]) -> pa.RecordBatch:
+            text = lambda raw: raw.decode("utf-8", "replace")
+            columns = ([text(h.replace(b"\r\n", b"\n").rstrip(b"\r\n")) for h, _, _ in records], [text(p) for _, p, _ in records], [r for _, _, r in records])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.bool_()))], ["head", "payload", "rejected"])
 
         for batch in batches:
-            for line, path in zip(batch.column("line").to_pylist(), batch.column("file").to_pylist()):
-                if path != file:
-                    if head is not None:
-                        out.append(record(False))
-                    file, head, body, need, held = path, None, [], None, 0
-                bare = line.rstrip(b"\r")
-                if head is None:
-                    if bare == mark:
-                        head = []
-                elif need is None:
-                    if bare:
-                        head.append(bare)
-                    else:
-                        sizes = [h.split(b":", 1)[1].strip() for h in head if h.lower().startswith(b"content-length:")]
-                        if sizes and sizes[-1].isdigit():
-                            need = int(sizes[-1])
-                        else:  # a record without a length can't be cut
-                            out.append(record(False))
-                            head = None
-                else:
-                    body.append(line + b"\n")
-                    held += len(line) + 1
-                # The last line of a file may lack its line end, so one byte less is enough.
-                if head is not None and need is not None and held >= need:
-                    out.append(record(True))
-                    head, body, need, held = None, [], None, 0
+            files, lines = batch.column("file").to_numpy(), batch.column("line")
+            edges = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)] if len(files) else [0]
+            out: list[tuple[bytes, bytes, bool]] = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if files[a] != file:
+                    out += walker.feed(b"", last=True)
+                    file, walker = files[a], _Walker(version)
+                out += walker.feed(b"\n".join(lines.slice(a, b - a).to_pylist()) + b"\n")
             yield batch_of(out)
-            out = []
-        if head is not None:
-            out.append(record(False))
-        yield batch_of(out)
+        yield batch_of(list(walker.feed(b"", last=True)))
 
     return read
 
@@ -92,7 +117,7 @@ def read_warc(
         raise ValueError("WARC files must be gzip")
     reader, wanted = list_inputs(spark, suffix)
     lines = reader.option("lineSep", "\n").text(path).where(wanted)
-    lines = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("file"))
     split = lines.mapInArrow(_warc_records(version), "head string, payload string, rejected boolean")
     fields = F.filter(F.split("head", "\n"), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(fields, lambda x: F.struct(F.trim(F.split(x, ":", 2)[0]), F.trim(F.split(x, ":", 2)[1])))

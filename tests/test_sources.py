@@ -40,6 +40,19 @@ def test_warc(spark, tmp_path, version, content):
     assert [r.doc_id for r in fl.only_responses(rc.read_warc(spark, str(tmp_path), version)).collect()] == ["d1"]
 
 
+def test_warc_records_are_walked_by_their_length():
+    """However the bytes are cut into batches of lines, the records are the same, and each takes one step."""
+    pages = [(f"d{i}", "Content-Length: 1\n" + "WARC/1.0\r\n\r\nx\n" * (i % 4) + "y" * (i % 7)) for i in range(12)]
+    data = "".join(warc_record("WARC/1.0", "response", k, p) for k, p in pages).encode()
+    data += b"junk\nWARC/1.0\r\nno length\r\n\r\nWARC/1.0\r\nContent-Length: x\n\nWARC/1.0\nCONTENT-LENGTH:  3 \r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 50\n\ncut"
+    lines = (data + b"\n").split(b"\n")[:-1]
+    for step in (1, 2, 5, len(lines)):
+        walker = rc._Walker("WARC/1.0")
+        found = [r for i in range(0, len(lines), step) for r in walker.feed(b"\n".join(lines[i : i + step]) + b"\n")]
+        found += walker.feed(b"", last=True)
+        assert [(p.decode(), bad) for _, p, bad in found] == [(p, False) for _, p in pages] + [("", True), ("", True), ("abc", False), ("cut\n", True)]
+
+
 def test_warc_payload_may_hold_any_text_and_bytes(spark, tmp_path):
     inner = "Content-Length: 1\n<p>WARC/1.0</p>\nWARC/1.0\r\nWARC-Type: response\r\n\r\n<p>x</p>"
     latin = b"WARC/1.0\r\nWARC-TREC-ID: d3\r\nWARC-Type: response\r\nContent-Length: 29\r\n\r\nContent-Length: 1\n<p>caf\xe9</p>\n"
