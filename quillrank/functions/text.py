@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,44 +114,48 @@ def is_entity(term: Column | str) -> Column:
     return t.rlike(URL_TOKEN) | t.rlike(MENTION_TOKEN) | t.rlike(HASHTAG_TOKEN)
 
 
-# Character entities that are resolved in page text.
-HTML_ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-    ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&deg;", "°"), ("&aacute;", "á"), ("&agrave;", "à"), ("&acirc;", "â"), ("&auml;", "ä"),
-    ("&ccedil;", "ç"), ("&eacute;", "é"), ("&egrave;", "è"), ("&ecirc;", "ê"), ("&iacute;", "í"), ("&ntilde;", "ñ"), ("&oacute;", "ó"),
-    ("&ouml;", "ö"), ("&szlig;", "ß"), ("&uacute;", "ú"), ("&uuml;", "ü"), ("&amp;", "&"),
-)
-# Forms of a numeric character reference after "&#", and the code points that are no characters.
-NUMERIC_REFERENCE = ("^[0-9]{1,7};", "^[xX][0-9a-fA-F]{1,6};")
+# Forms of a character reference after "&", and the code points that are no characters.
+NAMED_REFERENCE, DECIMAL_REFERENCE, HEX_REFERENCE = "^[A-Za-z][A-Za-z0-9]*;", "^#[0-9]{1,7};", "^#[xX][0-9a-fA-F]{1,6};"
 SURROGATES, LAST_CODE_POINT = (0xD800, 0xDFFF), 0x10FFFF
 
 
-def numeric_references(text: Column) -> Column:
-    """Text with ``&#8217;`` and ``&#x2019;`` as the characters they name; other uses of ``&#`` stay."""
-    parts = F.split(text, "&#")
+@cache
+def named_characters() -> dict[str, str]:
+    """Characters of all named references that the HTML standard publishes; a no-break space is a space here."""
+    return {name: " " if char == "\xa0" else char for name, char in html5.items() if name.endswith(";")}
+
+
+def references(text: Column) -> Column:
+    """Text with references such as ``&eacute;``, ``&#8217;`` and ``&#x2019;`` as the characters they name, in one pass.
+
+    What a reference makes begins no further one; ampersands that begin none stay.
+    """
+    by_start: dict[str, dict[str, str]] = {}  # a lookup goes through the keys of a map, so two short ones are less work
+    for name, char in named_characters().items():
+        by_start.setdefault(name[:2], {})[name] = char
+    names = F.from_json(F.lit(json.dumps(by_start)), "map<string, map<string, string>>")
 
     def resolve(part: Column) -> Column:
-        number = F.split_part(part, F.lit(";"), F.lit(1))
-        decimal, hexadecimal = part.rlike(NUMERIC_REFERENCE[0]), part.rlike(NUMERIC_REFERENCE[1])
-        code = F.when(decimal, number.try_cast("int")).when(hexadecimal, F.conv(F.substr(number, F.lit(2)), 16, 10).try_cast("int"))
+        decimal, hexadecimal = part.rlike(DECIMAL_REFERENCE), part.rlike(HEX_REFERENCE)
+        head = F.concat(F.split_part(part, F.lit(";"), F.lit(1)), F.lit(";"))
+        digits = F.regexp_replace(head, "[#xX;]", "")
+        code = F.when(decimal, digits.try_cast("int")).when(hexadecimal, F.conv(digits, 16, 10).try_cast("int"))
         valid = code.between(1, LAST_CODE_POINT) & ~code.between(*SURROGATES)
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(32))), 8, "0")), "UTF-32")
-        char = F.when(code == 38, "&amp;").otherwise(char)  # an ampersand made here begins no further reference
-        return F.when(valid, F.concat(char, F.substr(part, F.length(number) + 2))).otherwise(F.concat(F.lit("&#"), part))
+        found = F.when(valid, char).when(part.rlike(NAMED_REFERENCE), F.try_element_at(F.try_element_at(names, F.left(head, F.lit(2))), head))
+        return F.coalesce(F.concat(found, F.substr(part, F.length(head) + 1)), F.concat(F.lit("&"), part))
 
+    parts = F.split(text, "&")
     return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(resolve(p))), "")
 
 
 def html_to_text(html: Column | str) -> Column:
-    """Text of a page: comments, scripts, styles and tags dropped, entities resolved."""
+    """Text of a page: comments, scripts, styles and tags dropped, character references resolved."""
     out = F.regexp_replace(as_col(html), r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?is)<script\b.*?</script\s*>", " ")
     out = F.regexp_replace(out, r"(?is)<style\b.*?</style\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    out = F.when(F.contains(out, F.lit("&#")), numeric_references(out)).otherwise(out)
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = F.when(F.contains(out, F.lit("&")), references(out)).otherwise(out)
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 

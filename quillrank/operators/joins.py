@@ -177,30 +177,38 @@ def reply_roots(df: DataFrame, id_col: str = "id", parent: str = "in_reply_to_st
 
 
 def reply_chain(df: DataFrame, starts: DataFrame, id_col: str = "id", parent: str = "in_reply_to_status_id") -> DataFrame:
-    """``(start_id, id, steps)``: each start and all its ancestors; the root has the most steps.
+    """``(start_id, id, steps)``: each start and all its known ancestors; the root has the most steps.
 
-    One equi join per level; a popular status that many chains pass is split over tasks. A chain that runs
-    into a cycle ends there, with each status once: at steps 1, 2, 4, ... it remembers the status it is at, and
-    stops when it comes by again.
+    A round knows the ancestors up to some distance and links that lead that far; three joins along the links take each
+    chain to four times the distance, a fourth makes the links of the next round. So the tables that are written are
+    the logarithm of the longest chain in number. A popular status that many chains pass is split over tasks. A chain that
+    runs into a cycle has each status once, at its least distance; nothing new is found there, which ends the rounds.
     """
-    links = df.select(F.col(id_col).alias("id"), F.col(parent).alias("up"))
-    small = fits(links)
-    frontier = starts.select(F.col(id_col).alias("start_id"), F.col(id_col).alias("id"), F.lit(None).cast("bigint").alias("seen"))
-    levels, steps = [], 0
-    while True:
-        if small:
-            found = frontier.join(F.broadcast(links), "id")
-        else:
-            found = split_hot_join(frontier, links, ["id"], "inner", "start_id")
-        level = materialize(found.withColumn("steps", F.lit(steps)), "chain")
-        if level.isEmpty():
+    own = df.select(F.col(id_col).alias("id"), F.col(parent).alias("up"))
+    known = own.where(F.col("id").isNotNull()).select("id").distinct()
+    links = materialize(own.join(known.withColumnRenamed("id", "up"), "up", "left_semi").distinct(), "links")
+    first = starts.select(F.col(id_col).alias("id")).distinct().join(known, "id", "left_semi")
+    reached = materialize(first.select(F.col("id").alias("start_id"), "id", F.lit(0).cast("bigint").alias("steps")), "chain")
+    n, stride = reached.count(), 1
+    while not links.isEmpty():
+        small = fits(links)
+
+        def along(rows: DataFrame, at: str, spread_on: str, links: DataFrame = links, small: bool = small) -> DataFrame:
+            """``rows`` with column ``at`` replaced by where the links lead from there."""
+            step = links.select(F.col("id").alias(at), F.col("up").alias("_to"))
+            met = rows.join(F.broadcast(step), at) if small else split_hot_join(rows, step, [at], "inner", spread_on)
+            return met.withColumn(at, F.col("_to")).select(*rows.columns)
+
+        every = step = reached
+        for _ in range(3):
+            step = along(step, "id", "start_id").withColumn("steps", F.col("steps") + stride)
+            every = every.unionByName(step)
+        reached = materialize(every.groupBy("start_id", "id").agg(F.min("steps").alias("steps")), "chain")
+        before, n = n, reached.count()
+        if n == before:
             break
-        levels.append(level.select("start_id", "id", "steps"))
-        seen = F.col("id") if steps & (steps - 1) == 0 else F.col("seen")
-        further = level.where(F.col("up").isNotNull()).select("start_id", F.col("up").alias("id"), seen.alias("seen"))
-        frontier = further.where(F.col("seen").isNull() | (F.col("id") != F.col("seen")))
-        steps += 1
-    out = levels[0] if levels else frontier.select("start_id", "id", F.lit(0).alias("steps"))
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.groupBy("start_id", "id").agg(F.min("steps").alias("steps"))
+        further = links
+        for _ in range(3):
+            further = along(further, "up", "id")
+        links, stride = materialize(further.distinct(), "links"), 4 * stride
+    return reached

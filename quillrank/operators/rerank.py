@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import re
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sizing import lookup_join
 from .filters import drop_retweets
+from .ranking import top_k
 
 Reranker = Callable[[DataFrame], DataFrame]
 
@@ -82,10 +87,72 @@ def score_features(features: DataFrame, model: Reranker) -> DataFrame:
     return model(features).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-def rerank_by_model(features: DataFrame, model: Reranker) -> DataFrame:
-    """Run ordered by model score, then by id, both descending."""
+def rerank_by_model(features: DataFrame, model: Reranker, hits: int | None = None) -> DataFrame:
+    """Run ordered by model score, then by id, both descending; the best ``hits`` of each query, all without it.
+
+    With a bound the pairs of a query are ranked in pieces first, however many it has.
+    """
+    scored = score_features(features, model)
+    if hits is not None:
+        return top_k(scored, hits, recent_first=True)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("doc_id"))
-    return score_features(features, model).withColumn("rank", F.row_number().over(order))
+    return scored.withColumn("rank", F.row_number().over(order))
+
+
+@dataclass(frozen=True)
+class Split:
+    """A node of a regression tree: values of ``feature`` up to ``threshold`` go to ``low``, others to ``high``; a number is a leaf."""
+
+    feature: str
+    threshold: float
+    low: Split | float
+    high: Split | float
+
+
+def tree_column(node: Split | float) -> Column:
+    """A tree as one column expression."""
+    if not isinstance(node, Split):
+        return F.lit(float(node))
+    return F.when(F.col(node.feature) <= F.lit(node.threshold), tree_column(node.low)).otherwise(tree_column(node.high))
+
+
+def tree_sql(node: Split | float) -> str:
+    """The same as SQL text."""
+    if not isinstance(node, Split):
+        return f"{float(node)!r}::DOUBLE"
+    return f'CASE WHEN "{node.feature}" <= {node.threshold!r} THEN {tree_sql(node.low)} ELSE {tree_sql(node.high)} END'
+
+
+def tree_model(trees: Sequence[tuple[float, Split | float]]) -> Reranker:
+    """Scorer of an ensemble of ``(weight, tree)``: no worker leaves the JVM, and the plan holds the whole model."""
+
+    def score(features: DataFrame) -> DataFrame:
+        total = reduce(add, (F.lit(float(w)) * tree_column(t) for w, t in trees), F.lit(0.0))
+        return features.withColumn("score", total)
+
+    return score
+
+
+def trees_sql(trees: Sequence[tuple[float, Split | float]]) -> str:
+    """Score of an ensemble as SQL text."""
+    return " + ".join(["0.0", *(f"{float(w)!r}::DOUBLE * {tree_sql(t)}" for w, t in trees)])
+
+
+def trees_of(model, names: Sequence[str]) -> list[tuple[float, Split | float]]:
+    """Trees of a fitted ``pyspark.ml`` regression ensemble over the features ``names``; its splits must be numeric."""
+
+    def read(lines: list[str]) -> Split | float:
+        line = lines.pop(0).strip()
+        if line.startswith("Predict:"):
+            return float(line.split(":")[1])
+        found = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line)
+        if found is None:
+            raise ValueError(f"no numeric split: {line}")
+        low = read(lines)
+        lines.pop(0)  # the opposite test
+        return Split(names[int(found[1])], float(found[2]), low, read(lines))
+
+    return [(float(w), read(tree.toDebugString.strip().splitlines()[1:])) for w, tree in zip(model.treeWeights, model.trees)]
 
 
 def with_grade(run: DataFrame, qrels: DataFrame) -> DataFrame:

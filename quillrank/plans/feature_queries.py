@@ -248,17 +248,21 @@ def score_features(spark, sf):
     return spark.read.text(path)
 
 
-@query("rerank_by_trees")
-def rerank_by_trees(spark, sf):
-    """A small gradient-boosted model trained on the judged pairs reranks them."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+_TREES = (
+    (1.0, rr.Split("BM25Feature", 4.0005, rr.Split("MatchingTermCount", 2.5, 0.125, 0.25), rr.Split("DocSize", 300.5, 1.5, 1.0))),
+    (0.5, rr.Split("DocSize", 120.5, rr.Split("BM25Feature", 1.0005, -0.5, 0.75), rr.Split("MatchingTermCount", 5.5, 0.0, 2.0))),
+    (0.25, rr.Split("MatchingTermCount", 1.5, 0.0, 1.0)),
+)
 
-    features = _small_features(spark, sf)
-    names = list(_MODEL)
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(features)
-    model = GBTRegressor(featuresCol="features", labelCol="grade", maxIter=5, maxDepth=3, seed=7).fit(assembled)
-    return rr.rerank_by_model(features, rr.ml_model(model, names))
+
+@query(
+    "rerank_by_trees",
+    f"""SELECT qid, doc_id, score, rank FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC)::INT AS rank
+    FROM (SELECT qid, doc_id, round({rr.trees_sql(_TREES)}, 6) AS score FROM ({_SCORED}))) WHERE rank <= 20""",
+)
+def rerank_by_trees(spark, sf):
+    """A boosted ensemble as one expression; the best 20 of each query."""
+    return rr.rerank_by_model(_small_features(spark, sf), rr.tree_model(_TREES), 20)
 
 
 @query("ltr_file", f"""SELECT grade || ' qid:' || qid || ' 1:' || printf('%.6f', SumMatchingTf) || ' 2:' || printf('%.6f', DocSize) || ' # ' || doc_id AS value FROM ({_SCORED})""")

@@ -79,18 +79,31 @@ def remove_stopwords(spark, sf):
     return fx.corpus(spark, sf).select("doc_id", tx.remove_stopwords("text", tx.ENGLISH_STOPWORDS).alias("text"))
 
 
+_NAMES = "MAP {" + ", ".join(f"'{name}': '{char.replace(chr(39), chr(39) * 2)}'" for name, char in tx.named_characters().items()) + "}"
+
+
 def _html_sql(col: str) -> str:
     out = col
     for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<[^>]*>"):
         out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
-    for entity, char in tx.HTML_ENTITIES:
-        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g'))"
+    head = "regexp_extract(p, '^[^;]*;')"
+    char = f"""CASE WHEN regexp_matches(p, '{tx.DECIMAL_REFERENCE}') THEN chr(regexp_extract(p, '[0-9]+')::INT) ELSE {_NAMES}[{head}] END"""
+    part = f"coalesce({char} || substr(p, length({head}) + 1), '&' || p)"
+    resolved = f"list_transform(string_split({out}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {part} END)"
+    return f"trim(regexp_replace(array_to_string({resolved}, ''), '[ \\t\\r\\n]+', ' ', 'g'))"
+
 
+#: Text behind each page that holds references of all kinds, rare names and what only looks like one.
+_REFERENCES = " &rarr; &CounterClockwiseContourIntegral;&notin;&AMP; &amp;lt; &nosuch; & &; &eacute &#233; &fjlig;"
 
-@query("html_to_text", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+
+@query(
+    "html_to_text",
+    f"SELECT page_id, {_html_sql('html')} AS text FROM (SELECT page_id, html || '{_REFERENCES}' AS html FROM pages)",
+)
 def html_to_text(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", tx.html_to_text("html").alias("text"))
+    pages = fx.table(spark, sf, "pages").select("page_id", F.concat("html", F.lit(_REFERENCES)).alias("html"))
+    return pages.select("page_id", tx.html_to_text("html").alias("text"))
 
 
 @query(

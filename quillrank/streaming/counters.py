@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import versions as vs
 from ..operators.filters import within_area
 from ..operators.geo import BOX, _cell, _cell_of, assign_city, user_post_frequency
 
+#: Parts of a running aggregate that are read at most, before they are folded into one.
+MOST_PARTS = 16
+_BATCH = (T.StructField("batch", T.LongType()),)
+
 
 def _centres_by_cell(cities: DataFrame, d: float) -> DataFrame:
     """``(_key, centres)``: one row per grid cell with the centres whose box may reach into it."""
@@ -57,10 +63,22 @@ def stream_counters(stream: DataFrame, cities: DataFrame, path: str, checkpoint:
 def stream_user_frequency(
     stream: DataFrame, path: str, checkpoint: str, name: str, short_name: str, lon: float, lat: float, d: float = BOX, **trigger
 ) -> StreamingQuery:
-    """Running post frequency per user; each batch writes the users it changed, once."""
+    """Running post frequency per user; each batch writes the users it changed, once, as a part of a new version.
+
+    When there are MOST_PARTS, they are folded into one with the newest row per user, and folders that no
+    version of the last two needs are deleted. A batch that is run again after it was written changes nothing.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark, before = batch.sparkSession, vs.newest(batch.sparkSession, path)
+        if before and before.notes["batch"] >= batch_id:
+            return
+        label = vs.new_label(before)
+        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.parquet(vs.place(path, "rows", label))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*batch.schema.fields, *_BATCH])
+        version = vs.commit(spark, path, before, [*(before.parts if before else ()), label], {"batch": batch_id, "schema": schema})
+        if len(version.parts) >= MOST_PARTS:
+            fold_user_frequency(spark, path)
 
     return (
         user_post_frequency(stream, name, short_name, lon, lat, d)
@@ -73,13 +91,29 @@ def stream_user_frequency(
 
 
 def user_frequency(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row per user that ``stream_user_frequency`` wrote."""
-    rows = spark.read.parquet(path)
-    kept = [c for c in rows.columns if c not in ("user_id", "batch")]
-    last = rows.groupBy("user_id").agg(F.max_by(F.struct(*kept), "batch").alias("_last"))
+    """The newest row per user that ``stream_user_frequency`` wrote, as of the newest version."""
+    version = vs.newest(spark, path)
+    if version is None:
+        raise ValueError(f"no data below {path}")
+    return _newest_rows(spark, path, version).drop("batch")
+
+
+def _newest_rows(spark: SparkSession, path: str, version: vs.Version) -> DataFrame:
+    rows = vs.read_parts(spark, path, "rows", version.parts, version.notes["schema"]).drop("part")
+    rest = [c for c in rows.columns if c != "user_id"]
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
     return last.select("user_id", "_last.*")
 
 
+def fold_user_frequency(spark: SparkSession, path: str) -> None:
+    """Fold all parts into one and delete what neither this version nor the one before needs."""
+    before = vs.newest(spark, path)
+    label = vs.new_label(before)
+    _newest_rows(spark, path, before).write.parquet(vs.place(path, "rows", label))
+    vs.commit(spark, path, before, [label], before.notes)
+    vs.vacuum(spark, path, ["rows"], keep=2)
+
+
 def stream_city_match(stream: DataFrame, cities: DataFrame, path: str, checkpoint: str, d: float = BOX, **trigger) -> StreamingQuery:
     """City of each status as it arrives, by box or place; the city table is a static side."""
 
