@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from functools import cache
 from html.entities import html5
@@ -115,7 +114,7 @@ def is_entity(term: Column | str) -> Column:
 
 
 # Forms of a character reference after "&", and the code points that are no characters.
-NAMED_REFERENCE, DECIMAL_REFERENCE, HEX_REFERENCE = "^[A-Za-z][A-Za-z0-9]*;", "^#[0-9]{1,7};", "^#[xX][0-9a-fA-F]{1,6};"
+DECIMAL_REFERENCE, HEX_REFERENCE = "^#[0-9]{1,7};", "^#[xX][0-9a-fA-F]{1,6};"
 SURROGATES, LAST_CODE_POINT = (0xD800, 0xDFFF), 0x10FFFF
 
 
@@ -130,23 +129,23 @@ def references(text: Column) -> Column:
 
     What a reference makes begins no further one; ampersands that begin none stay.
     """
-    by_start: dict[str, dict[str, str]] = {}  # a lookup goes through the keys of a map, so two short ones are less work
-    for name, char in named_characters().items():
-        by_start.setdefault(name[:2], {})[name] = char
-    names = F.from_json(F.lit(json.dumps(by_start)), "map<string, map<string, string>>")
+    # One map a row: inside the function that resolves a part it would be made for each part.
+    table = F.str_to_map(F.lit("\x01".join(f"{name}\x02{char}" for name, char in named_characters().items())), F.lit("\x01"), F.lit("\x02"))
 
-    def resolve(part: Column) -> Column:
-        decimal, hexadecimal = part.rlike(DECIMAL_REFERENCE), part.rlike(HEX_REFERENCE)
+    def resolve(part: Column, names: Column) -> Column:
         head = F.concat(F.split_part(part, F.lit(";"), F.lit(1)), F.lit(";"))
+        decimal, hexadecimal = part.rlike(DECIMAL_REFERENCE), part.rlike(HEX_REFERENCE)
         digits = F.regexp_replace(head, "[#xX;]", "")
         code = F.when(decimal, digits.try_cast("int")).when(hexadecimal, F.conv(digits, 16, 10).try_cast("int"))
         valid = code.between(1, LAST_CODE_POINT) & ~code.between(*SURROGATES)
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(32))), 8, "0")), "UTF-32")
-        found = F.when(valid, char).when(part.rlike(NAMED_REFERENCE), F.try_element_at(F.try_element_at(names, F.left(head, F.lit(2))), head))
+        found = F.when(valid, char).when(F.contains(part, F.lit(";")), F.try_element_at(names, head))
         return F.coalesce(F.concat(found, F.substr(part, F.length(head) + 1)), F.concat(F.lit("&"), part))
 
-    parts = F.split(text, "&")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(resolve(p))), "")
+    def whole(names: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(resolve(p, names))), "")
+
+    return F.transform(F.array(table), whole)[0]
 
 
 def html_to_text(html: Column | str) -> Column:

@@ -106,17 +106,25 @@ def read_statuses(spark, sf):
     return found.select(*_READ_COLUMNS, F.get("urls", F.lit(0)).alias("first_url"))
 
 
-@query("read_statuses_by_pattern", _STATUS_SQL)
+@query("read_statuses_by_pattern", f"SELECT * FROM ({_STATUS_SQL}) WHERE id % 3 < 2")
 def read_statuses_by_pattern(spark, sf):
-    """Only files whose path holds one of the given parts are read."""
-    path = write_statuses(spark, sf, compression="gzip")
-    found = st.read_statuses(spark, path, pattern="part-0:part-1")
+    """Only files whose path holds one of the given parts are read: two of three folders."""
+    path = fresh_path(spark, "statuses")
+    for k, name in enumerate(("early", "later", "other")):
+        write_lines(status_lines(fx.statuses(spark, sf).where(F.col("id") % 3 == k)), f"{path}/{name}", compression="gzip")
+    found = st.read_statuses(spark, path, pattern="/early/:/later/")
     return found.select(*_READ_COLUMNS, F.get("urls", F.lit(0)).alias("first_url"))
 
 
-@query("read_raw", fx.sql("SELECT count(*) AS n_lines FROM statuses", "statuses"))
+@query("read_raw", fx.sql("SELECT id, text, screen_name FROM statuses", "statuses"))
 def read_raw(spark, sf):
-    return st.read_raw(spark, write_statuses(spark, sf)).agg(F.count(F.lit(1)).alias("n_lines"))
+    return raw_fields(st.read_raw(spark, write_statuses(spark, sf)))
+
+
+def raw_fields(lines):
+    """Fields of raw lines, read by path."""
+    get = lambda path: F.get_json_object("value", path)
+    return lines.select(get("$.id").cast("bigint").alias("id"), get("$.text").alias("text"), get("$.user.screen_name").alias("screen_name"))
 
 
 @query("read_many", fx.sql("SELECT id, count(*) AS n FROM (SELECT id FROM statuses UNION ALL SELECT id FROM statuses) GROUP BY id", "statuses"))

@@ -12,7 +12,7 @@ from ..streaming import counters as ct
 from ..streaming import live
 from . import fixtures as fx
 from .registry import query
-from .source_queries import write_statuses
+from .source_queries import raw_fields, status_lines, write_lines, write_statuses
 from .status_queries import CITY, _RELATED
 
 
@@ -31,10 +31,16 @@ def _status_stream(spark, sf):
     return lines, st.split_messages(lines)
 
 
-@query("stream_messages", fx.sql("SELECT id, user_id, text, 'add' AS op FROM statuses", "statuses"))
+@query(
+    "stream_messages",
+    fx.sql("SELECT id, user_id, text, 'add' AS op FROM statuses UNION ALL SELECT id, NULL, NULL, 'delete' FROM deletes", "statuses", "deletes"),
+)
 def stream_messages(spark, sf):
-    path = fresh_path(spark, "messages")
-    _, messages = _status_stream(spark, sf)
+    """Statuses and delete messages, as lines of the same files."""
+    path, source = fresh_path(spark, "messages"), fresh_path(spark, "lines")
+    deletes = fx.deletes(spark, sf).select(F.to_json(F.struct(F.struct(F.struct("id").alias("status")).alias("delete"))).alias("value"))
+    write_lines(status_lines(fx.statuses(spark, sf)).unionByName(deletes), source)
+    messages = st.split_messages(st.stream_messages(spark, source, files_per_trigger=4))
     shown = messages.select("id", "user_id", "text", "op")
     _drain(
         shown.writeStream.format("parquet").option("path", path).option("checkpointLocation", fresh_path(spark, "cp")).trigger(availableNow=True).start()
@@ -86,13 +92,12 @@ def live_search(spark, sf):
     return live.live_search(spark, path, text)
 
 
-@query("archive_raw", fx.sql("SELECT count(*) AS n_lines, sum(id)::BIGINT AS ids FROM statuses", "statuses"))
+@query("archive_raw", fx.sql("SELECT id, text, screen_name FROM statuses", "statuses"))
 def archive_raw(spark, sf):
     path = fresh_path(spark, "archive")
     lines, _ = _status_stream(spark, sf)
     _drain(live.archive_raw(lines, path, fresh_path(spark, "cp")))
-    ids = F.get_json_object("value", "$.id").cast("bigint")
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(ids).alias("ids"))
+    return raw_fields(spark.read.text(path))
 
 
 @query(
