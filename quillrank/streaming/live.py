@@ -15,11 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import tokens
 from ..operators import segments
-from ..operators.postings import Analyzer
+from ..operators.postings import Analyzer, build_index
 from ..operators.ranking import search
 from ..session import materialize
 from ..sizing import lookup_join
-from ..versions import children
+from ..versions import children, newest
 
 
 def last_per_id(messages: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -113,8 +113,11 @@ def index_stream(
 def live_search(spark: SparkSession, path: str, text: str, n: int = 20, analyzer: Analyzer = tokens) -> DataFrame:
     """The best n statuses for a query text, in the newest version of the index that ``index_stream`` keeps.
 
-    No status is tokenised; of postings and statistics only the folders of the query's terms are read.
+    No status is tokenised; of postings and statistics only the folders of the query's terms are read. A folder that
+    only ``ingest`` keeps has no index; its live table is indexed for the one search.
     """
+    if newest(spark, path) is None:
+        return search(build_index(live_table(spark, path), "id", "text", positions=False, analyzer=analyzer), text, n, analyzer)
     return search(segments.read_segments(spark, path), text, n, analyzer)
 
 

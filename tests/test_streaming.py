@@ -3,6 +3,8 @@
 import json
 import os
 
+from quillrank import versions
+from quillrank.operators import segments
 from quillrank.plans import fixtures as fx
 from quillrank.sources import statuses as st
 from quillrank.streaming import counters as ct
@@ -41,6 +43,26 @@ def test_ingest_restart_and_compaction(spark, tmp_path):
     assert [r.doc_id for r in found] == [3, 4]
 
 
+def test_an_index_follows_the_stream_over_restarts(spark, tmp_path):
+    source, path, cp = tmp_path / "in", str(tmp_path / "index"), str(tmp_path / "cp")
+    segments.create(spark, path, positions=False, term_buckets=4, doc_buckets=4)
+
+    def drain(checkpoint=cp):
+        live.index_stream(st.split_messages(st.stream_messages(spark, str(source), 1)), path, checkpoint).awaitTermination()
+        return [r.doc_id for r in live.live_search(spark, path, "hello", 5).collect()]
+
+    put(source, "a.json", gone(3), status(1), status(2), status(1, "again"), gone(2), status(5))
+    assert drain() == [5]
+    before = versions.newest(spark, path)
+    put(source, "b.json", status(3), status(2, "back"), gone(5))
+    assert drain() == [3]
+    assert drain() == [3] and versions.newest(spark, path).number > before.number
+    again = versions.newest(spark, path)
+    assert drain(str(tmp_path / "lost")) == [3]  # batches that the index has count once, whoever brings them
+    assert versions.newest(spark, path) == again
+    assert sorted(r.doc_id for r in segments.read_segments(spark, path).lengths.collect()) == [1, 2, 3]
+
+
 def test_deletes_in_a_later_file_of_the_same_batch(spark, tmp_path):
     """Files of a batch are split by size, so the larger file is read first; what counts is when they were written."""
     source, path = tmp_path / "in", str(tmp_path / "live")
