@@ -39,7 +39,7 @@ MARGIN = 16
 #: Bytes behind a join that are encoded anew at first.
 AHEAD = 48
 #: Distinct pieces whose ids a task remembers, and rows it recalls as repeated, before the memory starts anew.
-REMEMBER, RECALL = 400_000, 100_000
+REMEMBER, RECALL = 700_000, 100_000
 #: The pattern of byte-level pre-tokenizers, with classes of letters, numbers and white space by name.
 PATTERN = "'(?:[stmd]|re|ve|ll)| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Characters that all versions of Unicode tables class alike, and the white space among them.
