@@ -295,6 +295,56 @@ def test_site_frame_is_learnt_from_the_site(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_names_fall_before_the_article():
+    """Named branches stay that hold the marked article or most of the text; frames beside it, and comments, go."""
+    for page in (
+        "<body><form id=aspnetForm><nav>menu</nav><p>Body text</p></form>",
+        '<div class="content-sidebar-wrap"><p>Body text</p></div><div class=sidebar>x</div>',
+        '<div class="post category-social"><p>Body text</p></div>',
+        '<div class="nav-wrapper"><article>Body text</article></div><div class=menu>menu</div>',
+        '<div class=sidebar><article>tease</article></div><div class=t><p>Body text</p></div>',
+        '<article class="post">Body text</article><div id=comments><article class="comment">A much longer comment by a reader</article></div>',
+        '<main><article>Body text</article><article class="comment">A much longer comment by a reader</article></main>',
+    ):
+        assert html_extract.main_text(html_extract.parse(page), {}) == "Body text", page
+    title = '<article><header class="entry-header"><h1>Title</h1></header><p>Body text</p></article>'
+    assert html_extract.main_text(html_extract.parse(title), {}) == "Title\n\nBody text"
+
+
+def test_deep_and_unclosed_pages_end():
+    for part in ("<div>", "<h1>", "<p><section>", "</b></div></p>"):
+        assert html_extract.main_text(html_extract.parse(part * 100_000 + "x"), {}).endswith("x")
+
+
+def test_blocks_are_judged_by_their_own_content(spark):
+    """Unique paragraphs stay beside longer shared ones, shared notices go, loosely named branches stay if they matter."""
+    shared = "A longer paragraph that all the pages of this host show in the very same form. " * 4
+    article = "<article><h1>Title {0}</h1><p>Own paragraph {0}.</p><p>" + shared + "</p></article>"
+    plain = "<div class=a><p>Subscribe to our letter</p><div class=b>Front {0}</div><p>Own words {0}</p></div><div class=c>Terms of use</div>"
+    widget = '<div class="elementor-widget"><p>Own words of page {0}</p></div><div class="elementor-widget k"><p>Call us today</p></div><div class=x>Rest {0}</div>'
+    copies = "<article><h1>Copy</h1><p>One text on many addresses</p></article>"
+    rows = [(i, f"http://{host}.example/{i}", page.format(i)) for k, (host, page) in enumerate([("a", article), ("b", plain), ("w", widget), ("c", copies)]) for i in range(100 * k, 100 * k + 40)]
+    rows += [(500 + i, f"http://c.example/{i}", article.format(i)) for i in range(3)]
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert found[i] == f"Title {i}\n\nOwn paragraph {i}."
+        assert found[100 + i] == f"Front {100 + i}\n\nOwn words {100 + i}"
+        assert found[200 + i] == f"Own words of page {200 + i}\n\nRest {200 + i}"
+        assert found[300 + i] == "Copy\n\nOne text on many addresses"
+    assert all(shared.strip() in found[500 + i] for i in range(3))
+
+
+def test_op8_lists_beyond_the_broadcast(spark, monkeypatch):
+    page = "<div><p>Same line on all pages</p><p>Own text {0}</p></div>"
+    rows = [(i, "http://h.example/", page.format(i % 30)) for i in range(90)] + [(None, "http://h.example/", page.format(5))] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = multiset(html_extract.extract(pages), "page_id", "text")
+    monkeypatch.setattr(html_extract, "SMALL_LISTS", 1)
+    monkeypatch.setattr("quillrank.sizing.SMALL_ROWS", 1)
+    assert multiset(html_extract.extract(pages), "page_id", "text") == want
+    assert want[(None, "Own text 5")] == 3 and want[(7, "Own text 7")] == 1
+
+
 def test_op8_on_the_whole_table(spark, sf_dir):
     import html
 
