@@ -267,6 +267,33 @@ def test_trees_learn_and_thresholds_add_spans(spark):
     assert [k for *_, k in added] == ["phone"]
 
 
+def test_other_forms_are_added_by_the_trees(spark):
+    """Forms that no rule matches are found where the corpus has their kinds; look-alikes and base spans stay as they are."""
+    pick = random.Random(8)
+    rows = []
+    for i in range(600):
+        phone = f"+1 ({pick.randrange(200, 999)}) {pick.randrange(200, 999)}-{pick.randrange(1000, 9999)}"
+        ip = ".".join(str(pick.randrange(1, 255)) for _ in range(4))
+        rows.append((i, f"{prose(i, 30)} write to {pick.choice('abcdef')}{i}.x@mail{i % 9}.example.org or call {phone} {prose(i + 1, 9)} from {ip} {prose(i + 2, 20)} at home on 2021-03-{i % 28 + 1:02} 10.30 order 12345{i:05}", "en", "s"))
+    other = "please write to jane.doe (at) example (dot) com or call 1 (743) 555-3824 from 10[.]1[.]2[.]3 today"
+    plain = "we met at noon on 2024-05-17 10.22 with order 1234567890 and version 3.1.2.300 at the place"
+    docs = documents(spark, [*rows, (1000, other, "en", "s"), (1001, plain, "en", "s")])
+    detector = pii.fit(docs)
+    assert max(detector.threshold[k] for k in ("email", "phone", "ip")) <= 1
+    found = {r.doc_id: r for r in pii.find_spans(docs, detector).where("doc_id >= 1000").collect()}
+    assert found[1000].redacted == "please write to <email> or call <phone> from <ip> today"
+    assert found[1001].redacted == plain
+    digest = pii.span_digests(docs, detector).where("doc_id = 1000").first()
+    assert (digest.n_email, digest.n_phone, digest.base_sha256) == (0, 0, hashlib.sha256(b"").hexdigest()) and digest.spans.count(",") == 2
+
+
+def test_pii_time_is_linear():
+    for part in ("1", "a", "+1", "1.", "1 "):
+        text = part * (1_000_000 // len(part)) + "@"
+        assert isinstance(pii.base_spans(text) + pii.candidates(text), list)
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [(0, 5007, "ip")]
+
+
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site">Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use</div><!-- x -->
 <div class="ad">Buy &amp; win</div><article><header><h1>Head &amp;\n line</h1></header><p><b>First&nbsp;bold<br>more<p>Second %s</p><ul><li>one<li>two</ul>
