@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ..sizing import lookup_join
+from ..sizing import fits, lookup_join, split_hot_join
 from .registry import bounded_batches
 from .words import slices
 
 #: Pages on which a node must have been seen before its importance counts.
 LEAST_PAGES = 8
-#: A block is cut below the first of these importances, a branch below the second.
-CUT, RELATIVE = 0.2, 0.35
+#: Blocks and branches are cut below this importance; what is above counts in full.
+CUT = 0.2
 #: A branch with a loose name is kept from this importance on.
 IMPORTANT = 0.75
 #: Weight of the contents against the node they stand in, and against the layout in the importance of a node.
@@ -307,7 +307,7 @@ def main_text(root: Node, low: dict[tuple[int, int], float]) -> str:
         total, size = worth.get(id(item), (0.0, 0))
         if item.cut or not size or item.level == WEAK and total < IMPORTANT * size:
             continue
-        if not item.holds and 2 * size < around and total < RELATIVE * size:
+        if not item.holds and 2 * size < around and total < CUT * size:
             continue
         if item.container and not (above is not None and above.container):
             around = size
@@ -340,7 +340,8 @@ def observed(pages: DataFrame) -> DataFrame:
 
 
 def site_style(distinct: DataFrame) -> DataFrame:
-    """``(host, path, what, share)``: importance of the blocks that a host repeats, and of those in loosely named branches.
+    """``(host, path, what, share)``: importance of the blocks that a host repeats so often that they are cut, and of those
+    in loosely named branches.
 
     A block is worth 1 if no other page shows it there and 0 if all pages with the node do, mixed with the importance of
     the node: the entropies of its contents and of its layouts over their maxima. Pages with the same text count once; nodes
@@ -365,7 +366,7 @@ def site_style(distinct: DataFrame) -> DataFrame:
     repeated = each.where(shown & ((F.col("pages") > 1) | F.col("weak"))).select("host", "path", "what", "pages", "weak")
     share = CONTENT * (1 - F.log("pages") / F.col("log_m")) + (1 - CONTENT) * F.col("node")
     rated = lookup_join(repeated, nodes, ["host", "path"], spread_on="what").select("host", "path", "what", share.alias("share"), "weak")
-    return rated.where(F.col("weak") | (F.col("share") < 2 * RELATIVE)).drop("weak")
+    return rated.where(F.col("weak") | (F.col("share") < CUT)).drop("weak")
 
 
 def host() -> Column:
@@ -389,7 +390,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     shows = distinct.select("key", "host", F.inline(F.filter("items", lambda i: i["shown"]))).select("key", "host", "path", "what")
     met = lookup_join(shows, low, ["host", "path", "what"], spread_on="key")
     lists = materialize(met.groupBy("key").agg(F.collect_list(F.struct("path", "what", "share")).alias("low")), "lists")  # of one page each
-    joined = lookup_join(rows.drop("host"), lists, "key", "left", spread_on="page_id", max_rows=SMALL_LISTS)
+    few = fits(lists, SMALL_LISTS)
+    whole = rows.drop("host")  # a plain scan, so it may be read once more to count its keys
+    joined = whole.join(F.broadcast(lists), "key", "left") if few else split_hot_join(whole, lists, ["key"], "left", "page_id", stored=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
