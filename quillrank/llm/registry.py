@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import BATCH_BYTES, BATCH_ROWS, bounded_batches  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,23 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of a batch that goes to a Python worker, if it has more than one row, and rows at most.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose batches for Python are bounded, so that long texts don't add up in a worker.
-
-    Settings of the session that are smaller stay.
-    """
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
-        now = str(conf.get(key)).rstrip("bB")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(key, most)
-    return df
-
-
 def unused(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

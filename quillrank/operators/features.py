@@ -14,7 +14,7 @@ from ..functions.text import count_substr, tokens
 from ..session import materialize
 from ..sizing import fits, lookup_join
 from .joins import cooccurrence, judged_pairs
-from .postings import Analyzer, TermIndex, document_lengths, document_terms
+from .postings import Analyzer, TermIndex, document_lengths, document_terms, narrowed
 from .ranking import analyze_topics, matching_pairs, query_term_counts, with_term_stats
 
 # The default feature sets, in output order.
@@ -340,6 +340,7 @@ def extract_features(
     """
     features = _features(names)
     query_tokens = analyze_topics(topics, analyzer, index.stemmed)
+    index = narrowed(index, query_tokens)
     matches = pair_matches(pairs, query_tokens, index)
 
     aggregates = [F.count(F.lit(1)).alias("n_match"), F.sum("tf").alias("sum_tf")]
@@ -399,6 +400,7 @@ def extract_matching(
     """Features of every document with every query it shares a term with; unjudged and negative grades become 0."""
     from .rerank import with_grade
 
+    index = narrowed(index, analyze_topics(topics, analyzer, index.stemmed))
     pairs = matching_pairs(index, topics, analyzer)
     out = extract_features(with_grade(pairs, qrels), index, topics, names, analyzer)
     return out.select("qid", "doc_id", "grade", *column_names(_features(names)))
