@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from quillrank.llm.bpe import encode_digests
 from quillrank.llm.exact_dedup import drop_exact_copies
 from quillrank.llm.hyperminhash import drop_near_copies
-from quillrank.llm.language_id import drop_unidentified
+from quillrank.llm.language_id import with_language
 from quillrank.llm.mixing import take_mix
 from quillrank.session import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, in whatever language."""
-    return drop_unidentified(docs, unknown=True)
+    """Documents with letters, in whatever language; ``lang`` is the language found from here on."""
+    return with_language(docs, unknown=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids, and of the bytes they decode to."""
-    return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token counts and digests of the ids, and of the bytes they decode to, with language and source of each row."""
+    return encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=("lang", "source"))
 
 
 STAGES = [

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -242,12 +242,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     return _coded(docs, vocabulary, pattern, id_col, text_col, "doc_id long, ids array<int>, decoded binary", False)
 
 
-def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the same ids and bytes."""
-    return _coded(docs, vocabulary, pattern, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", True)
+def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the same ids and bytes, and the ``carry`` columns as strings."""
+    return _coded(docs, vocabulary, pattern, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", True, carry)
 
 
-def _coded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_col: str, schema: str, digests: bool) -> DataFrame:
+def _coded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_col: str, schema: str, digests: bool, carry: Sequence[str] = ()) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +256,10 @@ def _coded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_col
             for part in slices(batch):
                 ids = bpe.encode(part.column("text").fill_null("").to_pylist())
                 decoded = [bpe.decode(x) for x in ids]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | (_digests if digests else _arrays)(ids, decoded))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | (_digests if digests else _arrays)(ids, decoded) | {c: part.column(c) for c in carry})
 
-    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(code, schema)
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).cast("string") for c in carry))
+    return rows.mapInArrow(code, schema + "".join(f", {c} string" for c in carry))
 
 
 def _arrays(ids: list[np.ndarray], decoded: list[bytes]) -> dict[str, pa.Array]:

@@ -113,6 +113,7 @@ def identify(
     suffix: Column | None = None,
     model: Model | None = None,
     unknown: bool = False,
+    key: Column | None = None,
 ) -> DataFrame:
     """``(doc_id, key, lang, posterior, accepted)``, one row per row of ``docs``.
 
@@ -124,16 +125,29 @@ def identify(
     wins, ``lang`` is the declared language or else, if ``unknown`` is set, UNKNOWN. A document is rejected, with a null
     language, if its text has no letters (null, empty, digits only) or, unless ``unknown`` is set, if that
     hypothesis wins and nothing is declared. Repeated rows and null ids are documents like others; ``key`` is a hash
-    of id and text. Ties go to the first language in alphabetical order. Without any declared language nothing can be
+    of id and text unless it is given. Ties go to the first language in alphabetical order. Without any declared language nothing can be
     learnt, and no language is known.
     """
+    return _identified(docs, id_col, text, declared, host, suffix, model, unknown, key).drop("declared")
+
+
+def _code(declared: Column) -> Column:
+    """A declaration up to the first hyphen, in lower case."""
+    return F.nullif(F.lower(F.trim(F.split_part(declared, F.lit("-"), F.lit(1)))), F.lit(""))
+
+
+def _identified(
+    docs: DataFrame, id_col: str, text: Column | None, declared: Column | None, host: Column | None, suffix: Column | None,
+    model: Model | None, unknown: bool, key: Column | None,
+) -> DataFrame:
+    """``identify`` with the declaration as it is read."""
     none = F.lit(None).cast("string")
     text = F.col("text") if text is None else text
-    code = F.nullif(F.lower(F.trim(F.split_part(F.col("lang") if declared is None else declared, F.lit("-"), F.lit(1)))), F.lit(""))
+    code = _code(F.col("lang") if declared is None else declared)
     host = F.col("source") if host is None else host
     rows = bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), code.alias("declared"), host.alias("host"),
-        (none if suffix is None else suffix).alias("suffix"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key"),
+        (none if suffix is None else suffix).alias("suffix"), (F.xxhash64(F.col(id_col).cast("string"), text) if key is None else key).alias("key"),
     )
     model = model or fit(rows)
     n = len(model.languages)
@@ -199,10 +213,10 @@ def identify(
             ok = np.array([x is not None for x in lang])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "key": batch.column("key"), "lang": pa.array(lang, pa.string()),
-                "posterior": pa.array(np.where(ok, posterior.max(axis=1), 0.0)), "accepted": pa.array(ok),
+                "posterior": pa.array(np.where(ok, posterior.max(axis=1), 0.0)), "accepted": pa.array(ok), "declared": batch.column("declared"),
             })
 
-    return joined.mapInArrow(fuse, "doc_id long, key long, lang string, posterior double, accepted boolean")
+    return joined.mapInArrow(fuse, "doc_id long, key long, lang string, posterior double, accepted boolean, declared string")
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown: bool = False, **evidence: Column) -> DataFrame:
@@ -211,3 +225,18 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rejected = identify(docs, id_col, F.col(text_col), unknown=unknown, **evidence).where(~F.col("accepted")).select(F.col("key").alias(name)).distinct()
     marked = docs.withColumn(name, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
     return lookup_join(marked, materialize(rejected, "rejected"), name, "left_anti", spread_on=name).select(*docs.columns)
+
+
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source", unknown: bool = False) -> DataFrame:
+    """``docs`` without the documents that ``identify`` rejects, with the language it finds in ``lang_col``; all columns stay.
+
+    Only documents that are rejected, or whose language is not the declared one, are looked up.
+    """
+    name, found_name, kept_name = unused(docs, "_key"), unused(docs, "_found"), unused(docs, "_kept")
+    parts = [F.col(id_col).cast("string"), F.col(text_col), F.col(lang_col), F.col(host_col)]
+    key = F.xxhash64(*parts, *(p.isNull() for p in parts))  # rows that agree in these have the same language
+    found = _identified(docs, id_col, F.col(text_col), F.col(lang_col), F.col(host_col), None, None, unknown, key)
+    other = found.where(~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("declared"))).groupBy(F.col("key").alias(name))
+    other = materialize(other.agg(F.min("lang").alias(found_name), F.min("accepted").alias(kept_name)), "languages")
+    joined = lookup_join(docs.withColumn(name, key), other, name, "left", spread_on=name).where(F.coalesce(F.col(kept_name), F.lit(True)))
+    return joined.withColumn(lang_col, F.coalesce(F.col(found_name), _code(F.col(lang_col)))).select(*docs.columns)
