@@ -106,9 +106,21 @@ def shared_docs(postings: DataFrame, t1: str, t2: str) -> DataFrame:
     return ids.where(F.col("term") == t1).select("doc_id").intersect(ids.where(F.col("term") == t2).select("doc_id"))
 
 
-def term_vectors(postings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Postings with the vector of their term; terms without one are dropped."""
-    return lookup_join(postings, vectors, "term", spread_on="doc_id", max_rows=50_000)
+def term_vectors(postings: DataFrame, vectors: DataFrame, max_rows: int = 50_000) -> DataFrame:
+    """Postings with the vector of their term; terms without one are dropped.
+
+    Of more vectors than ``max_rows`` those of the most frequent terms are broadcast, so that their postings, nearly all,
+    stay where they are and a sum over a document is formed there. Only the postings of rarer terms are shuffled; none
+    of those terms holds more than one in ``max_rows`` of the postings.
+    """
+    if fits(vectors, max_rows):
+        return postings.join(F.broadcast(vectors), "term")
+    postings = materialize(postings, "postings")
+    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).join(vectors.select("term"), "term", "left_semi")
+    often = F.broadcast(materialize(counts.orderBy(F.desc("_n"), "term").limit(max_rows).select("term"), "often"))
+    near = lookup_join(postings, vectors.join(often, "term", "left_semi"), "term", spread_on="doc_id", max_rows=max_rows)
+    far = postings.join(often, "term", "left_anti").join(vectors.join(often, "term", "left_anti"), "term")
+    return near.unionByName(far)
 
 
 def with_timeline(hits: DataFrame, timelines: DataFrame) -> DataFrame:
