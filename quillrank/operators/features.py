@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import count_substr, tokens
-from ..session import materialize
+from ..session import bounded_batches, materialize
 from ..sizing import fits, lookup_join
 from .joins import cooccurrence, judged_pairs
 from .postings import Analyzer, TermIndex, document_lengths, document_terms, narrowed
-from .ranking import analyze_topics, matching_pairs, query_term_counts, with_term_stats
+from .ranking import analyze_topics, match_terms, matching_pairs, query_term_counts, with_term_stats
 
 # The default feature sets, in output order.
 WEB_FEATURES = (
@@ -235,13 +239,18 @@ def query_pairs(query_tokens: DataFrame, merge_repeats: bool = False, adjacent:
     return forward.unionByName(backward).groupBy("qid", "t1", "t2").agg(*(F.sum(k).cast("int").alias(k) for k in kinds))
 
 
-def pair_matches(pairs: DataFrame, query_tokens: DataFrame, index: TermIndex) -> DataFrame:
+def pair_matches(pairs: DataFrame, query_tokens: DataFrame, index: TermIndex, most: bool = False) -> DataFrame:
     """Matched query terms of the pairs: ``(qid, doc_id, term, qtf, tf, positions, dl, df, ctf)``.
 
     With a table of documents the pairs' documents are read and keep their query's terms; otherwise
-    the postings of all query terms are, and keep the pairs.
+    the postings of all query terms are, and keep the pairs. If the pairs are ``most`` of those that match, the
+    matches are formed first, so that no row is sent for a term of the query that the document has not.
     """
     counts = query_term_counts(query_tokens)
+    if most:
+        known = with_term_stats(counts.withColumnRenamed("qtf", "weight"), index).withColumnRenamed("weight", "qtf")
+        matches = match_terms(index.postings, known, bound=query_tokens).drop("term_bucket")
+        return matches.join(pairs.select("qid", "doc_id"), ["qid", "doc_id"])
     if index.documents is not None:
         known = with_term_stats(counts.withColumnRenamed("qtf", "weight"), index).withColumnRenamed("weight", "qtf").drop("term_bucket")
         return lookup_join(document_terms(index, pairs.select("qid", "doc_id")), known, ["qid", "term"], spread_on="doc_id", bound=query_tokens)
@@ -282,14 +291,84 @@ def position_pairs(df: DataFrame, gap: int, sequence: str = "seq") -> DataFrame:
     return df.select(*rest, F.explode(near).alias("_pair")).select(*rest, "_pair.*")
 
 
-def count_pairs(matches: DataFrame, weights: DataFrame, features: Sequence[Feature]) -> DataFrame:
-    """``(qid, doc_id, <one column per pair feature>)``; all gaps are counted in one pass."""
+def count_pairs(matches: DataFrame, weights: DataFrame, features: Sequence[Feature], sums: Sequence[Column] = ()) -> DataFrame:
+    """``(qid, doc_id, <sums>, <one column per pair feature>)``; all gaps are counted in one pass, with other ``sums`` of the matches.
+
+    Weights of proven size are sent to the tasks, and the close positions of a batch of documents are counted there as
+    arrays; they never become rows. Beyond that size they do, and meet the weights in a join.
+    """
     gap = max(f.gap for f in features)
-    sequences = matches.groupBy("qid", "doc_id").agg(token_sequence().alias("seq"))
-    near = position_pairs(sequences, gap)
-    weighed = lookup_join(near, weights, ["qid", "t1", "t2"], spread_on="doc_id")
-    sums = {f.name: F.sum(F.when(F.col("distance") <= f.gap, F.col(f.kind)).otherwise(0)).alias(f.name) for f in features}
-    return weighed.groupBy("qid", "doc_id").agg(*sums.values())
+    if not fits(weights):
+        sequences = matches.groupBy("qid", "doc_id").agg(token_sequence().alias("seq"))
+        weighed = lookup_join(position_pairs(sequences, gap), weights, ["qid", "t1", "t2"], spread_on="doc_id")
+        near = {f.name: F.sum(F.when(F.col("distance") <= f.gap, F.col(f.kind)).otherwise(0)).alias(f.name) for f in features}
+        counted = weighed.groupBy("qid", "doc_id").agg(*near.values())
+        return matches.groupBy("qid", "doc_id").agg(*sums).join(counted, ["qid", "doc_id"], "left") if sums else counted
+    places = matches.groupBy("qid", "doc_id").agg(*sums, F.collect_list(F.struct("term", "positions")).alias("places"))
+    schema = StructType([*places.schema.fields[:-1], *(StructField(f.name, LongType()) for f in features)])
+    wanted, columns = PairWeights.of(weights.toArrow()), [(f.name, f.kind, f.gap) for f in features]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pair_batch(batch, wanted, columns, gap)
+
+    return bounded_batches(places).mapInArrow(count, schema)
+
+
+@dataclass(frozen=True)
+class PairWeights:
+    """How often "t1 before t2" counts for each kind, by ``(qid, t1, t2)`` as one number, in ascending order of it."""
+
+    qids: pa.Array
+    terms: pa.Array
+    keys: np.ndarray
+    kinds: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(weights: pa.Table) -> PairWeights:
+        names = ("qid", "t1", "t2")
+        qid, t1, t2 = (pa.array(weights.column(n).combine_chunks()) for n in names)
+        qids, terms = pc.unique(qid), pc.unique(pa.concat_arrays([t1, t2]))
+        q, a, b = (pc.index_in(v, value_set=s).to_numpy(zero_copy_only=False).astype(np.int64) for v, s in ((qid, qids), (t1, terms), (t2, terms)))
+        keys = (q * len(terms) + a) * len(terms) + b
+        order = np.argsort(keys)
+        kinds = {n: weights.column(n).to_numpy()[order] for n in weights.column_names if n not in names}
+        return PairWeights(qids, terms, keys[order], kinds)
+
+
+def pair_batch(batch: pa.RecordBatch, weights: PairWeights, columns: Sequence[tuple[str, str, int]], gap: int) -> pa.RecordBatch:
+    """Rows ``(qid, doc_id, ..., places)`` with counts of ``columns`` (name, kind, gap) for their ``places``, terms with positions."""
+    places = batch.column("places")
+    n_terms = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+    term, positions = places.flatten().flatten()
+    n_places = pc.list_value_length(positions).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = term.dictionary_encode()
+    by_word = pc.sort_indices(coded.dictionary).to_numpy()
+    code = np.repeat(np.argsort(by_word)[coded.indices.to_numpy()], n_places)
+    row = np.repeat(np.repeat(np.arange(batch.num_rows), n_terms), n_places)
+    pos = positions.flatten().to_numpy().astype(np.int64)
+    order = np.lexsort((code, pos, row))
+    row, pos, code = row[order], pos[order], code[order]
+
+    def known(values: pa.Array, among: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(values, value_set=among), -1).to_numpy().astype(np.int64)
+
+    word = known(coded.dictionary.take(pa.array(by_word)), weights.terms)[code]
+    query = known(batch.column("qid"), weights.qids)[row]
+    found = [(np.empty(0, np.int64),) * 3]
+    for step in range(1, gap + 1):
+        distance = pos[step:] - pos[:-step]
+        at = np.flatnonzero((row[step:] == row[:-step]) & (distance <= gap) & (word[step:] >= 0) & (word[:-step] >= 0) & (query[step:] >= 0))
+        key = (query[at] * len(weights.terms) + word[at]) * len(weights.terms) + word[at + step]
+        place = np.searchsorted(weights.keys, key)
+        hit = np.flatnonzero(weights.keys[np.minimum(place, len(weights.keys) - 1)] == key) if len(weights.keys) else place
+        found.append((row[at[hit]], distance[at[hit]], place[hit]))
+    rows, distances, which = (np.concatenate(part) for part in zip(*found))
+    out = {name: batch.column(name) for name in batch.schema.names if name != "places"}
+    for name, kind, most in columns:
+        near = distances <= most
+        out[name] = pa.array(np.bincount(rows[near], weights.kinds[kind][which[near]], batch.num_rows).astype(np.int64))
+    return pa.RecordBatch.from_pydict(out)
 
 
 def sequential_dependence(matches: DataFrame, weights: DataFrame, window: int = SDM_WINDOW) -> DataFrame:
@@ -331,8 +410,9 @@ def extract_features(
     topics: DataFrame,
     names: Sequence[str | Feature] = WEB_FEATURES,
     analyzer: Analyzer = tokens,
+    most: bool = False,
 ) -> DataFrame:
-    """``pairs`` with one DOUBLE column per feature.
+    """``pairs`` with one DOUBLE column per feature; ``most`` tells that they are most of the pairs that match.
 
     ``pairs`` has qid, doc_id and whatever else should be kept; status features need the status
     columns in it. The matched query terms are found by one join with the postings, and all
@@ -341,26 +421,24 @@ def extract_features(
     features = _features(names)
     query_tokens = analyze_topics(topics, analyzer, index.stemmed)
     index = narrowed(index, query_tokens)
-    matches = pair_matches(pairs, query_tokens, index)
+    matches = pair_matches(pairs, query_tokens, index, most)
 
     aggregates = [F.count(F.lit(1)).alias("n_match"), F.sum("tf").alias("sum_tf")]
     matched = [(i, f) for i, f in enumerate(features) if f.level == "match"]
     aggregates += [f.value(index).alias(f"_m{i}") for i, f in matched]
-    summed = matches.groupBy("qid", "doc_id").agg(*aggregates)
+    paired = [f for f in features if f.level == "pair"]
+    sdm = [f for f in features if f.level == "sdm"]
+    if paired or sdm:
+        weights = query_pairs(query_tokens, adjacent=not any(f.kind in ("ordered_all", "unordered_all") for f in paired))
+    distinct = list({f.name: f for f in paired}.values())
+    summed = count_pairs(matches, weights, distinct, aggregates) if paired else matches.groupBy("qid", "doc_id").agg(*aggregates)
 
-    out = pairs.join(summed, ["qid", "doc_id"], "left").fillna(0, ["n_match", "sum_tf"])
+    out = pairs.join(summed, ["qid", "doc_id"], "left").fillna(0, ["n_match", "sum_tf", *(f.name for f in distinct)])
     wants_pmi = any(f.name == "PMIFeature" for f in features)
     out = lookup_join(out, query_features(query_tokens, index, wants_pmi), "qid", spread_on="doc_id", bound=topics)
     if "dl" not in pairs.columns:
         out = document_lengths(index, out)
 
-    paired = [f for f in features if f.level == "pair"]
-    sdm = [f for f in features if f.level == "sdm"]
-    if paired or sdm:
-        weights = query_pairs(query_tokens, adjacent=not any(f.kind in ("ordered_all", "unordered_all") for f in paired))
-    if paired:
-        distinct = list({f.name: f for f in paired}.values())
-        out = out.join(count_pairs(matches, weights, distinct), ["qid", "doc_id"], "left").fillna(0, [f.name for f in distinct])
     if sdm:
         adjacent = weights.where(F.col("ordered_next") > 0).groupBy("qid").agg(F.count(F.lit(1)).alias("n_adjacent"))
         out = lookup_join(out, adjacent, "qid", "left", spread_on="doc_id", bound=topics)
@@ -402,7 +480,7 @@ def extract_matching(
 
     index = narrowed(index, analyze_topics(topics, analyzer, index.stemmed))
     pairs = matching_pairs(index, topics, analyzer)
-    out = extract_features(with_grade(pairs, qrels), index, topics, names, analyzer)
+    out = extract_features(with_grade(pairs, qrels), index, topics, names, analyzer, most=True)
     return out.select("qid", "doc_id", "grade", *column_names(_features(names)))
 
 

@@ -186,3 +186,18 @@ def test_repeated_append_changes_nothing(spark, tmp_path):
         stats = index.stats.first()
         assert (stats.n_docs, stats.sum_dl, index.lengths.count()) == (20, 60, 20)
         assert index.terms.where("term = 'fern'").first().df == 20
+
+
+def test_close_positions_are_counted_without_rows(spark, monkeypatch):
+    schema = "qid string, doc_id bigint, term string, positions array<int>"
+    data = [("q", 1, "a", [0, 3, 9]), ("q", 1, "b", [1, 20]), ("q", 1, "ü", [2]), ("r", 1, "a", [0, 3, 9]), ("r", 2, "b", [5, 5]), ("r", 2, "b", [5]), ("r", 2, "a", [4]), ("s", 2, "a", [4])]
+    matches = spark.createDataFrame(data, schema)
+    tokens = spark.createDataFrame([("q", i, t) for i, t in enumerate("abüab")] + [("r", 0, "b"), ("r", 1, "a"), ("r", 2, "b")], "qid string, pos int, term string")
+    weights, kinds = ft.query_pairs(tokens), [ft.feature(f"{name}{gap}") for name in ft.PAIR_KINDS for gap in (1, 3, 10)]
+    counted = ft.count_pairs(matches, weights, kinds)
+    assert "Generate" not in plan(counted).split("MapInArrow")[1]
+    monkeypatch.setattr(ft, "fits", lambda df, max_rows=0: False)
+    some = F.greatest(*(f.name for f in kinds)) > 0
+    usual = rows(ft.count_pairs(matches, weights, kinds).where(some))
+    assert rows(counted.where(some)) == usual and len(usual) == 2
+    assert counted.count() == 4
