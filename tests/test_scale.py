@@ -201,3 +201,17 @@ def test_close_positions_are_counted_without_rows(spark, monkeypatch):
     usual = rows(ft.count_pairs(matches, weights, kinds).where(some))
     assert rows(counted.where(some)) == usual and len(usual) == 2
     assert counted.count() == 4
+
+
+def test_background_meets_in_blocks(spark, monkeypatch):
+    hits = spark.createDataFrame([(i if i % 9 else None, f"u{i % 3}" if i % 7 else None) for i in range(90)] + [(1, "u1")] * 20, "id bigint, user_id string")
+    terms = spark.createDataFrame([(f"u{u}", f"t{t}", t + u) for u in range(4) for t in range(30)] + [(None, "t", 1)], "user_id string, term string, tf bigint")
+    monkeypatch.setattr(jn, "HIT_BLOCK", 4)
+    monkeypatch.setattr(jn, "TERM_BLOCK", 7)
+    found = jn.background_terms(hits, terms)
+    assert "Generate inline(ids" in plan(found) and "Generate inline(terms" in plan(found)
+    assert found.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, terms.join(hits, "user_id").select("id", "term", "tf").collect()), key=key)
+    none = jn.background_terms(hits.where("false"), terms)
+    assert none.count() == 0 and none.columns == ["id", "term", "tf"]
