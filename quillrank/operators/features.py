@@ -462,10 +462,13 @@ def extract_judged(
     qrels: DataFrame, index: TermIndex, topics: DataFrame, names: Sequence[str | Feature] = WEB_FEATURES,
     docs: DataFrame | None = None, analyzer: Analyzer = tokens,
 ) -> DataFrame:
-    """Features of all judged pairs, with the grade as it is. ``docs`` adds document columns."""
-    pairs = judged_pairs(qrels, index, topics)
-    if index.documents is not None:
-        pairs = materialize(pairs, "judged")  # used several times, and each would read the lengths again
+    """Features of all judged pairs, with the grade as it is. ``docs`` adds document columns.
+
+    The pairs are stored, as they are used several times and each would read the lengths again; those of a lazy index
+    come from its narrowed tables, so that the text is read once for both.
+    """
+    index = narrowed(index, analyze_topics(topics, analyzer, index.stemmed))
+    pairs = materialize(judged_pairs(qrels, index, topics), "judged")
     if docs is not None:
         pairs = lookup_join(docs, pairs, "doc_id")
     out = extract_features(pairs, index, topics, names, analyzer)

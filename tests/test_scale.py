@@ -215,3 +215,8 @@ def test_background_meets_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, terms.join(hits, "user_id").select("id", "term", "tf").collect()), key=key)
     none = jn.background_terms(hits.where("false"), terms)
     assert none.count() == 0 and none.columns == ["id", "term", "tf"]
+
+
+def test_features_of_judged_pairs_read_the_text_once(spark, sf_dir):
+    found = ft.extract_judged(fx.qrels(spark, sf_dir), fx.index(spark, sf_dir), fx.topics(spark, sf_dir), ["BM25Feature", "DocSize"])
+    assert "documents.parquet" not in plan(found) and found.count() > 0
