@@ -15,6 +15,7 @@ import re
 import sys
 import types
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,8 @@ WINDOW, CUT_BITS, LEAST, MOST = 48, 10, 256, 4096
 MARGIN = 16
 #: Bytes behind a join that are encoded anew at first.
 AHEAD = 48
+#: Bytes of text whose chunks are encoded together, if they are of more than one row.
+TOGETHER = 1 << 18
 #: Distinct pieces whose ids a task remembers, and rows it recalls as repeated, before the memory starts anew.
 REMEMBER, RECALL = 700_000, 100_000
 #: The pattern of byte-level pre-tokenizers, with classes of letters, numbers and white space by name.
@@ -93,6 +96,24 @@ def _letter(data: np.ndarray, at: int) -> int:
     return at
 
 
+def _whole(data: bytes, end: int) -> int:
+    """The first place from ``end`` on where no character is cut, the end of the text at most."""
+    while end < len(data) and data[end] & 0xC0 == 0x80:
+        end += 1
+    return min(end, len(data))
+
+
+class _Known(dict):
+    """Numbers of pieces; a new one is encoded when it is first looked up."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = self.learn(piece)
+        return number
+
+
 @dataclass
 class Coded:
     """Ids of a text encoded by itself; for each of its pieces the first id and the first byte, and both totals."""
@@ -108,7 +129,7 @@ class Coded:
     def unpack(packet: bytes) -> Coded:
         data = zstandard.ZstdDecompressor().decompress(packet)
         n, m = np.frombuffer(data, "<i8", 2)
-        x = np.frombuffer(data, "<u4", offset=16).astype(np.int64)
+        x = np.frombuffer(data, "<i4", offset=16)
         return Coded(x[:n], x[n : n + m], x[n + m :])
 
 
@@ -128,21 +149,35 @@ class ChunkCoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.added = {t["content"].encode(): t["id"] for t in added}
         token = {i: bytes(number[c] for c in t) for t, i in vocabulary.items()} | {i: t for t, i in self.added.items()}
-        self.bytes = [token.get(i, b"") for i in range(max(token, default=-1) + 1)]
-        self.decimal = [b"%d" % i for i in range(len(self.bytes))]
+        # Arrays of bytes objects: numpy looks up many ids at once.
+        self.bytes = np.array([*(token.get(i, b"") for i in range(max(token, default=-1) + 1)), None], object)[:-1]
+        self.decimal = np.array([*(b"%d" % i for i in range(len(self.bytes))), None], object)[:-1]
         by_length = sorted((re.escape(t["content"]).encode() for t in added), key=len, reverse=True)
         self.special = re.compile(b"|".join(by_length)) if added else None
+        self.tokenize = self.tokenizer.model.tokenize
         self.find = re.compile(piece_pattern()).findall
         self.unsettled = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SETTLED) + "]").search
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.tokens: list[int] = []
-        self.sizes: list[int] = []
-        self.store = [np.zeros(1024, np.int64) for _ in range(4)]
-        self.filled = [0, 0]
+        self.known = _Known(self._learn)
+        # The first id and, for each piece, its number of ids, its bytes and where its ids start; numpy reads them in place.
+        self.ids, self.tokens, self.sizes, self.starts = array("i", [0]), array("i"), array("i"), array("i")
+
+    def _learn(self, piece: str) -> int:
+        """Encode a new piece; returns its number."""
+        number, word = len(self.tokens), piece[1:] if piece[0] == " " else piece
+        if word.isascii() and word.isalnum():
+            spelled, size = piece.replace(" ", self.spelling[32]), len(piece)
+        else:
+            raw = piece.encode("utf-8")
+            spelled, size = raw.decode("latin-1").translate(self.spelling), len(raw)
+        start = len(self.ids)
+        self.ids.extend([t.id for t in self.tokenize(spelled)])
+        self.tokens.append(len(self.ids) - start)
+        self.sizes.append(size)
+        self.starts.append(start)
+        return number
 
     def _pieces(self, text: str) -> list[str]:
         """The pieces of a text; where tables of characters may differ, as the library cuts them."""
@@ -152,36 +187,26 @@ class ChunkCoder:
 
     def encode(self, text: bytes) -> Coded:
         """A text that holds no added token, by itself."""
-        pieces = self._pieces(text.decode("utf-8"))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[Coded]:
+        """Texts that hold no added token, each by itself; together, as a call of numpy costs more than a short text."""
         if len(self.known) > REMEMBER:
             self._forget()
-        known, tokenize = self.known, self.tokenizer.model.tokenize
-        for piece in set(pieces).difference(known):
-            raw = piece.encode("utf-8")
-            found = [t.id for t in tokenize(raw.decode("latin-1").translate(self.spelling))]
-            known[piece] = len(self.tokens)
-            self.ids += found
-            self.tokens.append(len(found))
-            self.sizes.append(len(raw))
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        ids, tokens, sizes, starts = self._arrays()
+        pieces, ends = [], [0]
+        for text in texts:
+            pieces += self._pieces(text.decode("utf-8"))
+            ends.append(len(pieces))
+        if not pieces:
+            return [Coded(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)) for _ in texts]
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
+        ids, tokens, sizes, starts = (np.frombuffer(x, np.int32) for x in (self.ids, self.tokens, self.sizes, self.starts))
         counts = tokens[at]
-        first = np.concatenate([[0], np.cumsum(counts)])
-        begin = np.concatenate([[0], np.cumsum(sizes[at])])
-        return Coded(ids[np.arange(first[-1]) + np.repeat(starts[at] - first[:-1], counts)], first, begin)
-
-    def _arrays(self) -> tuple[np.ndarray, ...]:
-        """What is known as arrays; they grow by doubling, so that a few new pieces cost little."""
-        if len(self.store[0]) < len(self.ids) or len(self.store[1]) < len(self.tokens):
-            self.store = [np.zeros(2 * len(x), np.int64) for x in (self.ids, self.tokens, self.tokens, self.tokens)]
-            self.filled = [0, 0]
-        a, b = self.filled
-        if b < len(self.tokens):
-            ids, tokens, sizes, starts = self.store
-            ids[a : len(self.ids)], tokens[b : len(self.tokens)], sizes[b : len(self.tokens)] = self.ids[a:], self.tokens[b:], self.sizes[b:]
-            starts[b : len(self.tokens)] = a + np.cumsum(self.tokens[b:]) - self.tokens[b:]
-            self.filled = [len(self.ids), len(self.tokens)]
-        return tuple(self.store)
+        first, begin = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1, np.int64)
+        np.cumsum(counts, out=first[1:])
+        np.cumsum(sizes[at], out=begin[1:])
+        flat = ids[np.arange(first[-1]) + np.repeat(starts[at] - first[:-1], counts)]
+        return [Coded(flat[first[a] : first[b]], first[a : b + 1] - first[a], begin[a : b + 1] - begin[a]) for a, b in zip(ends, ends[1:])]
 
     def segments(self, text: bytes) -> Iterator[tuple[int, int, int | None]]:
         """``(start, end, id)`` of added tokens, and with id None of what is between them."""
@@ -201,18 +226,26 @@ class ChunkCoder:
                 for x, y in zip(starts, [*starts[1:], b - a]):
                     yield text[a + x : a + y]
 
-    def join(self, text: bytes, starts: list[int], coded: list[Coded]) -> list[np.ndarray]:
-        """Ids of a whole text from those of its chunks.
+    def _safe(self, text: bytes, starts: list[int], coded: list[Coded]) -> list[int]:
+        """For each chunk the pieces before its last boundary that nothing behind the chunk can move."""
+        n = len(text)
+        return [len(c.begin) - 1 if e == n else int(c.begin.searchsorted(e - s - MARGIN, "right")) - 1 for c, s, e in zip(coded, starts, [*starts[1:], n])]
+
+    def _likely(self, text: bytes, starts: list[int], coded: list[Coded], safe: list[int]) -> list[tuple[int, int]]:
+        """The windows that ``join`` asks for where chunks agree with the text up to near their ends."""
+        return [(at := s + int(c.begin[i]), _whole(text, max(e, at) + AHEAD)) for s, e, c, i in zip(starts, starts[1:], coded, safe)]
+
+    def join(self, text: bytes, starts: list[int], coded: list[Coded], safe: list[int], ready: dict[tuple[int, int], Coded]) -> list[np.ndarray]:
+        """Ids of a whole text from those of its chunks; ``ready`` holds windows that are encoded already.
 
         ``at`` is always a boundary of the whole text's own pieces. Where the chunk that holds it has a boundary
         there too, both go on alike up to near the chunk's end.
         """
         ends, n, out, at, k, ahead = [*starts[1:], len(text)], len(text), [], 0, 0, AHEAD
-        safe = [len(c.begin) - 1 if e == n else int(np.searchsorted(c.begin, e - s - MARGIN, "right")) - 1 for c, s, e in zip(coded, starts, ends)]
 
         def agreed(k: int, at: int) -> int | None:
             """The piece of chunk ``k`` that begins at ``at`` and has safe ones behind it."""
-            i = int(np.searchsorted(coded[k].begin, at - starts[k]))
+            i = int(coded[k].begin.searchsorted(at - starts[k]))
             return i if i < safe[k] and coded[k].begin[i] == at - starts[k] else None
 
         while at < n:
@@ -224,17 +257,14 @@ class ChunkCoder:
                 out.append(c.ids[c.first[i] : c.first[safe[k]]])
                 at = starts[k] + int(c.begin[safe[k]])
                 continue
-            end = min(max(ends[k], at) + ahead, n)
-            while end < n and text[end] & 0xC0 == 0x80:
-                end += 1
-            window = self.encode(text[at:end])
-            sure = len(window.begin) - 1 if end == n else int(np.searchsorted(window.begin, end - at - MARGIN, "right")) - 1
+            end = _whole(text, max(ends[k], at) + ahead)
+            window = ready.get((at, end)) or self.encode(text[at:end])
+            sure = len(window.begin) - 1 if end == n else int(window.begin.searchsorted(end - at - MARGIN, "right")) - 1
             if sure <= 0:
                 ahead *= 2
                 continue
             ahead, upto, other = AHEAD, sure, k
-            for p in range(1, sure):
-                place = at + int(window.begin[p])
+            for p, place in enumerate((window.begin[1:sure] + at).tolist(), 1):
                 while ends[other] <= place:
                     other += 1
                 if agreed(other, place) is not None:
@@ -246,18 +276,35 @@ class ChunkCoder:
 
     def encode_text(self, text: bytes, coded) -> np.ndarray:
         """Ids of a whole text; ``coded`` gives what a chunk is by itself."""
-        out = [np.zeros(0, np.int64)]
-        for a, b, token in self.segments(text):
-            if token is not None:
-                out.append(np.array([token], np.int64))
-                continue
-            part = text[a:b]
-            starts = cuts(part)
-            out += self.join(part, starts, [coded(part[x:y]) for x, y in zip(starts, [*starts[1:], b - a])])
-        return np.concatenate(out)
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return self.encode_texts([text], lambda chunks: [coded(c) for c in chunks])[0]
+
+    def encode_texts(self, texts: list[bytes], coded) -> list[np.ndarray]:
+        """Ids of whole texts; ``coded`` gives what each of a list of chunks is by itself."""
+        found, parts, chunks = [], [], []
+        for text in texts:
+            found.append([np.zeros(0, np.int32)])
+            for a, b, token in self.segments(text):
+                if token is not None:
+                    found[-1].append(np.array([token], np.int32))
+                    continue
+                part = text[a:b]
+                starts = cuts(part)
+                parts.append((part, starts, len(found) - 1, len(found[-1])))
+                found[-1].append(None)
+                chunks += [part[x:y] for x, y in zip(starts, [*starts[1:], b - a])]
+        own, known, at = [], coded(chunks), 0
+        for part, starts, _, _ in parts:
+            of = known[at : at + len(starts)]
+            at += len(starts)
+            safe = self._safe(part, starts, of)
+            own.append((of, safe, self._likely(part, starts, of, safe)))
+        windows = iter(self.encode_all([part[a:b] for (part, *_), (_, _, likely) in zip(parts, own) for a, b in likely]))
+        for (part, starts, row, place), (of, safe, likely) in zip(parts, own):
+            found[row][place] = np.concatenate([np.zeros(0, np.int32), *self.join(part, starts, of, safe, {w: next(windows) for w in likely})])
+        return [np.concatenate(x) for x in found]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(self.bytes[ids].tolist()).decode("utf-8", "replace")
 
 
 def _key(chunk: bytes) -> tuple[int, int]:
@@ -265,6 +312,19 @@ def _key(chunk: bytes) -> tuple[int, int]:
     return a, b
 
 
+def _batched(rows: Iterator[tuple[dict, bytes | None]]) -> Iterator[list[tuple[dict, bytes | None]]]:
+    """Rows in lists of one, or of TOGETHER bytes of text at most."""
+    held, size = [], 0
+    for row, text in rows:
+        if held and size + len(text or b"") > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append((row, text))
+        size += len(text or b"")
+    if held:
+        yield held
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids, decoded)``: the ids of every whole text, and the text they decode to.
 
@@ -345,38 +405,44 @@ def _coded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, digests
         wanted = set(zip(owned.column("d1").to_pylist(), owned.column("d2").to_pylist()))
         out: list[tuple[int, int, bytes]] = []
         if wanted:
-            for _, text in texts_of(docs):
-                for chunk in coder().chunks(text or b""):
-                    if (key := _key(chunk)) in wanted:
-                        wanted.remove(key)
-                        out.append((*key, coder().encode(chunk).pack()))
+            for some in _batched(texts_of(docs)):
+                mine = {}
+                for _, text in some:
+                    for chunk in coder().chunks(text or b""):
+                        if (key := _key(chunk)) in wanted:
+                            wanted.remove(key)
+                            mine[key] = chunk
+                out += [(*key, coded.pack()) for key, coded in zip(mine, coder().encode_all([*mine.values()]))]
         return pa.table({c: pa.array([o[i] for o in out], k) for i, (c, k) in enumerate((("d1", pa.int64()), ("d2", pa.int64()), ("packet", pa.binary())))})
 
     def assemble(docs: pa.Table, sent: pa.Table) -> pa.Table:
         packets = dict(zip(zip(sent.column("d1").to_pylist(), sent.column("d2").to_pylist()), sent.column("packet").to_pylist()))
         known: dict[tuple, Coded] = {}
 
-        def coded(chunk: bytes) -> Coded:
-            key = _key(chunk)
-            if key not in known:
-                known[key] = Coded.unpack(packets.pop(key)) if key in packets else coder().encode(chunk)
-            return known[key]
+        def coded(chunks: list[bytes]) -> list[Coded]:
+            keys = [_key(chunk) for chunk in chunks]
+            new = {key: chunk for key, chunk in zip(keys, chunks) if key not in known}
+            known.update((key, Coded.unpack(packets.pop(key))) for key in new.keys() & packets.keys())
+            new = {key: chunk for key, chunk in new.items() if key not in known}
+            known.update(zip(new, coder().encode_all([*new.values()])))
+            return [known[key] for key in keys]
 
         results: dict[bytes, tuple] = {}
         by_tag: dict[tuple, tuple] = {}
         out, later = [], []
-        for row, text in texts_of(docs):
-            name = (row["doc_id"], row["tag"])
-            if text is None:
-                later.append((name, row["times"]))
-                continue
-            digest = xxhash.xxh3_128_digest(text)
-            if digest not in results:
-                ids = coder().encode_text(text, coded).tolist()
+        for some in _batched(texts_of(docs)):
+            digest = [None if text is None else xxhash.xxh3_128_digest(text) for _, text in some]
+            new = {d: text for d, (_, text) in zip(digest, some) if d is not None and d not in results}
+            for d, ids in zip(new, coder().encode_texts([*new.values()], coded)):
                 decoded = coder().decode(ids)
-                results[digest] = (len(ids), hashlib.sha256(b",".join(map(coder().decimal.__getitem__, ids))).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()) if digests else (ids, decoded)
-            by_tag[name] = results[digest]
-            out.append((row["doc_id"], *results[digest]))
+                results[d] = (len(ids), hashlib.sha256(b",".join(coder().decimal[ids].tolist())).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()) if digests else (ids.tolist(), decoded)
+            for d, (row, _) in zip(digest, some):
+                name = (row["doc_id"], row["tag"])
+                if d is None:
+                    later.append((name, row["times"]))
+                    continue
+                by_tag[name] = results[d]
+                out.append((row["doc_id"], *results[d]))
         out += [(name[0], *by_tag[name]) for name, times in later for _ in range(times)]
         return pa.table({c: pa.array([o[i] for o in out], k) for i, (c, k) in enumerate(columns)})
 

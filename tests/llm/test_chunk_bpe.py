@@ -66,6 +66,16 @@ def test_joins_agree_with_the_library(library, coder, monkeypatch, seed):
         assert coder.encode_text(text.encode(), coder.encode).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_texts_of_a_batch_are_encoded_together(library, coder, monkeypatch):
+    """One call for all chunks and one for all joins between them, however many there are."""
+    calls = []
+    monkeypatch.setattr(coder, "encode_all", lambda texts, f=coder.encode_all: calls.append(len(texts)) or f(texts))
+    texts = [prose(seed, 2_000, 10_000) for seed in range(20)] + ["", "<|endoftext|>", "日本 " * 900 + "<|endoftext|>x"]
+    out = coder.encode_texts([t.encode() for t in texts], coder.encode_all)
+    assert [x.tolist() for x in out] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(calls) > 300 and len(calls) < 10
+
+
 def test_packets_keep_what_is_coded(coder):
     code = coder.encode("Hello there,  it's\n日本".encode())
     again = cb.Coded.unpack(code.pack())
