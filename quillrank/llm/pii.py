@@ -2,7 +2,7 @@
 
 The rules give the base spans. Besides, generators with high recall propose overlapping spans; gradient-boosted
 trees score them by their format and context; spans above the threshold of their kind, calibrated for precision on
-held-out candidates, are added. The trees learn what the rules can't see: base spans of a sample are written in other
+held-out candidates, are added. The trees learn what the rules can't see: base spans of all documents are written in other
 forms that no rule matches, in the places where they were found.
 """
 
@@ -25,12 +25,16 @@ from .registry import bounded_batches
 from .words import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rows of the sample the trees are fitted on, on average; candidates at most.
-FIT_ROWS, FIT_CANDIDATES = 20_000, 60_000
+#: Groups of equal candidates that the driver fits on its own, rows of one task beyond that, and trees after which scores are stored.
+LOCAL_GROUPS, GROUP_ROWS, STORED = 60_000, 100_000, 8
 #: Size of the ensemble.
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
 #: Precision on held-out candidates that a threshold must reach, and candidates it must rest on.
 PRECISION, SUPPORT = 0.995, 30
+#: Thresholds tried for each unit of the log odds, and log odds beyond which they end.
+STEPS, FARTHEST = 1000, 30
+#: Sums over candidates are of whole numbers, so many to a unit: they don't depend on the order.
+FIXED = 1 << 24
 
 _BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -53,8 +57,8 @@ _HINT = re.compile(r"[0-9@]|[(\[]at[)\]]| at ")
 _TELLING = re.compile(r"\b(?:e-?mail|mail|contact|write|phone|tel|call|mobile|fax|whatsapp|card|visa|mastercard|credit|pay|ip|address|server|client)\b", re.I)
 _OTHER = re.compile(r"\b(?:order|invoice|isbn|issn|version|release|build|serial|part|item|sku|date|page|figure|fig|table|ref|ticket|id|no)\b", re.I)
 FEATURES = 25
-#: Spans of a document that are rewritten, candidates of it that are taken as they are, and characters around a rewritten one.
-SPANS, PLAIN, AROUND = 20, 50, 64
+#: Characters around a rewritten span, and labelled candidates that leave a task together.
+AROUND, TOGETHER = 64, 5_000
 
 
 def luhn(digits: str) -> bool:
@@ -197,8 +201,8 @@ def rewritten(span: str, kind: str, pick: random.Random) -> list[tuple[str, bool
     ]
 
 
-def examples(text: str) -> list[tuple[list[float], bool]]:
-    """Labelled candidates of a text: rewritten base spans in their places, and candidates that are surely none.
+def examples(text: str) -> Iterator[tuple[list[float], bool]]:
+    """Labelled candidates of a text: all base spans rewritten in their places, and all candidates that are surely none.
 
     A candidate that covers a rewritten span is personal data, one that meets a look-alike is not. Of the other candidates
     outside base spans, those that no rule would pass in any form, or that follow a word for other numbers, are not; the rest
@@ -207,11 +211,10 @@ def examples(text: str) -> list[tuple[list[float], bool]]:
     spans = candidates(text)
     base = base_spans(text) if spans else []
     pick = random.Random(len(text))
-    found = []
-    free = [c for c in _outside(spans, base) if not plausible(c[2], text[c[0] : c[1]]) or _OTHER.search(text[max(0, c[0] - 24) : c[0]])]
-    for c in pick.sample(free, min(PLAIN, len(free))):
-        found.append((features(text, *c), False))
-    for s, e, kind in pick.sample(base, min(SPANS, len(base))):
+    for c in _outside(spans, base):
+        if not plausible(c[2], text[c[0] : c[1]]) or _OTHER.search(text[max(0, c[0] - 24) : c[0]]):
+            yield features(text, *c), False
+    for s, e, kind in base:
         before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
         for form, right in rewritten(text[s:e], kind, pick):
             place, a, b = before + form + after, len(before), len(before) + len(form)
@@ -220,8 +223,7 @@ def examples(text: str) -> list[tuple[list[float], bool]]:
             for x, y, k in candidates(place):
                 if k == kind and x < b and a < y:
                     same = min(y, b) - max(x, a) >= 0.8 * (max(y, b) - min(x, a))
-                    found.append((features(place, x, y, k), right and same))
-    return found
+                    yield features(place, x, y, k), right and same
 
 
 def _outside(spans: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -258,86 +260,222 @@ class Trees(NamedTuple):
         return 1 / (1 + np.exp(-out))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Newton boosting on the logistic loss with histograms of quantile bins."""
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1)
-    p = min(max(y.mean(), 1e-4), 1 - 1e-4)
-    start = float(np.log(p / (1 - p)))
-    raw = np.full(len(x), start)
+class Groups(NamedTuple):
+    """Equal candidates, a row a group: bins of their features, how many they are, how many personal data, their log odds so far."""
+
+    bins: np.ndarray  # groups x features
+    n: np.ndarray
+    good: np.ndarray
+    raw: np.ndarray
+
+    def raised(self, trees: list[tuple]) -> Groups:
+        """With the log odds that ``trees`` add."""
+        raw = self.raw.copy()
+        for feature, cut, value in trees:
+            raw += value[self._nodes(feature, cut, DEPTH) - len(feature)]
+        return self._replace(raw=raw)
+
+    def _nodes(self, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+        node, row = np.zeros(len(self.n), np.int64), np.arange(len(self.n))
+        for _ in range(levels):
+            node = 2 * node + 1 + (self.bins[row, feature[node]] > cut[node])
+        return node
+
+    def sums(self, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        """Gradients and weights in each node of a level and bin of a feature, times FIXED."""
+        prob = 1 / (1 + np.exp(-self.raw))
+        parts = [np.rint(v * FIXED) for v in (self.good - self.n * prob, self.n * np.maximum(prob * (1 - prob), 1e-9))]
+        place = (self._nodes(feature, cut, level) - (2**level - 1)) * BINS
+        out = np.array([[np.bincount(place + self.bins[:, f], v, 2**level * BINS) for v in parts] for f in range(FEATURES)])
+        return out.reshape(FEATURES, 2, 2**level, BINS).astype(np.int64)
+
+
+def quantiles(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct edges between BINS parts of like size of sorted values that occur ``counts`` times."""
+    at = np.linspace(0, 1, BINS + 1)[1:-1] * (counts.sum() - 1)
+    low, ends = np.floor(at), np.cumsum(counts)
+    a, b = (values[np.searchsorted(ends, np.minimum(x, ends[-1] - 1), "right")] for x in (low, low + 1))
+    return np.unique(a + (b - a) * (at - low))
+
+
+def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
+
+
+def boost(edges: list[np.ndarray], start: float, sums, grown) -> Trees:
+    """Newton boosting on the logistic loss with histograms of quantile bins.
+
+    ``sums(feature, cut, level)`` gives the histograms of a level as ``Groups.sums`` does, ``grown(tree)`` is told of each tree.
+    """
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     features_, cuts, values = [], [], []
     for _ in range(TREES):
-        prob = 1 / (1 + np.exp(-raw))
-        gradient, weight = y - prob, np.maximum(prob * (1 - prob), 1e-9)
-        feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
-        node = np.zeros(len(x), np.int64)
+        feature, cut, value = np.zeros(inner, np.int64), np.full(inner, BINS), np.zeros(leaves)
         for level in range(DEPTH):
-            for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                at = np.flatnonzero(node == k)
-                best = 1e-6
+            both = np.cumsum(sums(feature, cut, level), axis=3) / FIXED
+            for i in range(2**level):
+                k, best = 2**level - 1 + i, 1e-6
                 for f, e in enumerate(edges):
-                    if not len(e) or not len(at):
+                    if not len(e):
                         continue
-                    g = np.cumsum(np.bincount(binned[at, f], gradient[at], len(e) + 1))
-                    h = np.cumsum(np.bincount(binned[at, f], weight[at], len(e) + 1))
+                    g, h = both[f, :, i, : len(e) + 1]
                     gain = g[:-1] ** 2 / (h[:-1] + 1) + (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + 1) - g[-1] ** 2 / (h[-1] + 1)
                     if gain.max() > best:
-                        best, feature[k], cut[k] = gain.max(), f, e[gain.argmax()]
-            node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
-        leaf = node - inner
-        g, h = np.bincount(leaf, gradient, leaves), np.bincount(leaf, weight, leaves)
-        value = RATE * g / (h + 1)
-        raw += value[leaf]
-        features_.append(feature), cuts.append(cut), values.append(value)
+                        best, feature[k], cut[k] = gain.max(), f, gain.argmax()
+                if level == DEPTH - 1:
+                    g, h = both[feature[k], :, i]
+                    left = min(cut[k], BINS - 1)
+                    value[2 * i : 2 * i + 2] = RATE * g[left] / (h[left] + 1), RATE * (g[-1] - g[left]) / (h[-1] - h[left] + 1)
+        grown((feature, cut, value))
+        features_.append(feature), values.append(value)
+        cuts.append(np.array([edges[f][c] if c < BINS else np.inf for f, c in zip(feature, cut)]))
     return Trees(start, np.array(features_), np.array(cuts), np.array(values))
 
 
+def _log_odds(n: float, good: float) -> float:
+    p = min(max(good / n, 1e-4), 1 - 1e-4)
+    return float(np.log(p / (1 - p)))
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
+    """Trees of candidates that are all at hand."""
+    edges = [quantiles(*np.unique(x[:, f], return_counts=True)) for f in range(x.shape[1])]
+    return _boosted(edges, Groups(_binned(x, edges), np.ones(len(x)), np.asarray(y, float), np.full(len(x), _log_odds(len(y), y.sum()))))[0]
+
+
+def _boosted(edges: list[np.ndarray], groups: Groups) -> tuple[Trees, list[tuple]]:
+    """The trees, also as splits between bins."""
+    state, trees = [groups], []
+
+    def grown(tree: tuple) -> None:
+        state[0] = state[0].raised([tree])
+        trees.append(tree)
+
+    return boost(edges, float(groups.raw[0]), lambda *of: state[0].sums(*of), grown), trees
+
+
 class Detector(NamedTuple):
     trees: Trees
     threshold: dict[str, float]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Detector | None:
-    """Trees and thresholds from the labelled candidates (``examples``) of a bounded sample.
+    """Trees and thresholds from the labelled candidates (``examples``) of all documents.
 
-    Half of the documents are held out; a kind's threshold is the lowest score above which the precision on their
-    candidates, none of which a rule finds, is high enough, and a kind without such a score adds nothing. None if the sample
-    has not both classes. The sample is drawn in all tasks, FIT_ROWS rows on average, copies of a row each for itself.
+    Half of the documents are held out; a kind's threshold is the lowest log odds, in steps of 1 / STEPS, above which the precision
+    on their candidates, none of which a rule finds, is high enough, and a kind without such a score adds nothing. None if there
+    are not both classes. Candidates with the same bins are counted as one group. The driver fits the trees if it is sent few groups;
+    beyond that each level of a tree is a job over all groups, with the same sums. The order and the files of the rows don't matter.
     """
-    share = min(1.0, FIT_ROWS / max(1, docs.count()))
-    sample = bounded_batches(docs).select(F.col(text_col).alias("text"))
-    sample = sample if share == 1.0 else sample.sample(share, seed=5)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, half = [], [], []
+
+        def out() -> pa.RecordBatch:
+            values = pa.array(np.array(x, float).ravel())
+            made = pa.RecordBatch.from_pydict({"x": pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), values), "y": pa.array(y, pa.bool_()), "half": pa.array(half, pa.int32())})
+            x.clear(), y.clear(), half.clear()
+            return made
+
         for batch in batches:
-            x, y, half = [], [], []
             for text in batch.column("text").fill_null("").to_pylist():
+                side = zlib.crc32(text.encode("utf-8", "surrogatepass")) % 2
                 for values, right in examples(text):
-                    x.append(values)
-                    y.append(right)
-                    half.append(zlib.crc32(text.encode("utf-8", "surrogatepass")) % 2)
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": pa.array(y, pa.bool_()), "half": pa.array(half, pa.int32())})
-
-    found = materialize(sample.mapInArrow(label, "x array<double>, y boolean, half int"), "candidates")
-    rows = found.orderBy(F.xxhash64("x", "y", "half")).limit(FIT_CANDIDATES).collect()
-    x, y = np.array([r.x for r in rows], float).reshape(-1, FEATURES), np.array([r.y for r in rows], float)
-    held = np.array([r.half for r in rows], bool)
-    if len(y) < 4 or held.all() or not held.any() or y[~held].min() == y[~held].max():
+                    x.append(values), y.append(right), half.append(side)
+                    if len(x) == TOGETHER:
+                        yield out()
+        yield out()
+
+    found = materialize(bounded_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(label, "x array<double>, y boolean, half int"), "candidates")
+    sides = {r.half: (r.n, r.good) for r in found.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("good")).collect()}
+    if len(sides) < 2 or not 0 < sides[0][1] < sides[0][0]:
         return None
-    trees = fit_trees(x[~held], y[~held])
-    x, y = x[held], y[held]
-    score = trees.score(x)
-    threshold = {}
-    for i, kind in enumerate(KINDS):
-        of = x[:, i] == 1
-        order = np.argsort(-score[of])
-        s, right = score[of][order], y[of][order]
-        precision = np.cumsum(right) / np.arange(1, len(right) + 1)
-        last = np.append(s[1:] < s[:-1], True)[: len(s)]  # a threshold takes all candidates of its score
-        good = np.flatnonzero(last & (precision >= PRECISION) & (np.arange(1, len(right) + 1) >= SUPPORT))
-        threshold[kind] = max(float(s[good[-1]]), 0.5) if len(good) else 2.0
-    return Detector(trees, threshold)
+    # Features are counts within a span and shares within its context of bounded size, so each has a bounded number of values.
+    seen = found.where("half = 0").select(F.posexplode("x").alias("f", "value")).groupBy("f", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = [sorted((r.value, r.n) for r in seen if r.f == f) for f in range(FEATURES)]
+    edges = [quantiles(*np.array(x, float).T) for x in seen]
+
+    def bin_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, FEATURES)
+            bins = pa.array([row.tobytes() for row in _binned(x, edges)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("half"), pa.array(x[:, : len(KINDS)].argmax(axis=1), pa.int32()), bins, batch.column("y")], ["half", "kind", "bins", "y"])
+
+    groups = found.mapInArrow(bin_, "half int, kind int, bins binary, y boolean").groupBy("half", "kind", "bins")
+    start = _log_odds(*sides[0])
+    groups = materialize(groups.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("good"), F.lit(start).alias("raw")), "groups")
+    size = groups.count()
+    if size <= LOCAL_GROUPS:
+        rows = groups.toArrow()
+        of = _groups(rows)
+        half, kind = (rows.column(c).to_numpy() for c in ("half", "kind"))
+        trees, splits = _boosted(edges, Groups(*(v[half == 0] for v in of)))
+        held = Groups(*(v[half == 1] for v in of)).raised(splits)
+        steps = list(zip(kind[half == 1].tolist(), _steps(held.raw).tolist(), held.n.tolist(), held.good.tolist()))
+    else:
+        groups = materialize(groups.repartition(-(-size // GROUP_ROWS)), "groups")
+        trees, splits = _boosted_by_jobs(edges, start, groups.where("half = 0"))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                step = _steps(_groups(batch).raised(splits).raw)
+                yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(step, pa.int32()), batch.column("n"), batch.column("good")], ["kind", "step", "n", "good"])
+
+        steps = groups.where("half = 1").mapInArrow(score, "kind int, step int, n long, good long").groupBy("kind", "step").agg(F.sum("n"), F.sum("good")).collect()
+    return Detector(trees, {kind: _threshold([s[1:] for s in steps if s[0] == i]) for i, kind in enumerate(KINDS)})
+
+
+def _groups(rows: pa.RecordBatch | pa.Table) -> Groups:
+    bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), np.uint8).reshape(-1, FEATURES)
+    return Groups(bins, *(rows.column(c).to_numpy().astype(float) for c in ("n", "good", "raw")))
+
+
+def _steps(raw: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(raw, -FARTHEST, FARTHEST) * STEPS).astype(np.int64)
+
+
+def _boosted_by_jobs(edges: list[np.ndarray], start: float, groups: DataFrame) -> tuple[Trees, list[tuple]]:
+    """As ``_boosted``; each task sums up its groups, and the log odds are stored now and then."""
+    kinds = "half int, kind int, bins binary, n long, good long, raw double"
+    state, waiting, trees = [groups], [], []
+
+    def sums(feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        pending = list(waiting)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((FEATURES, 2, 2**level, BINS), np.int64)
+            for batch in batches:
+                total += _groups(batch).raised(pending).sums(feature, cut, level)
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total.ravel()[cell])], ["cell", "total"])
+
+        out = np.zeros(FEATURES * 2 * 2**level * BINS, np.int64)
+        for row in state[0].mapInArrow(add, "cell int, total long").groupBy("cell").agg(F.sum("total").alias("total")).collect():
+            out[row.cell] = row.total
+        return out.reshape(FEATURES, 2, 2**level, BINS)
+
+    def grown(tree: tuple) -> None:
+        trees.append(tree), waiting.append(tree)
+        if len(waiting) == STORED:
+            pending = list(waiting)
+
+            def raise_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield batch.set_column(batch.schema.get_field_index("raw"), "raw", pa.array(_groups(batch).raised(pending).raw))
+
+            state[0] = materialize(state[0].mapInArrow(raise_, kinds), "groups")
+            waiting.clear()
+
+    return boost(edges, start, sums, grown), trees
+
+
+def _threshold(steps: list[tuple[int, float, float]]) -> float:
+    """The lowest score that is precise enough, from ``(step, n, good)`` of one kind; 2 if there is none."""
+    steps = np.array(sorted(steps, reverse=True), float).reshape(-1, 3)
+    last = np.append(steps[1:, 0] < steps[:-1, 0], True)[: len(steps)]  # a threshold takes all candidates of its step
+    n, good = np.cumsum(steps[:, 1]), np.cumsum(steps[:, 2])
+    fine = np.flatnonzero(last & (good >= PRECISION * n) & (n >= SUPPORT))
+    return max(float(1 / (1 + np.exp(-steps[fine[-1], 0] / STEPS))), 0.5) if len(fine) else 2.0
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], trees: Trees, threshold: dict[str, float]) -> list[tuple[int, int, str]]:

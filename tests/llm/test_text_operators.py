@@ -287,6 +287,24 @@ def test_other_forms_are_added_by_the_trees(spark):
     assert (digest.n_email, digest.n_phone, digest.base_sha256) == (0, 0, hashlib.sha256(b"").hexdigest()) and digest.spans.count(",") == 2
 
 
+def test_pii_fit_takes_all_candidates_in_any_order(spark, monkeypatch):
+    """Every base span and number of a text teaches, the files of the rows don't matter, and jobs give what the driver gives."""
+    pick = random.Random(3)
+    numbers = " ".join(f"order {pick.randrange(10**7, 10**9)}" for _ in range(120))
+    assert sum(not right for _, right in pii.examples(numbers)) >= 120
+    phones = " ; ".join(f"+1 ({pick.randrange(200, 999)}) {pick.randrange(200, 999)}-{pick.randrange(1000, 9999)}" for _ in range(60))
+    assert sum(right for _, right in pii.examples(phones)) >= 60
+    rows = [(i, f"{prose(i, 12)} call +1 ({pick.randrange(200, 999)}) {pick.randrange(200, 999)}-{pick.randrange(1000, 9999)} or ask a{i}@mail{i % 7}.example.org {prose(i + 1, 9)} order 12345{i:05}", "en", "s") for i in range(200)]
+    docs = documents(spark, [*rows, (900, numbers, "en", "s"), (901, phones, "en", "s")])
+    monkeypatch.setattr(pii, "TREES", 10)
+    local = pii.fit(docs.coalesce(1))
+    monkeypatch.setattr(pii, "LOCAL_GROUPS", 0)
+    monkeypatch.setattr(pii, "GROUP_ROWS", 50)
+    jobs = pii.fit(docs.orderBy(F.desc("doc_id")).repartition(5))
+    assert local.threshold == jobs.threshold and min(local.threshold.values()) < 1
+    assert all(np.array_equal(a, b) for a, b in zip(local.trees, jobs.trees))
+
+
 def test_pii_time_is_linear():
     for part in ("1", "a", "+1", "1.", "1 "):
         text = part * (1_000_000 // len(part)) + "@"
