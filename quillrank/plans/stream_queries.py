@@ -25,9 +25,9 @@ def _event_stream(spark, sf):
     return fx.messages(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
-def _status_stream(spark, sf):
+def _status_stream(spark, sf, **writer):
     """Status messages as files of JSON lines, a few files per micro-batch."""
-    lines = st.stream_messages(spark, write_statuses(spark, sf), files_per_trigger=4)
+    lines = st.stream_messages(spark, write_statuses(spark, sf, **writer), files_per_trigger=4)
     return lines, st.split_messages(lines)
 
 
@@ -86,7 +86,7 @@ def live_search(spark, sf):
     """Statuses are indexed as they arrive, a segment a batch, and searched there."""
     path = fresh_path(spark, "live")
     sg.create(spark, path, positions=False, term_buckets=8, doc_buckets=8)
-    _, messages = _status_stream(spark, sf)
+    _, messages = _status_stream(spark, sf, compression="gzip")
     _drain(live.index_stream(messages, path, fresh_path(spark, "cp")))
     text = fx.topics(spark, sf).where("qid = '0'").first()["query"]
     return live.live_search(spark, path, text)

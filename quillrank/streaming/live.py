@@ -97,10 +97,11 @@ def index_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         numbered = batch if order else batch.withColumn("_line", F.monotonically_increasing_id())
-        last = materialize(last_per_id(numbered, [order] if order else [c for c in ("arrival", "_line") if c in numbered.columns]), "batch")
+        known = [order] if order else [c for c in ("arrival", "_line") if c in numbered.columns]
+        last = materialize(last_per_id(numbered.select(*dict.fromkeys(["id", "op", "text", *known])), known).select("id", "op", "text"), "batch")
         added = last.where("op = 'add' AND text IS NOT NULL").select(F.col("id").alias("doc_id"), "text")
         deleted = last.where("op = 'delete'").select(F.col("id").alias("doc_id"))
-        segments.change(batch.sparkSession, path, added, deleted, analyzer=analyzer, source=(feed, batch_id))
+        segments.change(batch.sparkSession, path, added, deleted, analyzer=analyzer, source=(feed, batch_id), distinct=True)
 
     return (
         stream.writeStream.foreachBatch(write)
