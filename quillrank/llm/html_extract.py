@@ -319,7 +319,7 @@ _ITEM = pa.struct([("path", pa.int64()), ("shown", pa.bool_()), ("what", pa.int6
 
 
 def observed(pages: DataFrame) -> DataFrame:
-    """``(key, host, whole, items)``: what each distinct page of a host shows, from ``host``, ``key`` and ``html``."""
+    """``(key, host, whole, items)``: what each page of a host shows, from ``host``, ``key`` and ``html``. Copies have the same row."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,11 +335,10 @@ def observed(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("host"), pa.array(wholes, pa.int64()), pa.array(items, pa.list_(_ITEM))], ["key", "host", "whole", "items"])
 
     kept = pages.where(F.col("host").isNotNull()).select("key", "host", "html")
-    rows = kept.mapInArrow(observe, "key string, host string, whole long, items array<struct<path:long,shown:boolean,what:long,chars:long,weak:boolean>>")
-    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("host", "whole", "items")))
+    return kept.mapInArrow(observe, "key string, host string, whole long, items array<struct<path:long,shown:boolean,what:long,chars:long,weak:boolean>>")
 
 
-def site_style(distinct: DataFrame) -> DataFrame:
+def site_style(seen: DataFrame) -> DataFrame:
     """``(host, path, what, share)``: importance of the blocks that a host repeats so often that they are cut, and of those
     in loosely named branches.
 
@@ -348,7 +347,7 @@ def site_style(distinct: DataFrame) -> DataFrame:
     count from LEAST_PAGES pages on.
     """
     shown, layout = F.col("shown"), ~F.col("shown")
-    items = distinct.select("host", "whole", F.inline("items"))
+    items = seen.select("host", "whole", F.inline("items"))
     once = items.groupBy("host", "path", "shown", "what", "whole").agg(F.max("chars").alias("chars"), F.max("weak").alias("weak"))
     each = once.groupBy("host", "path", "shown", "what").agg(F.count("whole").alias("pages"), F.sum("chars").alias("chars"), F.max("weak").alias("weak"))
     each = materialize(each, "contents")
@@ -362,7 +361,7 @@ def site_style(distinct: DataFrame) -> DataFrame:
     content = 1 - F.col("content_logs") / (F.col("chars") * log_m)
     form = 1 - F.col("layout_logs") / (F.col("m") * log_m)  # entropy of the layouts over its maximum, log m
     known = sums.where((F.col("m") >= LEAST_PAGES) & (F.col("chars") > 0))
-    nodes = materialize(known.select("host", "path", log_m.alias("log_m"), (CONTENT * content + (1 - CONTENT) * form).alias("node")), "nodes")
+    nodes = known.select("host", "path", log_m.alias("log_m"), (CONTENT * content + (1 - CONTENT) * form).alias("node"))  # few sums, counted and joined
     repeated = each.where(shown & ((F.col("pages") > 1) | F.col("weak"))).select("host", "path", "what", "pages", "weak")
     share = CONTENT * (1 - F.log("pages") / F.col("log_m")) + (1 - CONTENT) * F.col("node")
     rated = lookup_join(repeated, nodes, ["host", "path"], spread_on="what").select("host", "path", "what", share.alias("share"), "weak")
@@ -385,11 +384,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = bounded_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = dict(rows.dtypes)["page_id"]
     rows = rows.withColumn("host", host()).withColumn("key", F.md5(F.concat_ws("\n", F.coalesce("host", F.lit("")), F.coalesce("html", F.lit("")))))
-    distinct = materialize(observed(rows), "observed")
-    low = materialize(site_style(distinct), "style")
-    shows = distinct.select("key", "host", F.inline(F.filter("items", lambda i: i["shown"]))).select("key", "host", "path", "what")
+    seen = materialize(observed(rows), "observed")  # as scanned: the style counts equal texts once, and a list has a block once
+    low = materialize(site_style(seen), "style")
+    shows = seen.select("key", "host", F.inline(F.filter("items", lambda i: i["shown"]))).select("key", "host", "path", "what")
     met = lookup_join(shows, low, ["host", "path", "what"], spread_on="key")
-    lists = materialize(met.groupBy("key").agg(F.collect_list(F.struct("path", "what", "share")).alias("low")), "lists")  # of one page each
+    lists = met.groupBy("key").agg(F.collect_set(F.struct("path", "what", "share")).alias("low"))  # of one page each
     few = fits(lists, SMALL_LISTS)
     whole = rows.drop("host")  # a plain scan, so it may be read once more to count its keys
     joined = whole.join(F.broadcast(lists), "key", "left") if few else split_hot_join(whole, lists, ["key"], "left", "page_id", stored=True)

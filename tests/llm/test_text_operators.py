@@ -390,6 +390,27 @@ def test_op8_lists_beyond_the_broadcast(spark, monkeypatch):
     assert want[(None, "Own text 5")] == 3 and want[(7, "Own text 7")] == 1
 
 
+def test_op8_stores_few_files_however_many_partitions(spark, monkeypatch):
+    """Each file that a task stores has its executor start processes, so what is read once is not stored a file a partition."""
+    page = "<div><p>Same line on all pages</p><p>Own text {0}</p><p>Own end {0}</p></div>"
+    rows = [(i, f"http://h{i % 7}.example/", page.format(i % 50)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    stored = []
+    store = html_extract.materialize
+    monkeypatch.setattr(html_extract, "materialize", lambda df, label="stage": stored.append(store(df, label)) or stored[-1])
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = multiset(html_extract.extract(pages), "page_id", "text")
+        assert sum(len(df.inputFiles()) for df in stored) < 80
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {(i, f"Own text {i % 50}\n\nOwn end {i % 50}"): 1 for i in range(400)}
+
+
 def test_op8_on_the_whole_table(spark, sf_dir):
     import html
 
