@@ -217,6 +217,25 @@ def test_background_meets_in_blocks(spark, monkeypatch):
     assert none.count() == 0 and none.columns == ["id", "term", "tf"]
 
 
+def test_timelines_meet_blocks_of_hits(spark, monkeypatch):
+    hits = spark.createDataFrame([(i if i % 9 else None, f"u{i % 3}" if i % 7 else None, i % 2) for i in range(90)] + [(1, "u1", 0)] * 20, "id bigint, user_id string, odd int")
+    pieces = spark.createDataFrame([(f"u{u}", p if p else None, 2, f"text {u} {p}" if p != 3 else None) for u in range(4) for p in range(12)] + [(None, 0, 1, "t")], "user_id string, piece bigint, n_texts bigint, text string")
+    want = hits.join(pieces.withColumnRenamed("text", "timeline"), "user_id").select("user_id", "id", "odd", "piece", "timeline")
+    key = lambda r: tuple((v is None, v) for v in r)
+    want = sorted(map(tuple, want.collect()), key=key)
+    whole = jn.with_timeline(hits, pieces)
+    assert "Generate inline(_hits" in plan(whole) and whole.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(jn, "HIT_BLOCK", 4)
+    monkeypatch.setattr(jn, "PART_BLOCKS", 2)
+    found = jn.with_timeline(hits, pieces)
+    for df in (whole, found):
+        assert df.columns == ["user_id", "id", "odd", "piece", "timeline"] and sorted(map(tuple, df.collect()), key=key) == want
+    monkeypatch.setattr(jn, "fits", lambda df, max_rows=0: False)
+    monkeypatch.setattr(sizing, "fits", lambda df, max_rows=0: False)
+    assert sorted(map(tuple, jn.with_timeline(hits, pieces).collect()), key=key) == want
+    assert jn.with_timeline(hits.where("false"), pieces).count() == 0
+
+
 def test_features_of_judged_pairs_read_the_text_once(spark, sf_dir):
     found = ft.extract_judged(fx.qrels(spark, sf_dir), fx.index(spark, sf_dir), fx.topics(spark, sf_dir), ["BM25Feature", "DocSize"])
     assert "documents.parquet" not in plan(found) and found.count() > 0
