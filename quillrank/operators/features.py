@@ -43,6 +43,8 @@ PAIR_KINDS = {
 
 SDM_WEIGHTS = (0.5, 0.2, 0.3)
 SDM_WINDOW = 8
+#: Pairs that a task sums up, at most about, where every document meets every query it shares a term with.
+PAIRS_A_TASK = 500_000
 
 
 @dataclass(frozen=True)
@@ -336,25 +338,30 @@ class PairWeights:
         return PairWeights(qids, terms, keys[order], kinds)
 
 
-def pair_batch(batch: pa.RecordBatch, weights: PairWeights, columns: Sequence[tuple[str, str, int]], gap: int) -> pa.RecordBatch:
-    """Rows ``(qid, doc_id, ..., places)`` with counts of ``columns`` (name, kind, gap) for their ``places``, terms with positions."""
-    places = batch.column("places")
+def _known(values: pa.Array, among: pa.Array) -> np.ndarray:
+    """Numbers of the values among others, -1 for those that are not there."""
+    return pc.fill_null(pc.index_in(values, value_set=among), -1).to_numpy().astype(np.int64)
+
+
+def token_places(places: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and number among ``terms`` of each token of rows of terms with positions, in the order of the text."""
     n_terms = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
     term, positions = places.flatten().flatten()
     n_places = pc.list_value_length(positions).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = term.dictionary_encode()
     by_word = pc.sort_indices(coded.dictionary).to_numpy()
     code = np.repeat(np.argsort(by_word)[coded.indices.to_numpy()], n_places)
-    row = np.repeat(np.repeat(np.arange(batch.num_rows), n_terms), n_places)
+    row = np.repeat(np.repeat(np.arange(len(places)), n_terms), n_places)
     pos = positions.flatten().to_numpy().astype(np.int64)
     order = np.lexsort((code, pos, row))
     row, pos, code = row[order], pos[order], code[order]
+    return row, pos, _known(coded.dictionary.take(pa.array(by_word)), terms)[code]
 
-    def known(values: pa.Array, among: pa.Array) -> np.ndarray:
-        return pc.fill_null(pc.index_in(values, value_set=among), -1).to_numpy().astype(np.int64)
 
-    word = known(coded.dictionary.take(pa.array(by_word)), weights.terms)[code]
-    query = known(batch.column("qid"), weights.qids)[row]
+def pair_batch(batch: pa.RecordBatch, weights: PairWeights, columns: Sequence[tuple[str, str, int]], gap: int) -> pa.RecordBatch:
+    """Rows ``(qid, doc_id, ..., places)`` with counts of ``columns`` (name, kind, gap) for their ``places``, terms with positions."""
+    row, pos, word = token_places(batch.column("places"), weights.terms)
+    query = _known(batch.column("qid"), weights.qids)[row]
     found = [(np.empty(0, np.int64),) * 3]
     for step in range(1, gap + 1):
         distance = pos[step:] - pos[:-step]
@@ -371,6 +378,88 @@ def pair_batch(batch: pa.RecordBatch, weights: PairWeights, columns: Sequence[tu
     return pa.RecordBatch.from_pydict(out)
 
 
+def document_pairs(batch: pa.RecordBatch, weights: PairWeights, columns: Sequence[tuple[str, str, int]], gap: int) -> pa.RecordBatch:
+    """Rows ``(doc_id, places)`` to ``(qid, doc_id, ...)`` with counts of ``columns`` for each query that has a close pair in the document.
+
+    The close positions of a document are found once for all queries. Where positions repeat, as the rows of several documents
+    share an id, what is close depends on the terms of the query, and its own sequence of tokens is formed.
+    """
+    row, pos, word = token_places(batch.column("places"), weights.terms)
+    n_words, n_queries = max(len(weights.terms), 1), max(len(weights.qids), 1)
+    again = np.unique(row[1:][(row[1:] == row[:-1]) & (pos[1:] == pos[:-1])])
+    plain = ~np.isin(row, again) & (word >= 0)
+    by_pair = np.argsort(weights.keys % n_words**2, kind="stable")
+    pairs = weights.keys[by_pair] % n_words**2
+    groups, distances, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    r, p, w = row[plain], pos[plain], word[plain]
+    for step in range(1, gap + 1):
+        distance = p[step:] - p[:-step]
+        at = np.flatnonzero((r[step:] == r[:-step]) & (distance <= gap))
+        key = w[at] * n_words + w[at + step]
+        first = np.searchsorted(pairs, key)
+        n = np.searchsorted(pairs, key, "right") - first
+        met = by_pair[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+        at = np.repeat(at, n)
+        groups.append(r[at] * n_queries + weights.keys[met] // n_words**2)
+        distances.append(distance[at])
+        which.append(met)
+    query, pair = np.divmod(weights.keys, n_words**2)
+    asked = np.unique(np.concatenate([pair // n_words, pair % n_words]) * n_queries + np.tile(query, 2))  # queries of each term
+    for one in again:
+        own = np.flatnonzero((row == one) & (word >= 0))
+        first = np.searchsorted(asked, word[own] * n_queries)
+        n = np.searchsorted(asked, (word[own] + 1) * n_queries) - first
+        q = asked[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)] % n_queries
+        order = np.argsort(q, kind="stable")
+        q, own = q[order], np.repeat(own, n)[order]
+        for step in range(1, gap + 1):
+            distance = pos[own[step:]] - pos[own[:-step]]
+            at = np.flatnonzero((q[step:] == q[:-step]) & (distance <= gap))
+            key = (q[at] * n_words + word[own[at]]) * n_words + word[own[at + step]]
+            place = np.searchsorted(weights.keys, key)
+            hit = np.flatnonzero(weights.keys[np.minimum(place, len(weights.keys) - 1)] == key) if len(weights.keys) else place
+            groups.append(one * n_queries + q[at[hit]])
+            distances.append(distance[at[hit]])
+            which.append(place[hit])
+    group, index = np.unique(np.concatenate(groups), return_inverse=True)
+    distance, met = np.concatenate(distances), np.concatenate(which)
+    doc, qid = np.divmod(group, n_queries)
+    out = {"qid": weights.qids.take(pa.array(qid)), "doc_id": batch.column("doc_id").take(pa.array(doc))}
+    for name, kind, most in columns:
+        near = distance <= most
+        out[name] = pa.array(np.bincount(index[near], weights.kinds[kind][met[near]], len(group)).astype(np.int64))
+    return pa.RecordBatch.from_pydict(out)
+
+
+def matched_pairs(index: TermIndex, query_tokens: DataFrame, n_topics: int, sums: Sequence[Column], weights: DataFrame | None, features: Sequence[Feature]) -> DataFrame:
+    """``(qid, doc_id, dl, <sums>, <one column per pair feature>)`` of each query with the documents that hold any of its terms.
+
+    Query tokens and ``weights`` are of proven size. The postings of the queries' terms are dealt by document before they meet the
+    queries, many of which ask for each of them: all matches of a document are then summed up where they are formed, in tasks
+    of about PAIRS_A_TASK pairs. Documents without an id match, but nothing is known of them.
+    """
+    counts = query_term_counts(query_tokens)
+    known = with_term_stats(counts.withColumnRenamed("qtf", "weight"), index).withColumnRenamed("weight", "qtf").where(F.length("term") > 0)
+    keys = [c for c in ("term_bucket", "term") if c in known.columns and c in index.postings.columns]
+    kept = index.postings.join(F.broadcast(known.select(*keys).distinct()), keys, "left_semi") if len(keys) > 1 else index.postings
+    cores = query_tokens.sparkSession.sparkContext.defaultParallelism
+    tasks = max(3 * cores, -(-index.stats.first()["n_docs"] * n_topics // PAIRS_A_TASK))
+    dealt = kept.repartition(tasks, "doc_id")
+    met = dealt.drop("positions").join(F.broadcast(known), keys).groupBy("qid", "doc_id").agg(F.first("dl").alias("dl"), *sums)
+    out = met.select("qid", "doc_id", "dl", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in met.columns[3:]))
+    if not features:
+        return out
+    gap, wanted, columns = max(f.gap for f in features), PairWeights.of(weights.toArrow()), [(f.name, f.kind, f.gap) for f in features]
+    docs = dealt.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("term", "positions")).alias("places"))
+    schema = StructType([weights.schema["qid"], docs.schema["doc_id"], *(StructField(f.name, LongType()) for f in features)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield document_pairs(batch, wanted, columns, gap)
+
+    return out.join(bounded_batches(docs).mapInArrow(count, schema), ["qid", "doc_id"], "left")
+
+
 def sequential_dependence(matches: DataFrame, weights: DataFrame, window: int = SDM_WINDOW) -> DataFrame:
     """``(qid, doc_id, sdm_terms, sdm_ordered, sdm_window)``: sums of ``ln(count + 1)``.
 
@@ -422,24 +511,35 @@ def extract_features(
     query_tokens = analyze_topics(topics, analyzer, index.stemmed)
     index = narrowed(index, query_tokens)
     matches = pair_matches(pairs, query_tokens, index, most)
+    aggregates, paired, weights = _parts(features, query_tokens, index)
+    summed = count_pairs(matches, weights, paired, aggregates) if paired else matches.groupBy("qid", "doc_id").agg(*aggregates)
+    out = pairs.join(summed, ["qid", "doc_id"], "left")
+    return _finished(out, pairs.columns, features, query_tokens, index, topics, weights, matches)
+
 
+def _parts(features: Sequence[Feature], query_tokens: DataFrame, index: TermIndex) -> tuple[list[Column], list[Feature], DataFrame | None]:
+    """Aggregates of the matches of a pair, the different pair features, and the weights that those and SDM need."""
     aggregates = [F.count(F.lit(1)).alias("n_match"), F.sum("tf").alias("sum_tf")]
-    matched = [(i, f) for i, f in enumerate(features) if f.level == "match"]
-    aggregates += [f.value(index).alias(f"_m{i}") for i, f in matched]
+    aggregates += [f.value(index).alias(f"_m{i}") for i, f in enumerate(features) if f.level == "match"]
     paired = [f for f in features if f.level == "pair"]
-    sdm = [f for f in features if f.level == "sdm"]
-    if paired or sdm:
+    weights = None
+    if paired or any(f.level == "sdm" for f in features):
         weights = query_pairs(query_tokens, adjacent=not any(f.kind in ("ordered_all", "unordered_all") for f in paired))
-    distinct = list({f.name: f for f in paired}.values())
-    summed = count_pairs(matches, weights, distinct, aggregates) if paired else matches.groupBy("qid", "doc_id").agg(*aggregates)
+    return aggregates, list({f.name: f for f in paired}.values()), weights
 
-    out = pairs.join(summed, ["qid", "doc_id"], "left").fillna(0, ["n_match", "sum_tf", *(f.name for f in distinct)])
+
+def _finished(
+    out: DataFrame, kept: Sequence[str], features: Sequence[Feature], query_tokens: DataFrame, index: TermIndex, topics: DataFrame,
+    weights: DataFrame | None, matches: DataFrame | None,
+) -> DataFrame:
+    """Columns ``kept`` and the features, from pairs with their sums; ``matches`` are needed for SDM only."""
+    out = out.fillna(0, ["n_match", "sum_tf", *dict.fromkeys(f.name for f in features if f.level == "pair")])
     wants_pmi = any(f.name == "PMIFeature" for f in features)
     out = lookup_join(out, query_features(query_tokens, index, wants_pmi), "qid", spread_on="doc_id", bound=topics)
-    if "dl" not in pairs.columns:
+    if "dl" not in kept:
         out = document_lengths(index, out)
 
-    if sdm:
+    if any(f.level == "sdm" for f in features):
         adjacent = weights.where(F.col("ordered_next") > 0).groupBy("qid").agg(F.count(F.lit(1)).alias("n_adjacent"))
         out = lookup_join(out, adjacent, "qid", "left", spread_on="doc_id", bound=topics)
         out = out.join(sequential_dependence(matches, weights), ["qid", "doc_id"], "left")
@@ -455,7 +555,7 @@ def extract_features(
         else:
             value = f.value(index)
         values.append(value.cast("double").alias(name))
-    return out.select(*[F.col(c) for c in pairs.columns], *values)
+    return out.select(*[F.col(c) for c in kept], *values)
 
 
 def extract_judged(
@@ -478,13 +578,29 @@ def extract_judged(
 def extract_matching(
     qrels: DataFrame, index: TermIndex, topics: DataFrame, names: Sequence[str | Feature] = WEB_FEATURES, analyzer: Analyzer = tokens
 ) -> DataFrame:
-    """Features of every document with every query it shares a term with; unjudged and negative grades become 0."""
+    """Features of every document with every query it shares a term with; unjudged and negative grades become 0.
+
+    Where the queries' terms can be sent to the tasks, pairs and sums come from the matches of each document in one go. Pairs
+    that are judged more than once have several rows, which their sums are taken over; they go by the pairs, as all do otherwise.
+    """
     from .rerank import with_grade
 
-    index = narrowed(index, analyze_topics(topics, analyzer, index.stemmed))
+    query_tokens = analyze_topics(topics, analyzer, index.stemmed)
+    index, found = narrowed(index, query_tokens), _features(names)
+    aggregates, paired, weights = _parts(found, query_tokens, index)
+    shown = ["qid", "doc_id", "grade", *column_names(found)]
     pairs = matching_pairs(index, topics, analyzer)
-    out = extract_features(with_grade(pairs, qrels), index, topics, names, analyzer, most=True)
-    return out.select("qid", "doc_id", "grade", *column_names(_features(names)))
+    if any(f.level == "sdm" for f in found) or not fits(query_tokens) or (paired and not fits(weights)):
+        return extract_features(with_grade(pairs, qrels), index, topics, found, analyzer, most=True).select(*shown)
+    met = matched_pairs(index, query_tokens, topics.count(), aggregates, weights, paired)
+    judged = qrels.where("qid IS NOT NULL AND doc_id IS NOT NULL").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    often = materialize(judged.where("n > 1").select("qid", "doc_id"), "often")
+    again = None if often.isEmpty() else often
+    if again is not None:
+        met = lookup_join(met, again, ["qid", "doc_id"], "left_anti")
+        pairs = lookup_join(pairs, again, ["qid", "doc_id"], "left_semi")
+    out = _finished(with_grade(met, qrels), ["qid", "doc_id", "grade", "dl"], found, query_tokens, index, topics, weights, None).select(*shown)
+    return out if again is None else out.unionByName(extract_features(with_grade(pairs, qrels), index, topics, found, analyzer).select(*shown))
 
 
 def extract_run(

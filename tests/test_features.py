@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,38 @@ def test_collection_without_tokens(spark):
     assert coll_stats(doc_lengths(build_postings(docs))).first().avgdl == 1.0
     stats = build_index(docs).stats.first()
     assert (stats.n_docs, stats.sum_dl, stats.avgdl) == (2, 0, 1.0)
+
+
+def test_matching_pairs_are_summed_up_by_document(spark, monkeypatch):
+    """Repeated and missing ids of documents, and pairs that are judged twice, against the way by pairs."""
+    pick = random.Random(7)
+    rows = [(i % 9 if i % 8 else None, " ".join(pick.choice(WORDS) for _ in range(pick.randrange(25)))) for i in range(14)]
+    queries = [[pick.choice(WORDS) for _ in range(n)] for n in (1, 2, 3, 6)]
+    topics = spark.createDataFrame([(str(i), " ".join(q)) for i, q in enumerate(queries)] + [(None, "amber birch"), ("9", "unknown")], "qid STRING, query STRING")
+    qrels = spark.createDataFrame([("1", 1, 2), ("2", 3, 1), ("2", 3, 0), ("3", 5, -1), (None, 1, 1), ("3", None, 1)], "qid STRING, doc_id BIGINT, grade INT")
+    names = [*(n for n in ft.WEB_FEATURES if n != "PMIFeature"), "OrderedAllPairs3", "UnorderedQueryTokenPairs10"]
+
+    def shown():
+        index = build_index(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").coalesce(1))
+        found = ft.extract_matching(qrels, index, topics, names)
+        return found, sorted((tuple(r) for r in found.select("qid", "doc_id", "grade", "DocSize", *(F.round(n, 9) for n in names)).collect()), key=str)
+
+    frame, by_document = shown()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan.replace("\n", "")
+    monkeypatch.setattr(ft, "matched_pairs", None)
+    monkeypatch.setattr(ft, "fits", lambda df, max_rows=0: False)
+    assert by_document == shown()[1]
+    assert len([r for r in by_document if r[:2] == ("2", 3)]) == 2 and any(r[1] is None for r in by_document)
+
+
+def test_close_pairs_of_a_document_for_all_queries(spark):
+    weights = ft.PairWeights.of(ft.query_pairs(spark.createDataFrame(
+        [(q, i, t) for q, text in (("q", "a b c"), ("r", "b a"), ("s", "c")) for i, t in enumerate(text.split())], "qid STRING, pos INT, term STRING")).toArrow())
+    places = [[("a", [0, 4]), ("b", [1, 9]), ("z", [2])], [("c", [3])], [("a", [0, 1]), ("b", [1, 2])]]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": [5, 6, 7],
+        "places": pa.array([[{"term": t, "positions": p} for t, p in d] for d in places], pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))])))})
+    found = ft.document_pairs(batch, weights, [("o", "ordered_next", 3), ("u", "unordered_next", 5)], 5).to_pylist()
+    # Of document 7, whose positions repeat, a query sees its own tokens a0 a1 b1 b2.
+    assert {(r["qid"], r["doc_id"], r["o"], r["u"]) for r in found} == {("q", 5, 1, 3), ("r", 5, 1, 3), ("q", 7, 4, 4), ("r", 7, 0, 4)}
