@@ -43,6 +43,8 @@ PAIR_KINDS = {
 
 SDM_WEIGHTS = (0.5, 0.2, 0.3)
 SDM_WINDOW = 8
+#: Terms of queries that are looked for inside the rows of documents, as a set that is part of the plan.
+MOST_WORDS = 20_000
 #: Pairs that a task sums up, at most about, where every document meets every query it shares a term with.
 PAIRS_A_TASK = 500_000
 
@@ -255,7 +257,10 @@ def pair_matches(pairs: DataFrame, query_tokens: DataFrame, index: TermIndex, mo
         return matches.join(pairs.select("qid", "doc_id"), ["qid", "doc_id"])
     if index.documents is not None:
         known = with_term_stats(counts.withColumnRenamed("qtf", "weight"), index).withColumnRenamed("weight", "qtf").drop("term_bucket")
-        return lookup_join(document_terms(index, pairs.select("qid", "doc_id")), known, ["qid", "term"], spread_on="doc_id", bound=query_tokens)
+        vocab = counts.select("term").distinct()
+        words = [r["term"] for r in vocab.collect()] if fits(vocab, MOST_WORDS) else None
+        found = document_terms(index, pairs.select("qid", "doc_id"), words=words)
+        return lookup_join(found, known, ["qid", "term"], spread_on="doc_id", bound=query_tokens)
     wanted = lookup_join(pairs.select("qid", "doc_id"), counts, "qid", spread_on="doc_id", bound=query_tokens)
     vocab = counts.select("term").distinct()
     # A stored index also has the directory of each term, so that a scan reads only those of the query.
@@ -514,7 +519,7 @@ def extract_features(
     aggregates, paired, weights = _parts(features, query_tokens, index)
     summed = count_pairs(matches, weights, paired, aggregates) if paired else matches.groupBy("qid", "doc_id").agg(*aggregates)
     out = pairs.join(summed, ["qid", "doc_id"], "left")
-    return _finished(out, pairs.columns, features, query_tokens, index, topics, weights, matches)
+    return _finished(out, pairs.columns, features, query_tokens, index, topics, weights, matches, pairs)
 
 
 def _parts(features: Sequence[Feature], query_tokens: DataFrame, index: TermIndex) -> tuple[list[Column], list[Feature], DataFrame | None]:
@@ -530,14 +535,17 @@ def _parts(features: Sequence[Feature], query_tokens: DataFrame, index: TermInde
 
 def _finished(
     out: DataFrame, kept: Sequence[str], features: Sequence[Feature], query_tokens: DataFrame, index: TermIndex, topics: DataFrame,
-    weights: DataFrame | None, matches: DataFrame | None,
+    weights: DataFrame | None, matches: DataFrame | None, bound: DataFrame | None = None,
 ) -> DataFrame:
-    """Columns ``kept`` and the features, from pairs with their sums; ``matches`` are needed for SDM only."""
+    """Columns ``kept`` and the features, from pairs with their sums; ``matches`` are needed for SDM only.
+
+    ``bound`` is a frame with at least as many rows, so that the pairs are not summed up once more to be counted.
+    """
     out = out.fillna(0, ["n_match", "sum_tf", *dict.fromkeys(f.name for f in features if f.level == "pair")])
     wants_pmi = any(f.name == "PMIFeature" for f in features)
     out = lookup_join(out, query_features(query_tokens, index, wants_pmi), "qid", spread_on="doc_id", bound=topics)
     if "dl" not in kept:
-        out = document_lengths(index, out)
+        out = document_lengths(index, out, bound)
 
     if any(f.level == "sdm" for f in features):
         adjacent = weights.where(F.col("ordered_next") > 0).groupBy("qid").agg(F.count(F.lit(1)).alias("n_adjacent"))

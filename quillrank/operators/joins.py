@@ -64,7 +64,7 @@ def cooccurrence(postings: DataFrame, pairs: DataFrame, bound: DataFrame | None
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     dealt = kept.select(block, F.xxhash64(F.col("doc_id"), F.lit(1)).alias("doc"), F.xxhash64("term").alias("h")).groupBy("block")
     counts = dealt.applyInArrow(count, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-    return lookup_join(hashed, counts, ["h1", "h2"]).select("t1", "t2", "n")
+    return lookup_join(hashed, counts, ["h1", "h2"], bound=wanted).select("t1", "t2", "n")  # not counted by counting all documents
 
 
 def shared_counts(term: np.ndarray, doc: np.ndarray, n_terms: int, n_docs: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -206,15 +206,18 @@ def _placed(wanted: DataFrame, index: TermIndex) -> DataFrame:
     return wanted.withColumn("doc_bucket", doc_bucket(F.col("doc_id"), index.doc_buckets)).where("doc_bucket >= 0")
 
 
-def document_terms(index: TermIndex, wanted: DataFrame, bound: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, term, tf, [positions], dl)`` of the documents in ``wanted``, with its other columns.
+def document_terms(index: TermIndex, wanted: DataFrame, bound: DataFrame | None = None, words: Sequence[str] | None = None) -> DataFrame:
+    """``(doc_id, term, tf, [positions], dl)`` of the documents in ``wanted``, with its other columns; of ``words`` only, if given.
 
-    An index with a table of documents is read at their buckets only; otherwise all postings are met.
+    An index with a table of documents is read at their buckets only, and terms that are not asked for don't become rows; otherwise
+    all postings are met.
     """
     if index.documents is None:
-        return lookup_join(index.postings.drop("term_bucket"), wanted, "doc_id", spread_on="term", bound=bound)
+        postings = index.postings.drop("term_bucket")
+        return lookup_join(postings if words is None else postings.where(F.col("term").isin(list(words))), wanted, "doc_id", spread_on="term", bound=bound)
     met = lookup_join(index.documents, _placed(wanted, index), ["doc_bucket", "doc_id"], bound=bound)
-    return met.select(*wanted.columns, "dl", F.inline("terms"))
+    terms = F.col("terms") if words is None else F.filter("terms", lambda t: t["term"].isin(list(words)))
+    return met.select(*wanted.columns, "dl", F.inline(terms))
 
 
 def document_lengths(index: TermIndex, wanted: DataFrame, bound: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,8 @@
 """Plans and the join paths that only large inputs take."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from quillrank.operators import postings as po
 from quillrank.operators import ranking as rk
 from quillrank.operators import rerank as rr
 from quillrank.plans import fixtures as fx
+from quillrank.session import materialize
 
 
 def plan(df):
@@ -239,3 +243,28 @@ def test_timelines_meet_blocks_of_hits(spark, monkeypatch):
 def test_features_of_judged_pairs_read_the_text_once(spark, sf_dir):
     found = ft.extract_judged(fx.qrels(spark, sf_dir), fx.index(spark, sf_dir), fx.topics(spark, sf_dir), ["BM25Feature", "DocSize"])
     assert "documents.parquet" not in plan(found) and found.count() > 0
+
+
+def test_features_of_a_stored_index_sum_up_pairs_once(spark, sf_dir, monkeypatch):
+    index, topics = fx.stored_index(spark, sf_dir, True), fx.topics(spark, sf_dir)
+    counted, run = [], rk.bm25(index, topics, hits=20)
+    for module in (sizing, ft, jn):
+        monkeypatch.setattr(module, "fits", lambda df, *more, f=sizing.fits: counted.append(plan(df)) or f(df, *more))
+    found = ft.extract_run(run, fx.qrels(spark, sf_dir), index, topics)
+    assert counted and not [p for p in counted if "collect_list(struct(term" in p or "FlatMapGroups" in p]
+    # Terms that the queries don't have are left out before they become rows.
+    assert "inline(filter(terms" in plan(found)
+
+
+def test_shuffle_files_go_as_a_table_is_written(spark):
+    def files():
+        tops = spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+        return {name for top in tops for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+
+    before = files()
+    stored = materialize(spark.range(1000).repartition(7, "id"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert stored.count() == 1000
