@@ -271,13 +271,14 @@ def write_index(
     rows = posting_rows(docs, doc_id, text, positions, stemmed(analyzer) if stem else analyzer)
     layout = rows.withColumn("term_bucket", term_bucket(F.col("term"), buckets)).hint("rebalance", "term_bucket")
     ordered = layout.sortWithinPartitions("term_bucket", "term", "doc_id")
-    ordered.write.mode(mode).partitionBy("term_bucket").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    stored.where("head").select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
-    terms = term_stats(stored.where(F.col("term_bucket") >= 0)).withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    stats = coll_stats(spark.read.parquet(f"{path}/lengths")).withColumn("stemmed", F.lit(stem))
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    with shuffles_dropped(spark):
+        ordered.write.mode(mode).option("compression", CODEC).partitionBy("term_bucket").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.where("head").select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/lengths")
+        terms = term_stats(stored.where(F.col("term_bucket") >= 0)).withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+        terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        stats = coll_stats(spark.read.parquet(f"{path}/lengths")).withColumn("stemmed", F.lit(stem))
+        stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> TermIndex:
@@ -290,15 +291,17 @@ def read_index(spark: SparkSession, path: str) -> TermIndex:
 def compact(spark: SparkSession, path: str, target: str, pieces: int) -> None:
     """Rewrite the postings of a stored index into ``pieces`` sorted ranges below ``target``."""
     postings = spark.read.parquet(f"{path}/postings")
-    (
-        postings.repartitionByRange(pieces, "term_bucket", "term", "doc_id")
-        .sortWithinPartitions("term_bucket", "term", "doc_id")
-        .write.mode("overwrite")
-        .partitionBy("term_bucket")
-        .parquet(f"{target}/postings")
-    )
-    for name in ("lengths", "terms", "stats"):
-        spark.read.parquet(f"{path}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
+    with shuffles_dropped(spark):
+        (
+            postings.repartitionByRange(pieces, "term_bucket", "term", "doc_id")
+            .sortWithinPartitions("term_bucket", "term", "doc_id")
+            .write.mode("overwrite")
+            .option("compression", CODEC)
+            .partitionBy("term_bucket")
+            .parquet(f"{target}/postings")
+        )
+        for name in ("lengths", "terms", "stats"):
+            spark.read.parquet(f"{path}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:

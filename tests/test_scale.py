@@ -256,15 +256,19 @@ def test_features_of_a_stored_index_sum_up_pairs_once(spark, sf_dir, monkeypatch
     assert "inline(filter(terms" in plan(found)
 
 
-def test_shuffle_files_go_as_a_table_is_written(spark):
+def test_shuffle_files_go_as_a_table_is_written(spark, sf_dir, tmp_path):
     def files():
         tops = spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
         return {name for top in tops for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
 
     before = files()
     stored = materialize(spark.range(1000).repartition(7, "id"))
+    po.write_index(fx.corpus(spark, sf_dir), str(tmp_path / "index"), buckets=2)
+    po.compact(spark, str(tmp_path / "index"), str(tmp_path / "compact"), 2)
     until = time.time() + 20
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before
     assert stored.count() == 1000
+    names = ["doc_id", "term", "tf", "positions", "dl"]
+    assert rows(po.read_index(spark, str(tmp_path / "compact")).postings.select(names)) == rows(po.read_index(spark, str(tmp_path / "index")).postings.select(names))
